@@ -172,7 +172,7 @@ class Scorer:
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        for x in set(words) - known.keys():
+        for x in [x for x in set(words) if x not in known]:
             i, j = columns_of(x)
             known[x] = float(self.w[i] + self.w[j])
         a, r = _measures(words)
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             texts = bytes_of(b.column(1))
             v = [votes(t) for t in texts]
-            for p in set(v) - sure.keys():
+            for p in [p for p in set(v) if p not in sure]:
                 sure[p] = 1 - m.labels.junk(p)
             s = [scorer(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
