@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Entries of each of the two cache generations of a Python worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 #: Longer cuts are encoded, but not kept.
 CACHE_CHARS = 40
 
@@ -31,7 +31,7 @@ class WordCache:
         if len(self.young) + len(words) > self.size:
             self.old, self.young = self.young, {}
         young, old, out = self.young, self.old, []
-        for w in words - young.keys():
+        for w in [w for w in words if w not in young]:  # a set less a dict's keys would walk the whole dict
             if w in old:
                 young[w] = old[w]
             else:
