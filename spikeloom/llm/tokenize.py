@@ -3,7 +3,8 @@
 Both tokenizer kinds used here split a text into pre-tokens before merging, and a
 space between two other characters always starts a new pre-token. So a text is cut
 there, each distinct cut is encoded once by the library and its ids are kept in a
-bounded cache. Texts for which that cut isn't known to be exact (runs of spaces in a
+bounded cache. A cut of Latin letters and closing ASCII marks is two pre-tokens whose ids
+are kept apart: the letters go to the library's model itself, past normalizing and splitting. Texts for which that cut isn't known to be exact (runs of spaces in a
 byte-level model, special-token strings) are encoded whole by the library.
 """
 
@@ -11,14 +12,23 @@ from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
 import numpy as np
 
-#: Entries of each of the two cache generations of a Python worker.
-CACHE_WORDS = 900_000
+#: Entries of each of the two cache generations of a Python worker, for whole cuts and for letters.
+CACHE_WORDS = 400_000
+CACHE_CORES = 700_000
 #: Longer cuts are encoded, but not kept.
 CACHE_CHARS = 40
 
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that no normalizer here composes, and that lower-case to one letter each.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+")
+#: Byte-level models spell each byte as a printable character: itself, or the next one from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class WordCache:
     """Two generations of a dict: when the young one is full it becomes the old one."""
@@ -38,6 +48,15 @@ class WordCache:
                 out.append(w)
         return out
 
+    def get(self, word: str):
+        found = self.young.get(word)
+        return self.old.get(word) if found is None else found
+
+    def add(self, word: str, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[word] = value
+
 
 class Encoder:
     """ids(texts): little-endian unsigned 32-bit ids of each whole text, as bytes.
@@ -58,6 +77,11 @@ class Encoder:
         self.before, self.mark = (" ", "\n") if kind == "byte" else (" ", " |")
         (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
         self.alone = re.compile(r"\s|^$" if kind == "byte" else r"[\s|]|^$")
+        self.model, self.cores, self.tails = self.tok.model, WordCache(CACHE_CORES), WordCache(100_000)
+        #: Whether the file splits as its kind should; if not, all cuts go through the whole library.
+        probe, found = ["the", "Straße", "Ünglück.", "naïve!!", "it,$"], {}
+        self._encode_letters(probe, found, found)
+        self.direct = [found[w] for w in probe] == self._encode([self.before + w for w in probe])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.batch(texts, add_special_tokens=False)]
@@ -71,14 +95,52 @@ class Encoder:
         raw, starts, stops = ids.tobytes(), [0, *((ends + 1) * 4).tolist()], [*(ends * 4).tolist(), 4 * len(ids)]
         return [raw[a:b] for a, b in zip(starts, stops, strict=True)]
 
-    def _encode_new(self, words: list[str]):
-        """Pairs of word and ids, in groups of bounded size."""
+    def _ids(self, letters: str) -> bytes:
+        """Ids of one pre-token of letters, from the model alone."""
+        spelled = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(spelled if self.kind == "word" else "Ġ" + spelled)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _encode_letters(self, words: list[str], short: dict, long: dict) -> list[str]:
+        """Adds the ids of cuts of letters and closing marks to the two dicts; gives back the other cuts."""
+        lower, known, tails, others = self.kind == "word", self.cores, self.tails, []
+        for w in words:
+            core = w.rstrip(MARKS)
+            if not core.isalpha() or not (core.isascii() or LETTERS.fullmatch(core)):
+                others.append(w)
+                continue
+            n = len(core)
+            if lower:
+                core = core.lower()
+            ids = known.get(core)
+            if ids is None:
+                ids = self._ids(core)
+                if n <= CACHE_CHARS:
+                    known.add(core, ids)
+            if n < len(w):
+                tail = w[n:]
+                more = tails.get(tail)
+                if more is None:
+                    (more,) = self._encode([tail])
+                    if len(tail) <= CACHE_CHARS:
+                        tails.add(tail, more)
+                ids += more
+            (short if len(w) <= CACHE_CHARS else long)[w] = ids
+        return others
+
+    def _encode_new(self, words: list[str], short: dict, long: dict) -> None:
+        """Adds the ids of new cuts to the dict of those that are kept or to that of the longer ones."""
+        if self.direct:
+            words = self._encode_letters(words, short, long)
         odd = [w for w in words if self.alone.search(w)]
-        yield from zip(odd, self._encode([self.before + w for w in odd]), strict=True)
+        found = [zip(odd, self._encode([self.before + w for w in odd]), strict=True)]
         plain = [w for w in words if not self.alone.search(w)] if odd else words
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
-            yield from zip(part, self._encode_words(part), strict=True)
+            found.append(zip(part, self._encode_words(part), strict=True))
+        for pairs in found:
+            for w, b in pairs:
+                (short if len(w) <= CACHE_CHARS else long)[w] = b
 
     def _cuts(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
@@ -97,11 +159,7 @@ class Encoder:
                 new.update(c[skip:])
         new = self.cache.missing(new)
         extra, young = {}, self.cache.young
-        for w, b in self._encode_new(new):
-            if len(w) <= CACHE_CHARS:
-                young[w] = b
-            else:
-                extra[w] = b
+        self._encode_new(new, young, extra)
         whole = iter(self._encode([t for t, c in zip(texts, cuts, strict=True) if c is None]))
         get, out = young.__getitem__, []
         for c in cuts:

@@ -74,6 +74,23 @@ def test_encoder_equals_library(docs):
                 assert np.frombuffer(ids, "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+@pytest.mark.parametrize("direct", [True, False])
+def test_encoder_on_marks_and_letters(name, kind, direct):
+    """Letters with closing marks, and what only looks like them, by both ways."""
+    texts = [
+        "", " ", "a", "İx. ǅenan! ŉ'S ſt. ß", "it's 's'tart dogs' é. É— é—. ǃKung…", "x" + "=" * 3000, "Ω.Σ. ΑΣ. a̸ ≮", "|" * 50 + " a| |b",
+        "naïve|x y|", "A" * 5000 + "!" * 5000 + " b", "<|endoftext|> x", "a\tb\r\nc\n\nd", "ª.º.µ. aª b·. ·", "ÿ.Ÿ! Ā# ɏ. ɐ.", "a\x1c.b \x85. c\xa0.",
+    ]
+    enc = Encoder(queries.tokenizer_path(name), kind)
+    assert enc.direct
+    enc.direct = direct
+    enc.cache.size, enc.cores.size, enc.tails.size = 5, 3, 2  # generations change within a batch
+    for _ in range(2):
+        for t, got in zip(texts, enc.ids(texts), strict=True):
+            assert got == np.array(enc.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:50]
+
+
 def test_token_counts(spark, odd, docs, empty):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
