@@ -180,7 +180,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     found = near_duplicates(docs, id_col, text_col, radius)
     kept = stored(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "kept", "lz4")
-    names = kept.select(F.col(id_col).alias("__kept"))
+    # hashed at every size: the kept ids grow with the documents, and the texts needn't be sorted to meet them
+    names = kept.select(F.col(id_col).alias("__kept")).hint("shuffle_hash")
     out = docs.filter(F.col(id_col).isNotNull()).join(names, F.col(id_col) == F.col("__kept"), "left_semi")
     if not kept.filter("n > 1").isEmpty():
         cols = docs.columns
