@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import os
 import re
-from struct import pack
+from struct import Struct
 
 import numpy as np
 
 #: Entries of each of the two cache generations of a Python worker, for whole cuts and for letters.
-CACHE_WORDS = 400_000
-CACHE_CORES = 700_000
+CACHE_WORDS = 200_000
+CACHE_CORES = 250_000
 #: Longer cuts are encoded, but not kept.
 CACHE_CHARS = 40
 
@@ -27,6 +27,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+")
 #: Byte-level models spell each byte as a printable character: itself, or the next one from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_PACK = [Struct(f"<{n}I").pack for n in range(64)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
@@ -38,24 +39,19 @@ class WordCache:
 
     def missing(self, words: set) -> list:
         """The words without an entry; entries found in the old generation move up."""
-        if len(self.young) + len(words) > self.size:
-            self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for w in [w for w in words if w not in young]:  # a set less a dict's keys would walk the whole dict
+        young, old, out = self.room(len(words)), self.old, []
+        for w in words.difference(young):  # less the dict itself: its keys would be walked
             if w in old:
                 young[w] = old[w]
             else:
                 out.append(w)
         return out
 
-    def get(self, word: str):
-        found = self.young.get(word)
-        return self.old.get(word) if found is None else found
-
-    def add(self, word: str, value) -> None:
-        if len(self.young) >= self.size:
+    def room(self, n: int) -> dict:
+        """The young generation, with room for n more words (unless one batch alone has more than it holds)."""
+        if len(self.young) + n > self.size:
             self.old, self.young = self.young, {}
-        self.young[word] = value
+        return self.young
 
 
 class Encoder:
@@ -77,7 +73,7 @@ class Encoder:
         self.before, self.mark = (" ", "\n") if kind == "byte" else (" ", " |")
         (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
         self.alone = re.compile(r"\s|^$" if kind == "byte" else r"[\s|]|^$")
-        self.model, self.cores, self.tails = self.tok.model, WordCache(CACHE_CORES), WordCache(100_000)
+        self.model, self.cores, self.tails, self.heads = self.tok.model, WordCache(CACHE_CORES), WordCache(50_000), WordCache(50_000)
         #: Whether the file splits as its kind should; if not, all cuts go through the whole library.
         probe, found = ["the", "Straße", "Ünglück.", "naïve!!", "it,$"], {}
         self._encode_letters(probe, found, found)
@@ -99,14 +95,16 @@ class Encoder:
         """Ids of one pre-token of letters, from the model alone."""
         spelled = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
         ids = [t.id for t in self.model.tokenize(spelled if self.kind == "word" else "Ġ" + spelled)]
-        return pack(f"<{len(ids)}I", *ids)
+        n = len(ids)
+        return _PACK[n](*ids) if n < 64 else np.array(ids, "<u4").tobytes()
 
     def _encode_letters(self, words: list[str], short: dict, long: dict) -> list[str]:
         """Adds the ids of cuts of letters and closing marks to the two dicts; gives back the other cuts."""
-        lower, known, tails, others = self.kind == "word", self.cores, self.tails, []
+        lower, others, full = self.kind == "word", [], LETTERS.fullmatch
+        known, before, tails = self.cores.room(len(words)), self.cores.old, self.tails.room(len(words))
         for w in words:
             core = w.rstrip(MARKS)
-            if not core.isalpha() or not (core.isascii() or LETTERS.fullmatch(core)):
+            if not core.isalpha() or not (core.isascii() or full(core)):
                 others.append(w)
                 continue
             n = len(core)
@@ -114,20 +112,28 @@ class Encoder:
                 core = core.lower()
             ids = known.get(core)
             if ids is None:
-                ids = self._ids(core)
+                ids = before.get(core) or self._ids(core)
                 if n <= CACHE_CHARS:
-                    known.add(core, ids)
+                    known[core] = ids
             if n < len(w):
                 tail = w[n:]
                 more = tails.get(tail)
                 if more is None:
                     (more,) = self._encode([tail])
                     if len(tail) <= CACHE_CHARS:
-                        tails.add(tail, more)
+                        tails[tail] = more
                 ids += more
             (short if len(w) <= CACHE_CHARS else long)[w] = ids
         return others
 
+    def _heads(self, words: list[str]) -> list[bytes]:
+        """Ids of the first words of texts, which have no space before them."""
+        young = self.heads.room(len(words))
+        new = self.heads.missing(set(words))
+        found = dict(zip(new, self._encode(new), strict=True))
+        young.update({w: b for w, b in found.items() if len(w) <= CACHE_CHARS})
+        return [young[w] if w in young else found[w] for w in words]
+
     def _encode_new(self, words: list[str], short: dict, long: dict) -> None:
         """Adds the ids of new cuts to the dict of those that are kept or to that of the longer ones."""
         if self.direct:
@@ -152,11 +158,11 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         cuts = [self._cuts(t) for t in texts]
         skip = 1 if self.kind == "byte" else 0  # the first word of a byte-level text has no space before it
-        heads = iter(self._encode([c[0] for c in cuts if c is not None])) if skip else None
+        heads = iter(self._heads([c.pop(0) for c in cuts if c is not None])) if skip else None
         new: set = set()
         for c in cuts:
             if c is not None:
-                new.update(c[skip:])
+                new.update(c)
         new = self.cache.missing(new)
         extra, young = {}, self.cache.young
         self._encode_new(new, young, extra)
@@ -168,9 +174,9 @@ class Encoder:
                 continue
             head = next(heads) if skip else b""
             try:
-                out.append(head + b"".join(map(get, c[skip:])))
+                out.append(head + b"".join(map(get, c)))
             except KeyError:
-                out.append(head + b"".join([young[w] if w in young else extra[w] for w in c[skip:]]))
+                out.append(head + b"".join([young[w] if w in young else extra[w] for w in c]))
         return out
 
 

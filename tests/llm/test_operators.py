@@ -85,7 +85,7 @@ def test_encoder_on_marks_and_letters(name, kind, direct):
     enc = Encoder(queries.tokenizer_path(name), kind)
     assert enc.direct
     enc.direct = direct
-    enc.cache.size, enc.cores.size, enc.tails.size = 5, 3, 2  # generations change within a batch
+    enc.cache.size, enc.cores.size, enc.tails.size, enc.heads.size = 5, 3, 2, 2  # generations change within a batch
     for _ in range(2):
         for t, got in zip(texts, enc.ids(texts), strict=True):
             assert got == np.array(enc.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:50]
