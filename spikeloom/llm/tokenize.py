@@ -21,6 +21,8 @@ CACHE_WORDS = 200_000
 CACHE_CORES = 250_000
 #: Longer cuts are encoded, but not kept.
 CACHE_CHARS = 40
+#: Texts are cut into words up to so many characters (or one longer text) at a time, since a word takes some 60 bytes.
+PART_CHARS = 1 << 17
 
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters that no normalizer here composes, and that lower-case to one letter each.
@@ -156,6 +158,16 @@ class Encoder:
         return None if "  " in text else text.split(" ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= PART_CHARS:
+                out += self._part(part)
+                part, size = [], 0
+        return out + self._part(part) if part else out
+
+    def _part(self, texts: list[str]) -> list[bytes]:
         cuts = [self._cuts(t) for t in texts]
         skip = 1 if self.kind == "byte" else 0  # the first word of a byte-level text has no space before it
         heads = iter(self._heads([c.pop(0) for c in cuts if c is not None])) if skip else None
