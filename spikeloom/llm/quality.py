@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, map_arrow
+from .common import bytes_of, gear_values, map_arrow
 
 HEURISTICS = ("symbols", "shouting", "repeats", "variety", "letters", "bursts")
 JUNK, ABSTAIN, GOOD = 0, 1, 2
@@ -32,12 +32,45 @@ SAMPLE_ROWS = 3000
 #: Bounds of the label model: a heuristic calls at most this share of good text junk, and finds at least that share of junk.
 MOST_FALSE, LEAST_FOUND = 0.002, 0.1
 
+#: Words in which variety is counted, so that long texts are held against the same limits; words of a run that may not come again.
+WINDOW, RUN = 2000, 8
+
 _SYMBOLS = b"*%&$#!|@{}<>=_~^\\"
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 _BURST = re.compile(rb"[!-/:-@\[-`{-~]{2,}")
 
 
+def repetition(words: list[bytes]) -> float:
+    """Share of words that aren't new where they stand, over a whole text.
+
+    A word is new in its window of 2000 if it stands there for the first time and isn't part
+    of a run of 8 words that began earlier in the text. Windows follow each other; the last
+    one ends with the text and counts by the words that no other has. Up to 2000 words this
+    is 1 - distinct words / words, as a run that came before has no new word.
+    """
+    n = len(words)
+    if n <= WINDOW:
+        return 1 - len(set(words)) / n
+    known: dict[bytes, int] = {}
+    at = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, n)
+    mark = gear_values(0, len(known), np.uint64)[at]
+    runs = np.zeros(n - RUN + 1, np.uint64)
+    for i in range(RUN):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + mark[i : i + len(runs)]
+    _, first, which = np.unique(runs, return_index=True, return_inverse=True)
+    begun = np.zeros(n + 1, np.int64)
+    again = np.flatnonzero(first[which] < np.arange(len(runs)))
+    np.add.at(begun, again, 1)
+    np.add.at(begun, again + RUN, -1)
+    fresh = np.cumsum(begun[:n]) == 0
+    new = 0.0
+    for e in [*range(WINDOW, n, WINDOW), n]:
+        s, counts = e - WINDOW, (e - 1) % WINDOW + 1
+        new += len(np.unique(at[s:e][fresh[s:e]])) * counts / WINDOW
+    return 1 - new / n
+
+
 def votes(text: bytes) -> tuple[int, ...]:
     """Each heuristic's vote on a whole text; none votes on a text without words."""
     words = text.split()
@@ -49,7 +82,6 @@ def votes(text: bytes) -> tuple[int, ...]:
     letters = len(text) - len(text.translate(None, _LETTERS))
     upper = (len(text) - len(text.translate(None, _UPPER))) / max(letters, 1)
     again = sum(map(eq, words, words[1:])) / n
-    unique = len(set(words)) / n
     bursts = len(_BURST.findall(text)) / n
     long = n >= 20
 
@@ -58,7 +90,7 @@ def votes(text: bytes) -> tuple[int, ...]:
 
     return (
         vote(symbols, 0.005, 0.03), vote(upper, 0.1, 0.35) if long else ABSTAIN, vote(again, 0.02, 0.1) if long else ABSTAIN,
-        vote(1 - unique, 0.45, 0.65) if 50 <= n <= 2000 else ABSTAIN, vote(1 - letters / size, 0.08, 0.2) if long else ABSTAIN, vote(bursts, 0.02, 0.15) if long else ABSTAIN,
+        vote(repetition(words), 0.45, 0.65) if n >= 50 else ABSTAIN, vote(1 - letters / size, 0.08, 0.2) if long else ABSTAIN, vote(bursts, 0.02, 0.15) if long else ABSTAIN,
     )
 
 
@@ -116,7 +148,7 @@ def columns_of(word: bytes) -> tuple[int, int]:
 
 def _measures(words: list[bytes]) -> tuple[float, float]:
     n = len(words)
-    return sum(map(eq, words, words[1:])) / n, max(0.0, 1 - len(set(words[:2000])) / min(n, 2000) - 0.4)
+    return sum(map(eq, words, words[1:])) / n, max(0.0, repetition(words) - 0.4)
 
 
 def sparse(text: bytes) -> tuple[list[int], list[float]]:

@@ -388,6 +388,19 @@ def test_quality(spark, odd, empty):
     assert quality.score(odd, none).filter("keep").count() == len(ODD) and quality.score(empty, none).count() == 0
 
 
+def test_variety_of_long_texts():
+    rng = random.Random(8)
+    fresh = lambda n, k: [b"w%d" % rng.randrange(k) for _ in range(n)]
+    plain, long, short = fresh(2000, 6000), fresh(3000, 9000), fresh(50, 10**6)
+    at = quality.HEURISTICS.index("variety")
+    for w in (plain + short * 200, short * 200 + plain, long * 4):  # a passage over and over: behind, in front, longer than a window
+        assert quality.votes(b" ".join(w))[at] == quality.JUNK and quality._measures(w)[1] > 0.25
+    assert quality.votes(b" ".join(fresh(9000, 6000)))[at] == quality.GOOD
+    assert abs(quality.repetition(plain + plain[:1]) - quality.repetition(plain)) < 0.002
+    for n in (60, 1999, 2000):
+        assert quality.repetition(plain[:n]) == 1 - len(set(plain[:n])) / n
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(6)
     counts, chance = {}, {0: [0.6, 0.5, 0.7, 0.4, 0.5, 0.6], 1: [0.001, 0.002, 0.001, 0.0, 0.002, 0.001]}
