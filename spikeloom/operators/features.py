@@ -62,16 +62,23 @@ def unit_gaussians(features: DataFrame, dims: int) -> DataFrame:
     return packed.select("unit_id", "n", F.transform("s", lambda v: v / F.col("n")).alias("mean"), inverse("n", "s", "q").alias("inverse"))
 
 
-def distances(features: DataFrame, unit_channels: DataFrame, dims: int) -> DataFrame:
+def distances(features: DataFrame, unit_channels: DataFrame, dims: int, per_channel: int | None = None) -> DataFrame:
     """(unit_id, d2) squared Mahalanobis distance of other units' spikes that share a unit's first channel.
 
     unit_channels: (unit_id, first_channel, channels array). Candidates meet by an equi-join on
     the channel; each unit's mean and inverse ride along.
+    per_channel: f holds so many values of each of its own unit's channels, channel after
+    channel. Other spikes' values then go to the place that their channel has in this unit's
+    list, and a channel that the other unit lacks gives zeros. None: the vectors of all units
+    have one layout already and are compared place by place.
     """
-    g = unit_gaussians(features, dims).join(unit_channels.select("unit_id", "first_channel"), "unit_id").filter(F.col("n") > dims)
-    others = unit_channels.select(F.col("unit_id").alias("other_id"), F.explode("channels").alias("first_channel"))
+    g = unit_gaussians(features, dims).join(unit_channels.select("unit_id", "first_channel", F.col("channels").alias("own")), "unit_id").filter(F.col("n") > dims)
+    others = unit_channels.select(F.col("unit_id").alias("other_id"), F.col("channels").alias("theirs"), F.explode(F.array_distinct("channels")).alias("first_channel"))
     pairs = g.join(others, "first_channel").filter("other_id <> unit_id")
     x = pairs.join(features.select(F.col("unit_id").alias("other_id"), "f"), "other_id")
+    if per_channel:
+        places = [(F.array_position("theirs", F.get("own", F.lit(i // per_channel))), i % per_channel) for i in range(dims)]
+        x = x.withColumn("f", F.array(*[F.when(at > 0, F.coalesce(F.get("f", ((at - 1) * per_channel + k).cast("int")), F.lit(0.0))).otherwise(0.0) for at, k in places]))
     diff = F.zip_with("f", "mean", lambda a, b: a - b)
     x = x.select("unit_id", "n", "inverse", diff.alias("d"))
     # d' M d as one sum over the flattened matrix
@@ -79,16 +86,16 @@ def distances(features: DataFrame, unit_channels: DataFrame, dims: int) -> DataF
     return x.select("unit_id", "n", quad.alias("d2"))
 
 
-def isolation(features: DataFrame, unit_channels: DataFrame, dims: int) -> DataFrame:
+def isolation(features: DataFrame, unit_channels: DataFrame, dims: int, per_channel: int | None = None) -> DataFrame:
     """L-ratio and isolation distance: the (N+1)-th smallest distance of others, if there are more than N of them."""
-    d = distances(features, unit_channels, dims)
+    d = distances(features, unit_channels, dims, per_channel)
     # the order statistic from exact counts of distances: percentile over the group at rank N
     g = d.groupBy("unit_id").agg(F.max("n").alias("n"), F.count("*").alias("n_other"), F.sum(chi2_tail(F.col("d2"), dims)).alias("l"), F.percentile("d2", F.lit(0.0)).alias("nearest"))
     ranked = d.join(g.select("unit_id", "n_other"), "unit_id").filter("n_other > n").withColumn("rank", F.row_number().over(Window.partitionBy("unit_id").orderBy("d2"))).filter(F.col("rank") == F.col("n") + 1)
     return g.join(ranked.select("unit_id", F.col("d2").alias("isolation_distance")), "unit_id", "left").select("unit_id", "n", "n_other", (F.col("l") / F.col("n")).alias("l_ratio"), "isolation_distance")
 
 
-def silhouette_ratio(features: DataFrame, unit_channels: DataFrame, dims: int) -> DataFrame:
+def silhouette_ratio(features: DataFrame, unit_channels: DataFrame, dims: int, per_channel: int | None = None) -> DataFrame:
     """The MATLAB variant: mean distance of others over mean distance of the unit's own spikes (dims by construction of the inverse)."""
-    d = distances(features, unit_channels, dims).groupBy("unit_id").agg(F.avg("d2").alias("others"), F.max("n").alias("n"))
+    d = distances(features, unit_channels, dims, per_channel).groupBy("unit_id").agg(F.avg("d2").alias("others"), F.max("n").alias("n"))
     return d.select("unit_id", (F.col("others") / (dims * (F.col("n") - 1) / F.col("n"))).alias("silhouette"))

@@ -419,18 +419,18 @@ DIMS = 4
 
 
 def unit_channels(spark, d):
-    """A unit's first channel is label mod 3; its channels are that and the next."""
+    """A unit's first channel is label mod 3; its channels are that and the next, with half of the values each."""
     return rel.pc_vectors(spark, d, DIMS).select("unit_id").distinct().select("unit_id", (F.col("unit_id") % 3).alias("first_channel"), F.array(F.col("unit_id") % 3, (F.col("unit_id") + 1) % 3).alias("channels"))
 
 
 @query()
 def isolation_distance(spark, d):
-    return r6(features.isolation(rel.pc_vectors(spark, d, DIMS), unit_channels(spark, d), DIMS))
+    return r6(features.isolation(rel.pc_vectors(spark, d, DIMS), unit_channels(spark, d), DIMS, DIMS // 2))
 
 
 @query()
 def silhouette(spark, d):
-    return r6(features.silhouette_ratio(rel.pc_vectors(spark, d, DIMS), unit_channels(spark, d), DIMS))
+    return r6(features.silhouette_ratio(rel.pc_vectors(spark, d, DIMS), unit_channels(spark, d), DIMS, DIMS // 2))
 
 
 @query(f"""with {T1}, {SP}, med as (select unit_id, median(amplitude) as m from spikes group by unit_id), mad as (select unit_id, median(abs(amplitude - m)) as mad from spikes join med using (unit_id) group by unit_id)

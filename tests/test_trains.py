@@ -135,6 +135,23 @@ def test_isolation_equals_numpy(spark):
     assert abs(got[0].isolation_distance - d[40]) < 1e-6 and got[0].n_other == 90
 
 
+def test_isolation_gathers_by_channel(spark):
+    rng = np.random.default_rng(4)
+    chans = {0: [0, 1], 1: [2, 0], 2: [1, 0], 3: [5, 6]}
+    data = [(u, i + 1000 * u, rng.normal(u, 1, 4).tolist()) for u, n in ((0, 40), (1, 35), (2, 30), (3, 50)) for i in range(n)]
+    df = spark.createDataFrame(data, "unit_id long, spike_idx long, f array<double>")
+    ch = spark.createDataFrame([(u, c[0], c) for u, c in chans.items()], "unit_id long, first_channel long, channels array<long>")
+    own = np.array([f for u, _, f in data if u == 0])
+    other = np.array([[x for c in chans[0] for x in (f[2 * chans[u].index(c) :][:2] if c in chans[u] else [0, 0])] for u, _, f in data if u in (1, 2)])
+    inv = np.linalg.inv(np.cov(own.T) + 1e-10 * np.eye(4))
+    d = np.sort(np.einsum("ij,jk,ik->i", other - own.mean(0), inv, other - own.mean(0)))
+    got = {r.unit_id: r for r in features.isolation(df, ch, 4, 2).collect()}[0]
+    assert got.n_other == 65 and abs(got.isolation_distance - d[40]) < 1e-6
+    assert abs(got.l_ratio - float(np.sum(np.exp(-d / 2) * (1 + d / 2))) / 40) < 1e-9
+    ratio = {r.unit_id: r.silhouette for r in features.silhouette_ratio(df, ch, 4, 2).collect()}[0]
+    assert abs(ratio - d.mean() / (4 * 39 / 40)) < 1e-6
+
+
 def test_labels_with_nulls(spark):
     cols = "unit_id long, n_spikes long, n_peaks int, n_troughs int, duration_us double, baseline_flatness double, second_peak_to_trough double, percent_missing double, contamination double, presence_ratio double, trough_to_peak2 double, peak_before_width double, trough_width double, peak1_to_peak2 double, main_peak_to_trough double"
     base = [1, 500, 1, 1, 500.0, 0.1, 0.2, 5.0, 0.01, 0.9, 9.0, 9.0, 9.0, 1.0, 0.2]
