@@ -1,6 +1,8 @@
 """License scan by an exact set-similarity join against template texts (operator 4).
 
-A text block is a line. A block meets a template if it holds at least `threshold` of the
+A text block is a line, or as many consecutive words over line ends as the template has; the
+latter counts where it holds more of the template than each of its lines, so that wrapped
+sentences are found. A block meets a template if it holds at least `threshold` of the
 template's distinct words (containment). Words are ordered by their global frequency,
 rarest first. Prefix filter: a block that meets the threshold shares a word with the
 template's first |T| - ceil(t|T|) + 1 words of that order, so only blocks with such a word
@@ -43,11 +45,12 @@ class Scanner:
     """Templates with their words in global frequency order, rarest first."""
 
     def __init__(self, templates, threshold: float, counts: dict[bytes, int]):
-        self.threshold, self.index, self.templates = threshold, {}, []
+        self.threshold, self.index, self.templates, self.sizes = threshold, {}, [], []
         for k, (text, label) in enumerate(templates):
             words = sorted(set(text.encode().split()), key=lambda w: (counts.get(w, 0), w))
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
             self.templates.append((words, need, label))
+            self.sizes.append(len(text.split()))
             for w in words[: len(words) - need + 1]:
                 self.index.setdefault(w, []).append(k)
         self.prefix = frozenset(self.index)
@@ -73,6 +76,44 @@ class Scanner:
         return out
 
 
+    def wrapped(self, lines: list[list[bytes]], met: dict[tuple[int, int], float]) -> list[tuple[int, int, float]]:
+        """(line of the first word, template, containment) of the blocks over line ends.
+
+        met: containment by (line, template). Each block of a template's length is looked at;
+        of blocks that overlap the fullest one is given, the first of equals.
+        """
+        here = set().union(*lines)
+        if len(lines) < 2 or self.prefix.isdisjoint(here):
+            return []
+        out, words, line = [], None, None
+        for k in sorted({k for w in here & self.prefix for k in self.index[w]}):
+            order, need, _ = self.templates[k]
+            wanted = here.intersection(order)
+            if len(wanted) < need:
+                continue
+            if words is None:
+                words, line = [w for x in lines for w in x], [i for i, x in enumerate(lines) for _ in x]
+            at = [i for i, w in enumerate(words) if w in wanted]
+            have, lo, found = Counter(), 0, []
+            for i in at:
+                have[words[i]] += 1
+                while at[lo] <= i - self.sizes[k]:
+                    w = words[at[lo]]
+                    have[w] -= 1
+                    if not have[w]:
+                        del have[w]
+                    lo += 1
+                first, last, c = line[at[lo]], line[i], len(have) / len(order)
+                if len(have) < need or first == last or c <= max(met.get((x, k), 0) for x in range(first, last + 1)):
+                    continue
+                if not found or at[lo] > found[-1][2]:
+                    found.append((c, first, i))
+                elif c > found[-1][0]:
+                    found[-1] = (c, first, i)
+            out += [(first, k, c) for c, first, _ in found]
+        return out
+
+
 def places(words: list[bytes], phrases) -> list[tuple[int, str]]:
     """(first word, label) of each place where a phrase's words stand consecutively."""
     line = b" " + b" ".join(words) + b" "
@@ -124,8 +165,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 blocks = []
                 for i, x in enumerate(lines):
                     if not s.prefix.isdisjoint(x):
-                        blocks += [{"line": i, "template": k, "label": s.templates[k][2], "containment": c} for k, c in s.block(set(x))]
-                found.append(blocks)
+                        blocks += [(i, k, c) for k, c in s.block(set(x))]
+                blocks = sorted(blocks + s.wrapped(lines, {(i, k): c for i, k, c in blocks}))
+                found.append([{"line": i, "template": k, "label": s.templates[k][2], "containment": c} for i, k, c in blocks])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(base, place_t), pa.array(found, block_t)], [id_col, "n_words", "base_places", "blocks"])
 
     return map_arrow(

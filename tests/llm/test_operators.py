@@ -200,6 +200,17 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.scan_licenses(odd).count() == len(ODD) and license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_over_lines(spark):
+    mit, bsd, mpl = (license_scan.TEMPLATES[k][0].split() for k in (3, 8, 9))
+    wrap = lambda w, n: "\n * ".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    texts = [
+        (1, "x y\n" + wrap(mit, 13)), (2, wrap(bsd, 6) + "\nz"), (3, wrap(mpl, 12)), (4, "\n".join(mpl)), (5, wrap(mit[:10], 5)), (6, "\n".join(f"{w} a b c d" for w in bsd)),
+        (7, " ".join(mit[:-1]) + "\n" + mit[-1] + "\n" + wrap(bsd, 4) + "\n\n" + wrap(bsd, 5))]
+    got = {r.doc_id: [(x.line, x.label, x.containment) for x in r.blocks] for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    bits = len(set(mit))
+    assert got == {1: [(1, "mit", 1.0)], 2: [(0, "bsd", 1.0)], 3: [(0, "mpl", 1.0)], 4: [(0, "mpl", 1.0)], 5: [], 6: [], 7: [(0, "mit", (bits - 1) / bits), (0, "mit", 1.0), (2, "bsd", 1.0), (9, "bsd", 1.0)]}
+
+
 def test_warc(spark):
     rows = [(1, "http://a/", "same"), (2, None, "same"), (3, "http://c/\n", "same"), (4, "u", None), (5, "u", ""), (6, "u", "é" * 300_000), (7, "u", "WARC/1.1\r\n\r\n"), (7, "u", "WARC/1.1\r\n\r\n"), (None, "u", "lone"), (None, "u", "same")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
