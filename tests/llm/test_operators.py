@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spikeloom.llm import common, decontaminate, fingerprint, graph, license_scan, packing, quality, queries, simhash, token_count, token_store, url_filter, warc
+from spikeloom.llm import common, decontaminate, fingerprint, graph, license_scan, packing, quality, queries, resemblance, simhash, token_count, token_store, url_filter, warc
 from spikeloom.llm.tokenize import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -356,6 +356,45 @@ def test_simhash(spark, docs, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def shingle_set(t):
+    w = ascii_lower(t or "").split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def slow_groups(texts):
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if root[i] != root[j] and (not sets[i] and not sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0):
+                a, b = root[i], root[j]
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_near_dedup_links_at_five_words(spark, docs, odd):
+    import corpus_pipeline as cp
+
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(400)}" for _ in range(100)]
+    edited = []
+    for n in (1, 1, 1, 2, 2, 3, 5) * 6:  # many within a bucket, some linked only over others
+        w = list(base)
+        for k in rng.sample(range(100), n):
+            w[k] = f"new{rng.randrange(10**6)}"
+        edited.append(" ".join(w))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(1000 + i, t) for i, t in enumerate([" ".join(base), *edited])]
+    rows += [(None, rows[0][1]), (None, "a text of its own that no other row has"), (None, "a text of its own that no other row has"), (7000, "x y"), (7000, "z y"), (6999, "z y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = slow_groups([t for _, t in rows])
+    for stage in (lambda: cp.near_dedup_stage(spark, df, SF), lambda: resemblance.keep_one(df, paired=2)):
+        kept = [(r.doc_id, r.text) for r in stage().collect()]
+        assert len(kept) == len(set(groups))
+        want = {g: min((i is None, i or 0) for (i, _), h in zip(rows, groups, strict=True) if h == g) for g in set(groups)}
+        assert sorted((i is None, i or 0) for i, _ in kept) == sorted(want.values())
+        assert sorted(t for i, t in kept if i in (6999, 7000)) == ["x y", "z y"]
+    assert resemblance.keep_one(odd).columns == odd.columns
+
+
 def test_every_close_pair_meets_under_a_mask():
     rng, ms = random.Random(4), [m & (2**64 - 1) for m in simhash.masks()]
     assert len(ms) == 31
