@@ -144,7 +144,7 @@ class SuffixAutomaton:
                 spans.append((lo, j + 1))
         for s in found:
             items |= self.items[s]
-        return spans, items
+        return spans, items - {None}
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple]]:
@@ -152,12 +152,12 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> l
     out, block, n = [], [], 0
     for row in items.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
         words = words_alnum((row[1] or "").encode())
-        if row[0] is None or not words:
+        if not words:
             continue
         if block and n + len(words) > block_words:
             out.append(block)
             block, n = [], 0
-        block.append((str(row[0]), words))
+        block.append((None if row[0] is None else str(row[0]), words))
         n += len(words)
     return [*out, block] if block or not out else out
 
@@ -186,8 +186,8 @@ def _scan(docs: DataFrame, automaton, id_col: str, text_col: str) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, starts, ends, items): each row's merged hit spans in words, and item ids found.
 
-    Null or empty texts have no words and no hits; items with a null id or without words have
-    no window; repeated rows stay rows. Up to `block_words` item words make one automaton of
+    Null or empty texts have no words and no hits; items without words have no window. Words
+    that stand in an item with a null id are hit, but such an item isn't among the items; repeated rows stay rows. Up to `block_words` item words make one automaton of
     bounded size, which is broadcast, and the scan has no shuffle. More items make several
     automata, one scan each, whose spans are merged by row number and id.
     """

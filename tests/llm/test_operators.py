@@ -140,6 +140,16 @@ def test_contamination(spark, odd, docs, empty, block):
     assert none.filter(F.size("items") > 0).count() == 0 and none.count() == len(made)
 
 
+@pytest.mark.parametrize("block", [400_000, 20])
+def test_items_without_id(spark, block):
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, item), (None, "two words"), (4, "e f g")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a " + item + " b"), (2, "e f g two words"), (3, "none of them")], "doc_id long, text string")
+    got = {r.doc_id: (r.h, r["items"]) for r in decontaminate.contamination(df, bench, block_words=block).select("doc_id", decontaminate.hit_words().alias("h"), "items").collect()}
+    assert got == {1: (20, []), 2: (5, ["4"]), 3: (0, [])}
+    assert {r.doc_id for r in decontaminate.remove_contaminated(df, bench).collect()} == {3}
+
+
 def test_remove_contaminated(spark, docs):
     bench = common.table(spark, SF, "benchmark")
     items = [(r.item_id, r.text) for r in bench.collect()]
