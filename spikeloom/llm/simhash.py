@@ -174,19 +174,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of its smallest id; rows with a null id stay.
+    """docs with exactly one row of each component: that of its smallest id, null ids last.
 
-    All columns pass. Where several rows share an id, the one with the least text stays.
+    All columns pass. Of rows with one id, the one with the least text stays, and of those the first.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
-    kept = stored(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "kept", "lz4")
-    # hashed at every size: the kept ids grow with the documents, and the texts needn't be sorted to meet them
-    names = kept.select(F.col(id_col).alias("__kept")).hint("shuffle_hash")
-    out = docs.filter(F.col(id_col).isNotNull()).join(names, F.col(id_col) == F.col("__kept"), "left_semi")
-    if not kept.filter("n > 1").isEmpty():
-        cols = docs.columns
-        out = out.select(F.struct("*").alias("d")).groupBy(F.col(f"d.{id_col}").alias("i")).agg(F.min_by("d", F.struct(F.col(f"d.{text_col}"))).alias("d")).select(*[F.col("d")[c].alias(c) for c in cols])
-    return out.unionByName(docs.filter(F.col(id_col).isNull()))
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
+    rows = numbered.select("row", F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{text_col}").alias("text"))
+    found = near_duplicates(rows.select("row", "text"), "row", "text", radius).select("row", "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text", "row"))
+    kept = stored(found.join(rows, "row").groupBy("component_id").agg(first.alias("x")).select(F.col("x.row").alias("kept")), "kept", "lz4")
+    # hashed at every size: the kept rows grow with the documents, and the texts needn't be sorted to meet them
+    return numbered.join(kept.hint("shuffle_hash"), F.col("row") == F.col("kept"), "left_semi").select("doc.*")
 
 
 def hex_print(col: str = "fingerprint"):

@@ -366,6 +366,15 @@ def test_simhash(spark, docs, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_goes_by_row(spark):
+    x, y, z = "one text of its own", "quite another one here", "and a third with words"
+    for keep in (simhash.keep_one, resemblance.keep_one):
+        for rows, want in (([(1, x), (1, z), (0, z)], [x, z]), ([(1, x), (1, y), (2, y)], [x, y]), ([(None, x), (None, x), (3, y), (None, y)], [x, y])):
+            got = keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            assert sorted(r.text for r in got) == sorted(want), rows
+            assert sorted(r.doc_id for r in got if r.text == y) == [3 if (3, y) in rows else 1][: y in want]
+
+
 def shingle_set(t):
     w = ascii_lower(t or "").split()
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
