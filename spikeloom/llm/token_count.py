@@ -7,14 +7,14 @@ path whose last piece starts first wins, an unknown character costs the least sc
 10, and is then spelled in its UTF-8 bytes if the vocabulary has byte pieces (else a run
 of unknown characters is one piece).
 
-Text is cut into segments only where no piece of the vocabulary can cross, so that a
-segment's count doesn't depend on its neighbours; the counts of short segments are kept
-in a bounded cache.
+Text is cut at every space first, as the Metaspace splitter of `tokenizers` does, so that
+pieces of several space marks never match and a run of spaces counts a piece a space; this
+differs there from the unigram model alone. A segment's count doesn't depend on its
+neighbours; the counts of short segments are kept in a bounded cache.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -58,7 +58,6 @@ class UnigramCounter:
         self.unk = min(vocab.scores) - UNKNOWN_PENALTY
         have = set(vocab.pieces)
         self.bytes = all(f"<0x{b:02X}>" in have for b in range(256))
-        self.cuttable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in vocab.pieces)
         self.cache = WordCache()
 
     def path(self, segment: str) -> tuple[int, float]:
