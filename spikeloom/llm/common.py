@@ -28,21 +28,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """This session's own folder under spark.checkpoint.dir (a local one only if that is unset)."""
+    """This session's own folder under spark.checkpoint.dir.
+
+    Where that is unset: a local folder if driver and executors are one process, else ValueError.
+    """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = base or "file://" + tempfile.mkdtemp(prefix="spikeloom-")
         _roots[app] = f"{base.rstrip('/')}/spikeloom-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        remove_path(spark, path)
     except Exception:  # the JVM may be gone at exit; the folder then stays
         pass
 
@@ -68,6 +76,19 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(fn, schema)
 
 
+def coalesced(batches: Iterable[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of `size` bytes or more put together of smaller ones (the last one may be smaller)."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield pa.concat_batches(held) if len(held) > 1 else b
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
@@ -91,16 +112,17 @@ def words_alnum(text: bytes) -> list[bytes]:
     return text.translate(WORDS_ALNUM).split()
 
 
-def sort_buckets(df: DataFrame, col: str, n: int) -> list:
+def sort_buckets(df: DataFrame, col: str, n: int, distinct: bool = True) -> list:
     """At most n-1 ascending cut values of an integer column, from its approximate quantiles.
 
     They only balance work, so that an approximation is enough; results never depend on them.
+    Without `distinct`, a value that holds several parts of the rows comes as often.
     """
     if n <= 1:
         return []
     qs = [i / n for i in range(1, n)]
     found = df.agg(F.percentile_approx(F.col(col), qs, 10_000).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    return sorted(set(found or []) if distinct else found or [])
 
 
 def bucket_of(col: str, cuts: list):

@@ -11,13 +11,12 @@ on C alone.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, texts_of
+from .common import coalesced, map_arrow, stored
 from .tokenize import encoder
 
 CAPACITY = 2048
@@ -49,12 +48,12 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int | None = None
     def run(batches):
         task, counts = TaskContext.get().partitionId(), {}
         rests: dict[int, list] = {}
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in coalesced(batches):
+            ids, ends = encoder(tokenizer, kind).encode(b.column(1), end_id)
+            raw, begin = ids.tobytes(), 0
             rows, take = [], []
-            for i, raw in enumerate(encoder(tokenizer, kind).ids(texts_of(b.column(1)))):
-                raw += tail
-                total, at = len(raw) // 4, 0
+            for i, end in enumerate(ends.tolist()):
+                total, at = end - begin, 0
                 rest = total % capacity
                 cut = rests.get(rest)
                 if cut is None:
@@ -62,9 +61,10 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int | None = None
                 for n, k in [(capacity, 1)] * (total // capacity) + cut:
                     nth = counts.get(k, 0)
                     counts[k] = nth + 1
-                    rows.append((at, n, total, k, task, nth, raw[4 * at : 4 * (at + n)]))
+                    rows.append((at, n, total, k, task, nth, raw[4 * (begin + at) : 4 * (begin + at + n)]))
                     take.append(i)
                     at += n
+                begin = end
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *[pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)]], ["id", *[n for n, _ in fields]])
 

@@ -10,11 +10,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spikeloom.llm import common, decontaminate, fingerprint, graph, license_scan, packing, quality, queries, resemblance, simhash, token_count, token_store, url_filter, warc
+from spikeloom.llm import common, decontaminate, fingerprint, graph, license_scan, packing, quality, queries, resemblance, simhash, token_count, token_store, tokenize, url_filter, warc
 from spikeloom.llm.tokenize import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -80,17 +81,32 @@ def test_encoder_on_marks_and_letters(name, kind, direct):
     """Letters with closing marks, and what only looks like them, by both ways."""
     texts = [
         "", " ", "a", "İx. ǅenan! ŉ'S ſt. ß", "it's 's'tart dogs' é. É— é—. ǃKung…", "x" + "=" * 3000, "Ω.Σ. ΑΣ. a̸ ≮", "|" * 50 + " a| |b",
+        "\n", "\n\n", "a\n\n", "\n\na", "a\n\n\nb", "a\n\nb\n", "a \nb", "a\n b", "a\n \nb", "\n\u00a0\u00a0x", "a\t\nb", " a", "a ", "a  b", "x\u2028\ny",
         "naïve|x y|", "A" * 5000 + "!" * 5000 + " b", "<|endoftext|> x", "a\tb\r\nc\n\nd", "ª.º.µ. aª b·. ·", "ÿ.Ÿ! Ā# ɏ. ɐ.", "a\x1c.b \x85. c\xa0.",
     ]
     enc = Encoder(queries.tokenizer_path(name), kind)
     assert enc.direct
     enc.direct = direct
-    enc.cache.size, enc.cores.size, enc.tails.size, enc.heads.size = 5, 3, 2, 2  # generations change within a batch
+    enc.cores.size, enc.tails.size = 3, 2  # generations change within a batch
     for _ in range(2):
         for t, got in zip(texts, enc.ids(texts), strict=True):
             assert got == np.array(enc.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:50]
 
 
+def test_encoder_in_slices_and_parts(monkeypatch, docs):
+    texts = [t for _, t in ODD] + [r.text for r in docs.limit(20).collect()]
+    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        enc = Encoder(queries.tokenizer_path(name), kind)
+        ids, ends = enc.encode(pa.array(texts), 9)
+        assert ids.tolist() == [x for t in texts for x in [*enc.tok.encode(t or "", add_special_tokens=False).ids, 9]] and ends[-1] == len(ids)
+        monkeypatch.setattr(tokenize, "LONG_CHARS", 50)
+        monkeypatch.setattr(tokenize, "PART_BYTES", 300)
+        again, stops = enc.encode(pa.array(texts, pa.large_string()), 9)
+        assert (again == ids).all() and (stops == ends).all()
+        monkeypatch.undo()
+        assert len(enc.encode(pa.array([], pa.string()), 9)[0]) == 0 and enc.encode(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0]
+
+
 def test_token_counts(spark, odd, docs, empty):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -182,6 +198,61 @@ def test_token_store(spark, odd, docs, empty):
     assert token_store.read_store(spark, at).count() == 0
 
 
+def test_token_store_without_end_id(spark):
+    path, at = queries.tokenizer_path("byte_bpe_50k.json"), common.fresh_path(spark, "t")
+    rows = [(5, ""), (None, None), (1, "a b"), (5, ""), (3, None), (5, "c d e")]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), at, path, "byte")
+    want = sorted((i is not None, i or 0, library(path).encode(t or "").ids) for i, t in rows)
+    got = sorted(token_store.read_store(spark, at).collect(), key=lambda r: (r.start, r.id is not None, r.id or 0, r.n_tokens))
+    assert sorted((r.id is not None, r.id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted((k, i, len(x), crc(x)) for k, i, x in want)
+    assert [r.start for r in got] == sorted(np.cumsum([0, *[len(x) for *_, x in want]])[:-1].tolist())
+    assert sorted(r["ids"] for r in token_store.read_ids(spark, at).collect()) == sorted(x for *_, x in want)
+
+
+def test_recipes_ascend_over_files(spark):
+    """Also with one id on half of the rows, whose recipes are dealt over several files."""
+    at = common.fresh_path(spark, "t")
+    rows = [(i if i % 2 else 41, f"text {i}") for i in range(400)] + [(None, "none")]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), at, queries.tokenizer_path("byte_bpe_50k.json"), "byte", 0)
+    found = token_store.recipes(spark, at).collect()
+    ordered = sorted(found, key=lambda r: (r.block, r.start))
+    assert [r.start for r in ordered] == sorted(r.start for r in found) and len(found) == len(rows)
+    ids = [(r.id is not None, r.id or 0) for r in ordered]
+    assert ids == sorted(ids) and len({r.block for r in found if r.id == 41}) > 1
+    sizes = [r.n_tokens for r in ordered]
+    assert [r.start for r in ordered] == np.cumsum([0, *sizes])[:-1].tolist()
+
+
+def test_store_shows_tampering(spark):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(i, f"text {i} with some words") for i in range(30)], "doc_id long, text string")
+
+    def changed(part, change):
+        at = common.fresh_path(spark, "t")
+        token_store.write_store(df, at, path, "byte", 0)
+        where = f"{at}/{part}"
+        old = spark.read.parquet(where)
+        rows = old.collect()
+        new = spark.createDataFrame(change([r.asDict() for r in rows]), old.schema)
+        writer = new.coalesce(1).write.mode("overwrite")
+        (writer.partitionBy("block") if part == "recipes" else writer).parquet(where)
+        return at
+
+    def first(**new):
+        return lambda rows: [{**rows[0], **new}, *rows[1:]]
+
+    for part, change in (
+        ("chunks/kind=chunk", first(data=b"\0\0\0\0" * 6)), ("chunks/kind=chunk", lambda rows: rows[1:]), ("recipes", first(digests=b"x" * 16)), ("recipes", first(n_tokens=1)),
+        ("recipes", lambda rows: rows[1:]), ("recipes", first(root=b"x" * 16)), ("manifests", first(root=b"x" * 16)), ("manifests", lambda rows: rows[1:]), ("manifests", first(tokens=1)),
+    ):
+        at = changed(part, change)
+        for read in (token_store.read_store, token_store.read_ids):
+            with pytest.raises(Exception, match="don't match|doesn't match|can't be rebuilt"):
+                read(spark, at).collect()
+    with pytest.raises(Exception, match="two bytes"):
+        token_store.write_store(df, common.fresh_path(spark, "t"), path, "byte", 70_000, width=2)
+
+
 def test_crc_join():
     rng = random.Random(3)
     for _ in range(50):
