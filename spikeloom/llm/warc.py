@@ -58,10 +58,14 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
 
 
 def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table: each record's rows follow each other, an empty one has one row."""
-    parts = F.expr(f"transform(sequence(0, greatest(octet_length(payload) - 1, 0) div {chunk}), i -> substring(payload, i * {chunk} + 1, {chunk}))")
+    """The chunked record table: each record's rows follow each other, an empty one has one row.
+
+    Chunk numbers are exploded, and each row then takes its own bytes of the payload, in one
+    stage of generated code: no array of chunks is made, and no row but the source's is whole.
+    """
     keep = [c for c in records.columns if c != "payload"]
-    return records.select(*keep, F.posexplode(parts).alias("chunk_no", "chunk"))
+    numbered = records.select("*", F.explode(F.expr(f"sequence(0, greatest(octet_length(payload) - 1, 0) div {chunk})")).alias("chunk_no"))
+    return numbered.select(*keep, "chunk_no", F.expr(f"substring(payload, cast(chunk_no as int) * {chunk} + 1, {chunk})").alias("chunk"))
 
 
 def write_archives(records: DataFrame, date: str = "1970-01-01T00:00:00Z", chunk: int = CHUNK) -> DataFrame:
