@@ -1,10 +1,11 @@
 """Quality classifier from weak labels (operator 10).
 
-Six heuristics vote junk, good or nothing on every text. Expectation-maximisation over the
-counts of their vote patterns, taken over all documents, estimates each heuristic's votes
-given the hidden class, and the posterior of every pattern. A bounded sample of documents,
-with their posteriors as labels, trains a linear scorer over hashed words, word shapes and
-two repetition measures; the scorer judges every whole text.
+Eight heuristics vote junk, good or nothing on every text. Expectation-maximisation over the
+counts of their vote patterns, taken over all documents, estimates the share of junk, each
+heuristic's accuracy in both classes and how often it abstains (of which the class is
+independent: most abstain on short texts), and so the posterior of every pattern. A bounded
+sample of distinct texts, with their posteriors as labels, trains a linear scorer over
+hashed words, word shapes and two repetition measures; the scorer judges every whole text.
 """
 
 from __future__ import annotations
@@ -22,22 +23,23 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, gear_values, map_arrow
 
-HEURISTICS = ("symbols", "shouting", "repeats", "variety", "letters", "bursts")
+HEURISTICS = ("symbols", "shouting", "repeats", "variety", "letters", "bursts", "separators", "compression")
 JUNK, ABSTAIN, GOOD = 0, 1, 2
 #: Hash buckets of words and of shapes, and the last two columns for the measures.
 WORD_BUCKETS, SHAPE_BUCKETS = 2048, 512
 FEATURES = WORD_BUCKETS + SHAPE_BUCKETS + 2
-#: Documents that train the scorer, at most.
+#: Distinct texts that train the scorer, at most.
 SAMPLE_ROWS = 3000
-#: Bounds of the label model: a heuristic calls at most this share of good text junk, and finds at least that share of junk.
-MOST_FALSE, LEAST_FOUND = 0.002, 0.1
 
+#: Words that a text's shares are taken over beside its own, so that a few words say little.
+SHRINK = 8
 #: Words in which variety is counted, so that long texts are held against the same limits; words of a run that may not come again.
 WINDOW, RUN = 2000, 8
 
 _SYMBOLS = b"*%&$#!|@{}<>=_~^\\"
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
+_MARKS = bytes([b for b in range(33, 127) if not chr(b).isalnum()])
 _BURST = re.compile(rb"[!-/:-@\[-`{-~]{2,}")
 
 
@@ -83,6 +85,7 @@ def votes(text: bytes) -> tuple[int, ...]:
     upper = (len(text) - len(text.translate(None, _UPPER))) / max(letters, 1)
     again = sum(map(eq, words, words[1:])) / n
     bursts = len(_BURST.findall(text)) / n
+    marks = n - len(text.translate(None, _MARKS).split())
     long = n >= 20
 
     def vote(x: float, good: float, junk: float) -> int:
@@ -91,6 +94,7 @@ def votes(text: bytes) -> tuple[int, ...]:
     return (
         vote(symbols, 0.005, 0.03), vote(upper, 0.1, 0.35) if long else ABSTAIN, vote(again, 0.02, 0.1) if long else ABSTAIN,
         vote(repetition(words), 0.45, 0.65) if n >= 50 else ABSTAIN, vote(1 - letters / size, 0.08, 0.2) if long else ABSTAIN, vote(bursts, 0.02, 0.15) if long else ABSTAIN,
+        vote(marks / n, 0.02, 0.2) if long else ABSTAIN, vote(-len(zlib.compress(text, 1)) / len(text), -0.36, -0.3) if n >= 50 else ABSTAIN,
     )
 
 
@@ -102,36 +106,48 @@ class LabelModel:
     chances: np.ndarray
 
     def junk(self, pattern: tuple[int, ...]) -> float:
-        logs = [math.log(p) + sum(math.log(self.chances[c][j][v]) for j, v in enumerate(pattern) if v != ABSTAIN) for c, p in ((0, self.prior), (1, 1 - self.prior))]
-        return 1 / (1 + math.exp(min(700, logs[1] - logs[0])))
+        logs = [math.log(p) + sum(math.log(self.chances[c][j][v]) for j, v in enumerate(pattern)) for c, p in ((0, self.prior), (1, 1 - self.prior))]
+        return 1 / (1 + math.exp(max(-700, min(700, logs[1] - logs[0]))))
 
+    def accuracies(self) -> dict[str, tuple[float, float, float]]:
+        """Of each heuristic: share of junk found, share of good text left alone, share of texts it votes on."""
+        votes = 1 - self.chances[0, :, ABSTAIN]
+        return {h: (self.chances[0, j, JUNK] / votes[j], self.chances[1, j, GOOD] / votes[j], votes[j]) for j, h in enumerate(HEURISTICS)}
 
-def fit_labels(counts: dict[tuple[int, ...], int], rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation on pattern counts; one pattern stands for all its documents."""
+
+def fit_labels(counts: dict[tuple[int, ...], int], rounds: int = 500) -> LabelModel:
+    """Expectation-maximisation on pattern counts; one pattern stands for all its documents.
+
+    Starts at heuristics that find 0.4 of the junk and call 0.02 of good text junk. Of the
+    two classes found, junk is the one in which the majority of heuristics call junk more often.
+    """
     m = len(HEURISTICS)
     patterns = sorted(counts)
     weight = np.array([counts[p] for p in patterns], float)
     onehot = np.zeros((len(patterns), m, 3))
     for i, p in enumerate(patterns):
         onehot[i, range(m), p] = 1
-    # start: a heuristic finds some of the junk and rarely calls good text junk
-    model = LabelModel(0.15, np.array([[[0.4, 0.1, 0.5]] * m, [[0.02, 0.1, 0.88]] * m]))
+    total = weight.sum()
+    silent = (np.tensordot(weight, onehot, 1)[:, ABSTAIN] + 0.01) / (total + 0.02)
+
+    def chances(junk: np.ndarray) -> np.ndarray:
+        return np.stack([np.stack([x * (1 - silent), silent, (1 - x) * (1 - silent)], 1) for x in junk])
+
+    model = LabelModel(0.15, chances(np.array([[0.4] * m, [0.02] * m])))
     for _ in range(rounds if patterns else 0):
         p = np.array([model.junk(x) for x in patterns])
-        chances = np.empty((2, m, 3))
-        for c, q in enumerate((p, 1 - p)):
-            seen = np.tensordot(q * weight, onehot, 1) + [0.01, 0.01, 0.01]
-            seen[:, ABSTAIN] = 0
-            chances[c] = seen / seen.sum(1, keepdims=True)
-            # the hidden class is junk only if its heuristics are precise and find something
-            j = np.minimum(chances[c][:, JUNK], MOST_FALSE) if c else np.clip(chances[c][:, JUNK], LEAST_FOUND, 1 - LEAST_FOUND)
-            chances[c][:, JUNK], chances[c][:, GOOD] = j, 1 - j
-            chances[c][:, ABSTAIN] = 1
-        prior = float(np.clip((p @ weight + 0.01) / (weight.sum() + 0.02), 1e-4, 0.5))
-        done = abs(prior - model.prior) < 1e-9 and np.allclose(chances, model.chances, atol=1e-9)
-        model = LabelModel(prior, chances)
+        found = []
+        for q in (p, 1 - p):
+            seen = np.tensordot(q * weight, onehot, 1) + 0.01
+            found.append(seen[:, JUNK] / (seen[:, JUNK] + seen[:, GOOD]))
+        prior = float((p @ weight + 0.01) / (total + 0.02))
+        new = LabelModel(prior, chances(np.array(found)))
+        done = abs(prior - model.prior) < 1e-9 and np.allclose(new.chances, model.chances, rtol=0, atol=1e-9)
+        model = new
         if done:
             break
+    if 2 * (model.chances[0, :, JUNK] < model.chances[1, :, JUNK]).sum() > m:
+        model = LabelModel(1 - model.prior, model.chances[::-1].copy())
     return model
 
 
@@ -159,7 +175,7 @@ def sparse(text: bytes) -> tuple[list[int], list[float]]:
     for w in words:
         for c in columns_of(w):
             total[c] = total.get(c, 0) + 1
-    n = len(words)
+    n = len(words) + SHRINK
     a, b = _measures(words)
     return [*total, FEATURES - 2, FEATURES - 1], [*[x / n for x in total.values()], a, b]
 
@@ -208,7 +224,7 @@ class Scorer:
             i, j = columns_of(x)
             known[x] = float(self.w[i] + self.w[j])
         a, r = _measures(words)
-        z = self.b + math.fsum(map(known.__getitem__, words)) / len(words) + self.w[-2] * a + self.w[-1] * r
+        z = self.b + math.fsum(map(known.__getitem__, words)) / (len(words) + SHRINK) + self.w[-2] * a + self.w[-1] * r
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -220,9 +236,10 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Label model over all documents' votes; scorer on a sample of `sample_rows` by a hash of the text.
+    """Label model over all documents' votes; scorer on a sample of `sample_rows` distinct texts by a hash of the text.
 
-    To the driver come the pattern counts (at most 3**6 rows) and the sample's features.
+    To the driver come the pattern counts (at most 3**8 rows) and the sample's features.
+    Copies of a text count once in the sample, so that a large group takes no other's place.
     An empty table gives a model that calls everything good.
     """
 
@@ -241,7 +258,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     labels = fit_labels(counts)
     order = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     share = min(1.0, 1.3 * sample_rows / max(total, 1))
-    drawn = texts.withColumn("order", order).filter(F.col("order") <= int(share * (1 << 40)))
+    drawn = texts.withColumn("order", order).filter(F.col("order") <= int(share * (1 << 40))).groupBy("order").agg(F.min("text").alias("text")).select("text", "order")
     sent = docs.sparkSession.sparkContext.broadcast(labels)
 
     def features(batches):
@@ -253,7 +270,9 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
 
     sample = map_arrow(drawn, features, "order long, at array<int>, value array<double>, good double").orderBy("order", "good").limit(sample_rows)
     rows = [(list(r["at"]), list(r["value"]), r["good"]) for r in sample.collect()]
-    return Model(labels, *fit_scorer(rows))
+    weights, bias = fit_scorer(rows)
+    # training weighs both classes alike; the bias is set back to the share of junk
+    return Model(labels, weights, bias + math.log((1 - labels.prior) / labels.prior))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
