@@ -10,7 +10,7 @@ streamed: every window covers one of the regularly spaced places that are looked
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -147,19 +147,23 @@ class SuffixAutomaton:
         return spans, items - {None}
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple]]:
-    """Items in groups of bounded size; only one group at a time is needed by a scan."""
-    out, block, n = [], [], 0
+def _automata(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
+    """An automaton of each group of items of bounded size; one group at a time is streamed to the driver and held there.
+
+    Without items there is one empty automaton.
+    """
+    block, n, made = [], 0, False
     for row in items.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
         words = words_alnum((row[1] or "").encode())
         if not words:
             continue
         if block and n + len(words) > block_words:
-            out.append(block)
-            block, n = [], 0
+            yield SuffixAutomaton.build(block, window)
+            block, n, made = [], 0, True
         block.append((None if row[0] is None else str(row[0]), words))
         n += len(words)
-    return [*out, block] if block or not out else out
+    if block or not made:
+        yield SuffixAutomaton.build(block, window)
 
 
 def _scan(docs: DataFrame, automaton, id_col: str, text_col: str) -> DataFrame:
@@ -191,15 +195,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     bounded size, which is broadcast, and the scan has no shuffle. More items make several
     automata, one scan each, whose spans are merged by row number and id.
     """
-    blocks = _blocks(items, item_id, item_text, block_words)
-    autos = (SuffixAutomaton.build(b, window) for b in blocks)
-    if len(blocks) == 1:
-        return _scan(docs, next(autos), id_col, text_col).withColumnRenamed("id", id_col)
+    autos = _automata(items, item_id, item_text, window, block_words)
+    auto = next(autos)
+    another = next(autos, None)
+    if another is None:
+        return _scan(docs, auto, id_col, text_col).withColumnRenamed("id", id_col)
     base = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(id_col).alias("key"), text_col), "decon")
     parts = None
-    for auto in autos:
+    while auto is not None:
         part = stored(_scan(base, auto, "row", text_col), "spans")
         parts = part if parts is None else parts.unionByName(part)
+        auto, another = another, next(autos, None)
     merged = parts.groupBy("id").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"),
@@ -224,17 +230,19 @@ def hit_words():
     return total
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_share: float = 0.05, cut_spans: bool = False) -> DataFrame:
+def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_share: float = 0.05, cut_spans: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without contaminated rows: those of which hit words are `max_share` or more.
 
     cut_spans: such rows stay, without the bytes from the first to the last word of each hit
-    span. Rows below the share stay as they are. All columns pass through unchanged.
+    span. Rows below the share stay as they are, and so do null and empty texts and repeated
+    rows; an empty table gives none. All columns pass through unchanged, whatever their names.
     """
-    blocks = _blocks(items, "item_id", "text", BLOCK_WORDS)
-    if len(blocks) == 1:
-        return _filter(docs, SuffixAutomaton.build(blocks[0], window), text_col, max_share, cut_spans)
+    autos = _automata(items, "item_id", "text", window, block_words)
+    auto = next(autos)
+    if next(autos, None) is None:
+        return _filter(docs, auto, text_col, max_share, cut_spans)
     rows = stored(docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "decon")
-    found = contamination(rows, items, "row", "text", window=window)
+    found = contamination(rows, items, "row", "text", window=window, block_words=block_words)
     bad = found.filter((hit_words() > 0) & (hit_words() >= max_share * F.col("n_words")))
     if not cut_spans:
         return rows.join(bad.select("row"), "row", "left_anti").select("doc.*")
@@ -243,17 +251,17 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text
 
 def _cut(rows: DataFrame, schema, text_col: str) -> DataFrame:
     names = schema.fieldNames()
-    n = len(names)
 
     def run(batches):
         at = names.index(text_col)
         for b in batches:
-            spans = [list(zip(s, e, strict=True)) if s else [] for s, e in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
-            text = [o if not s else _without((o or "").encode(), s).decode("utf-8", "replace") for o, s in zip(b.column(at).to_pylist(), spans, strict=True)]
-            cols = [pa.array(text, b.column(i).type) if i == at else b.column(i) for i in range(n)]
+            cols = b.column(0).flatten()
+            spans = [list(zip(s, e, strict=True)) if s else [] for s, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            text = [o if not s else _without((o or "").encode(), s).decode("utf-8", "replace") for o, s in zip(cols[at].to_pylist(), spans, strict=True)]
+            cols[at] = pa.array(text, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return map_arrow(rows.select("doc.*", "starts", "ends"), run, schema)
+    return map_arrow(rows.select("doc", "starts", "ends"), run, schema)
 
 
 def _filter(docs: DataFrame, automaton, text_col: str, max_share: float, cut_spans: bool) -> DataFrame:
