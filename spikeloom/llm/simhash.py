@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import resemblance
 from .common import bytes_of, map_arrow, partitions, stored
 from .graph import components
 
@@ -173,11 +174,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(known, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """docs with exactly one row of each component: that of its smallest id, null ids last.
 
     All columns pass. Of rows with one id, the one with the least text stays, and of those the first.
+    `similarity` (0.8 at least) asks for all pairs of five-word shingle sets of that Jaccard
+    similarity, of which fingerprints within the radius hold few: they are found and verified
+    by `resemblance` instead. Null, empty and wordless texts are one group; an empty table gives none.
     """
+    if similarity is not None:
+        return resemblance.keep_one(docs, id_col, text_col, similarity)
     numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
     rows = numbered.select("row", F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{text_col}").alias("text"))
     found = near_duplicates(rows.select("row", "text"), "row", "text", radius).select("row", "component_id")
