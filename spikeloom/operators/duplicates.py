@@ -12,13 +12,13 @@ from .correlogram import band_pairs
 def duplicate_pairs(spikes: DataFrame, window: int) -> DataFrame:
     """Pairs (idx_a earlier) of spikes on one `channel` at most window ticks apart, with the loser of each.
 
-    Within a unit the lower amplitude loses, across units the spike of the unit with more
+    Within a unit the lower amplitude loses, across units the spike of the unit with fewer
     spikes; in a tie the later one.
     """
     sized = spikes.join(spikes.groupBy("unit_id").agg(F.count("*").alias("n")), "unit_id")
     x = band_pairs(sized, window, "channel", across=True, carry=("amplitude", "n"))
     same = F.col("unit_a") == F.col("unit_b")
-    a_loses = F.when(same, F.col("amplitude_a") < F.col("amplitude_b")).otherwise(F.col("n_a") > F.col("n_b"))
+    a_loses = F.when(same, F.col("amplitude_a") < F.col("amplitude_b")).otherwise(F.col("n_a") < F.col("n_b"))
     return x.select("channel", "idx_a", "idx_b", "unit_a", "unit_b", "delta", F.when(a_loses, F.col("idx_a")).otherwise(F.col("idx_b")).alias("loser"))
 
 
@@ -40,16 +40,21 @@ def greedy_losers(spikes: DataFrame, window: int) -> DataFrame:
     x = x.withColumn("n_run", F.count("*").over(Window.partitionBy("channel", "run"))).filter("n_run > 1").join(size, "unit_id")
 
     def judge(table: pa.Table) -> pa.Table:
-        r = sorted(table.to_pylist(), key=lambda v: (v["t"], v["spike_idx"]))
-        gone = set()
-        for i, a in enumerate(r):
-            for b in r[i + 1 :]:
-                if a["spike_idx"] in gone or b["t"] - a["t"] > window:
+        table = table.sort_by([("t", "ascending"), ("spike_idx", "ascending")])
+        t, idx, unit, size, amplitude = (table.column(c).to_numpy().tolist() for c in ("t", "spike_idx", "unit_id", "n_unit", "amplitude"))
+        n, gone = len(t), [False] * len(t)
+        for i in range(n):
+            if gone[i]:
+                continue
+            for j in range(i + 1, n):
+                if t[j] - t[i] > window:
                     break
-                if b["spike_idx"] in gone:
+                if gone[j]:
                     continue
-                a_loses = a["amplitude"] < b["amplitude"] if a["unit_id"] == b["unit_id"] else a["n_unit"] > b["n_unit"]
-                gone.add((a if a_loses else b)["spike_idx"])
-        return pa.table({"spike_idx": pa.array(sorted(gone), pa.int64())})
+                if amplitude[i] < amplitude[j] if unit[i] == unit[j] else size[i] < size[j]:
+                    gone[i] = True
+                    break
+                gone[j] = True
+        return pa.table({"spike_idx": pa.array([x for x, g in zip(idx, gone, strict=True) if g], pa.int64())})
 
     return x.groupBy("channel", "run").applyInArrow(judge, "spike_idx long")

@@ -6,6 +6,7 @@ Doubles are rounded to six places on both sides. Constants are rescaled to the s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -277,16 +278,19 @@ def acg_normalised(spark, d):
 
 
 FEAT = (6, 12, 6, 18, 16)  # suppression, baseline, recovery from and to, fit
-_s, _b, _lo, _hi, _f = FEAT
-_t = 1 + (_f - 1) // 2
 
 
-@query(f"""with {ACG}, x as (select *, avg(n) filter (where lag_bin >= {_lo} and lag_bin < {_hi}) over w as rm, max(n) filter (where lag_bin >= 1 and lag_bin < {_f}) over w as fm, max(n) filter (where lag_bin >= {_t} and lag_bin < {_f}) over w as tm from dns window w as (partition by unit_id)),
-g as (select unit_id, min(n) filter (where lag_bin between 1 and {_s}) as lo, avg(n) filter (where lag_bin >= {_b} or (lag_bin >= -{_b} and lag_bin < -{_s})) as base,
- min(lag_bin) filter (where lag_bin >= 0 and lag_bin < {2 * _hi - _lo} and n >= rm) as rec, min(lag_bin) filter (where lag_bin >= 1 and lag_bin < {_f} and fm > 0 and n >= fm * 0.5) as rise,
- regr_slope(ln(greatest(cast(n as double), tm * 0.01e0)), cast(lag_bin as double)) filter (where lag_bin >= {_t} and lag_bin < {_f} and tm > 0) as slope from x group by unit_id)
-select unit_id, round(case when base > 0 then lo / base else 0.0e0 end, 6) as suppression_ratio, round(rec * {ACG_BIN / 1000}e0, 6) as suppression_ms, round((rise - 1) * {ACG_BIN / 1000}e0, 6) as tau_rise_ms,
- round(case when slope < -1e-12 then -1 / slope * {ACG_BIN / 1000} end, 3) as tau_decay_ms from g""")
+def feature_sql(supp: int, base: int, lo: int, hi: int, fit: int, bin_ms: float, acg: str = "dns") -> str:
+    """CTEs up to `acgf` over a dense correlogram."""
+    t = 1 + (fit - 1) // 2
+    return f"""fx as (select *, avg(n) filter (where lag_bin >= {lo} and lag_bin < {hi}) over w as rm, max(n) filter (where lag_bin >= 1 and lag_bin < {fit}) over w as fm, max(n) filter (where lag_bin >= {t} and lag_bin < {fit}) over w as tm from {acg} window w as (partition by unit_id)),
+fg as (select unit_id, min(n) filter (where lag_bin between 1 and {supp}) as lo, avg(n) filter (where lag_bin >= {base} or (lag_bin >= -{base} and lag_bin < -{supp})) as base,
+ min(lag_bin) filter (where lag_bin >= 0 and lag_bin < {2 * hi - lo} and n >= rm) as rec, min(lag_bin) filter (where lag_bin >= 1 and lag_bin < {fit} and fm > 0 and n >= fm * 0.5) as rise,
+ regr_slope(ln(greatest(cast(n as double), tm * 0.01e0)), cast(lag_bin as double)) filter (where lag_bin >= {t} and lag_bin < {fit} and tm > 0) as slope from fx group by unit_id),
+acgf as (select unit_id, case when base > 0 then lo / base else 0.0e0 end as suppression_ratio, rec * {bin_ms}e0 as suppression_ms, (rise - 1) * {bin_ms}e0 as tau_rise_ms, case when slope < -1e-12 then -1 / slope * {bin_ms} end as tau_decay_ms from fg)"""
+
+
+@query(f"with {ACG}, {feature_sql(*FEAT, ACG_BIN / 1000)} select unit_id, round(suppression_ratio, 6) as suppression_ratio, round(suppression_ms, 6) as suppression_ms, round(tau_rise_ms, 6) as tau_rise_ms, round(tau_decay_ms, 3) as tau_decay_ms from acgf")
 def acg_features(spark, d):
     x = correlogram.features(dense_acg(spark, d), ACG_HALF, ACG_BIN / 1000, *FEAT)
     return r6(x.withColumn("tau_decay_ms", F.round("tau_decay_ms", 3)))
@@ -415,22 +419,54 @@ def drift_estimate(spark, d):
     return r6(features.drift(features.drift_bins(features.spike_depths(pcs(spark, d), rel.channels(spark)), DAY)))
 
 
-DIMS = 4
+DIMS, PER_CHANNEL = 12, 3
 
 
 def unit_channels(spark, d):
-    """A unit's first channel is label mod 3; its channels are that and the next, with half of the values each."""
-    return rel.pc_vectors(spark, d, DIMS).select("unit_id").distinct().select("unit_id", (F.col("unit_id") % 3).alias("first_channel"), F.array(F.col("unit_id") % 3, (F.col("unit_id") + 1) % 3).alias("channels"))
-
-
-@query()
+    """A unit's first channel is label mod 3; its channels are that and the next three, with three values each."""
+    u = F.col("unit_id")
+    return rel.pc_vectors(spark, d, DIMS).select("unit_id").distinct().select("unit_id", (u % 3).alias("first_channel"), F.array(*[u % 3 + i for i in range(DIMS // PER_CHANNEL)]).alias("channels"))
+
+
+def _mahalanobis_sql() -> str:
+    """CTEs up to `dist` (unit_id, n, d2): a Cholesky factor of each unit's covariance, column after column, and a forward substitution for each spike of others."""
+    dims = range(DIMS)
+    out = [
+        "emb as (select cast(label as bigint) as u, vec_id as s, list_transform(embedding[1:12], lambda v: cast(v as double)) as f from embeddings)",
+        "cov0 as (select u, count(*) as n, " + ", ".join(f"avg(f[{i + 1}]) as m{i}" for i in dims) + ", "
+        + ", ".join(f"(sum(f[{i + 1}] * f[{j + 1}]) - count(*) * avg(f[{i + 1}]) * avg(f[{j + 1}])) / (count(*) - 1){' + 1e-10' if i == j else ''} as a{i}_{j}" for i in dims for j in range(i + 1)) + f" from emb group by u having count(*) > {DIMS})",
+    ]
+    for j in dims:
+        done = lambda i, top: "".join(f" - l{i}_{k} * l{top}_{k}" for k in range(top))
+        out.append(f"piv{j} as materialized (select *, sqrt(a{j}_{j}{done(j, j)}) as l{j}_{j} from cov{j})")
+        below = "".join(f", (a{i}_{j}{done(i, j)}) / l{j}_{j} as l{i}_{j}" for i in range(j + 1, DIMS))
+        out.append(f"cov{j + 1} as materialized (select *{below} from piv{j})")
+    # other spikes' values at the place of this unit's channels; a channel that the other unit lacks gives zeros
+    value = lambda i: f"case when u % 3 + {i // PER_CHANNEL} between o % 3 and o % 3 + {DIMS // PER_CHANNEL - 1} then f[({PER_CHANNEL} * (u % 3 + {i // PER_CHANNEL} - o % 3) + {i % PER_CHANNEL + 1})] else 0.0e0 end"
+    out.append(f"sub0 as materialized (select c.*, {', '.join(f'{value(i)} - m{i} as d{i}' for i in dims)} from cov{DIMS} c join (select u as o, f from emb) e on o <> c.u and c.u % 3 between o % 3 and o % 3 + {DIMS // PER_CHANNEL - 1})")
+    for i in dims:
+        out.append(f"sub{i + 1} as materialized (select *, (d{i}{''.join(f' - l{i}_{k} * y{k}' for k in range(i))}) / l{i}_{i} as y{i} from sub{i})")
+    out.append(f"dist as (select u as unit_id, n, {' + '.join(f'y{i} * y{i}' for i in dims)} as d2 from sub{DIMS})")
+    return ",\n".join(out)
+
+
+_TAIL = "exp(-d2 / 2) * (" + " + ".join(f"(d2 / 2) ** {k} / {math.factorial(k)}" for k in range(DIMS // 2)) + ")"
+
+
+def r3(df: DataFrame) -> DataFrame:
+    """Doubles that end an iteration or a matrix inverse, rounded to three places."""
+    return df.select(*[(F.round(F.col(c), 3) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"""with {_mahalanobis_sql()}, rk as (select *, row_number() over (partition by unit_id order by d2) as r, count(*) over (partition by unit_id) as n_other from dist)
+select unit_id, max(n) as n, max(n_other) as n_other, round(sum({_TAIL}) / max(n), 3) as l_ratio, round(max(d2) filter (where n_other > n and r = n + 1), 3) as isolation_distance from rk group by unit_id""")
 def isolation_distance(spark, d):
-    return r6(features.isolation(rel.pc_vectors(spark, d, DIMS), unit_channels(spark, d), DIMS, DIMS // 2))
+    return r3(features.isolation(rel.pc_vectors(spark, d, DIMS), unit_channels(spark, d), DIMS, PER_CHANNEL))
 
 
-@query()
+@query(f"with {_mahalanobis_sql()} select unit_id, round(avg(d2) / ({DIMS} * (max(n) - 1.0e0) / max(n)), 3) as silhouette from dist group by unit_id")
 def silhouette(spark, d):
-    return r6(features.silhouette_ratio(rel.pc_vectors(spark, d, DIMS), unit_channels(spark, d), DIMS, DIMS // 2))
+    return r3(features.silhouette_ratio(rel.pc_vectors(spark, d, DIMS), unit_channels(spark, d), DIMS, PER_CHANNEL))
 
 
 @query(f"""with {T1}, {SP}, med as (select unit_id, median(amplitude) as m from spikes group by unit_id), mad as (select unit_id, median(abs(amplitude - m)) as mad from spikes join med using (unit_id) group by unit_id)
@@ -456,7 +492,7 @@ def detrended_snippets(spark, d):
 
 _DUPES = f"""{LINE}, sz as (select unit_id, count(*) as n from dense group by unit_id),
 dup as (select a.channel, a.spike_idx as idx_a, b.spike_idx as idx_b, a.unit_id as unit_a, b.unit_id as unit_b, b.t - a.t as delta,
- case when case when a.unit_id = b.unit_id then a.amplitude < b.amplitude else na.n > nb.n end then a.spike_idx else b.spike_idx end as loser
+ case when case when a.unit_id = b.unit_id then a.amplitude < b.amplitude else na.n < nb.n end then a.spike_idx else b.spike_idx end as loser
  from dense a join dense b on a.channel = b.channel and b.t - a.t between 0 and 1 and (b.t > a.t or b.spike_idx > a.spike_idx) join sz na on na.unit_id = a.unit_id join sz nb on nb.unit_id = b.unit_id)"""
 
 
@@ -471,7 +507,17 @@ def dedup_spikes(spark, d):
     return r6(x.groupBy("unit_id").agg(F.count("*").alias("n_spikes"), F.round(F.sum("amplitude"), 2).alias("total")))
 
 
-@query()
+@query(f"""with recursive {LINE}, sz as (select unit_id, count(*) as n from dense group by unit_id),
+s as (select d.*, n, case when t - lag(t) over w <= 1 then 0 else 1 end as opens from dense d join sz using (unit_id) window w as (partition by channel order by t, spike_idx)),
+r as (select *, sum(opens) over (partition by channel order by t, spike_idx) as run from s),
+q as (select channel, run, list(struct_pack(i := spike_idx, p := p, t := t, u := unit_id, n := n, a := amplitude) order by p) as l
+ from (select *, row_number() over (partition by channel, run order by t, spike_idx) as p from r) group by all having count(*) > 1),
+g(channel, run, l, k, gone) as (select channel, run, l, 1, cast([] as bigint[]) from q
+ union all select channel, run, l, k + 1, case when list_contains(gone, k) then gone else list_concat(gone,
+  list_transform(case when f = 0 then c else c[:f - 1] end, lambda b: b.p), case when f > 0 then [k] else cast([] as bigint[]) end) end
+ from (select *, list_position(list_transform(c, lambda b: case when b.u = l[k].u then l[k].a < b.a else l[k].n < b.n end), true) as f0, coalesce(f0, 0) as f
+  from (select *, list_filter(l[k + 1:], lambda b: b.t - l[k].t <= 1 and not list_contains(gone, b.p)) as c from g where k < len(l))))
+select unnest(list_transform(gone, lambda p: l[p].i)) as spike_idx from g where k = len(l)""")
 def dedup_greedy(spark, d):
     return duplicates.greedy_losers(rel.dense_spikes(spark, d), 1)
 
@@ -661,7 +707,23 @@ def metrics_long(spark, d):
     return r6(metric_rows(typed_units(spark, d), ["n_spikes", "contamination", "presence_ratio", "percent_missing"]))
 
 
-@query()
+_ISI_PROPS = f"""x as (select unit_id, t, spike_idx, cast(isi as double) as isi, cast(lag(isi) over (partition by unit_id order by t, spike_idx) as double) as before from isi),
+y as (select * from x where isi is not null), mu as (select unit_id, avg(isi) as mu from y group by unit_id),
+ip as (select unit_id, count(*) as n_isi, avg(case when isi > {DAY} then 1.0e0 else 0.0e0 end) as prop_long, stddev_pop(isi) / nullif(avg(isi), 0) as cv, case when var_pop(isi) > 0 then avg((isi - mu) ** 3) / (var_pop(isi) ** 1.5) end as skew,
+ avg(case when isi + before > 0 then 2 * abs(isi - before) / (isi + before) end) as cv2 from y join mu using (unit_id) group by unit_id)"""
+_RATE_PROPS = """rp as (select unit_id, max(n_spikes) / (max(span) * 1e-6) as mean_rate, max(nb) as n_bins, stddev_pop(rate) as std_rate, var_pop(rate) / nullif(avg(rate), 0) as fano,
+ quantile_cont(rate, 0.95) / nullif(quantile_cont(rate, 0.05), 0) as rate_ratio from rb group by unit_id)"""
+_q = ACG_HALF // 5
+_PHYS = f"""{ACG}, {ISI}, {RATES.replace(SP + ", ", "")}, {_ISI_PROPS}, {_RATE_PROPS}, {T1}, {feature_sql(_q, 2 * _q, _q, min(4 * _q, ACG_HALF), max(ACG_HALF // 2, 4), ACG_BIN / 1000)},
+wd as (select template_id as unit_id, case when list_max(ab) > 0 then (list_position(w[p:], case when w[p] > 0 then list_min(w[p:]) else list_max(w[p:]) end) - 1) * 1e6 / 30000 end as duration_us
+ from (select template_id, wf as w, list_transform(wf, lambda v: abs(v)) as ab, list_position(list_transform(wf, lambda v: abs(v)), list_max(list_transform(wf, lambda v: abs(v)))) as p from tpl)),
+ph as (select k.unit_id, ip.* exclude (unit_id), rp.* exclude (unit_id), acgf.* exclude (unit_id), duration_us from (select unit_id from spikes group by unit_id having count(*) >= {PHYSIOLOGY.min_spikes}) k
+ left join ip using (unit_id) left join rp using (unit_id) left join acgf using (unit_id) left join wd using (unit_id))"""
+_THREE = ("prop_long", "cv", "skew", "cv2", "mean_rate", "std_rate", "fano", "rate_ratio", "suppression_ratio", "suppression_ms", "tau_rise_ms", "duration_us")
+
+
+@query(f"""with {_PHYS} select unit_id, n_isi, n_bins, {", ".join(f"round({c}, 3) as {c}" for c in _THREE)}, round(tau_decay_ms, -3) as tau_decay_ms,
+{_STRIATUM.replace("400", str(PHYSIOLOGY.template_duration_threshold))} as cell_type from ph""")
 def physiology(spark, d):
     x = pipeline.physiology(rel.spikes(spark, d), rel.templates(spark, d), FS, PHYSIOLOGY, rel.TICK, ACG_BIN, ACG_WINDOW, DAY, DAY, "striatum")
-    return r6(x)
+    return r3(x.withColumn("tau_decay_ms", F.round("tau_decay_ms", -3)))
