@@ -49,6 +49,11 @@ def r6(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
+def r3(df: DataFrame) -> DataFrame:
+    """Doubles that end an iteration or a matrix inverse, rounded to three places."""
+    return df.select(*[(F.round(F.col(c), 3) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
 SP = "spikes as (select user_id as unit_id, event_id as spike_idx, epoch_us(ts) as t, value as amplitude, event_type from events)"
 LINE = "dense as (select l_suppkey as unit_id, l_orderkey * 10 + l_linenumber as spike_idx, cast(date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as bigint) as t, l_extendedprice as amplitude, l_suppkey // 4 as channel from lineitem)"
 ISI = "isi as (select *, t - lag(t) over (partition by unit_id order by t, spike_idx) as isi from spikes)"
@@ -361,9 +366,60 @@ def waveform_extrema(spark, d):
     return r6(waveform.extrema(rel.templates(spark, d)))
 
 
-@query()
+def peaks_sql(name: str, series: str, sign: str = "") -> str:
+    """CTEs up to `name` (template_id, p, top, prom, width) of the local maxima of a series (template_id, i, v, wf), v being sign wf[i + 1].
+
+    No plateaus: in the tables at hand no two neighbours are equal.
+    """
+    at = lambda i: f"({sign}wf[{i} + 1])"
+    with_series = f"join {series} s using (template_id) group by all"
+    return f"""{name}_n as (select *, lag(v) over w as pv, lead(v) over w as nv from {series} window w as (partition by template_id order by i)),
+{name}_p as (select template_id, i as p, v as top from {name}_n where pv < v and nv < v),
+{name}_b as (select q.*, coalesce(max(s.i) filter (where s.i < p and s.v > top), -1) as lb, coalesce(min(s.i) filter (where s.i > p and s.v > top), 100000) as rb from {name}_p q {with_series}),
+{name}_l as (select q.*, min(s.v) filter (where s.i > lb and s.i <= p) as ll, min(s.v) filter (where s.i >= p and s.i < rb) as rl from {name}_b q {with_series}),
+{name}_e as (select q.*, top - greatest(ll, rl) as prom, top - (top - greatest(ll, rl)) / 2 as half, max(s.i) filter (where s.i > lb and s.i <= p and s.v = ll) as le, min(s.i) filter (where s.i >= p and s.i < rb and s.v = rl) as re from {name}_l q {with_series}),
+{name}_k as (select q.*, any_value(s.wf) as wf, max(s.i) filter (where s.i between le and p and s.v <= half) as lk, min(s.i) filter (where s.i between p and re and s.v <= half) as rk from {name}_e q {with_series}),
+{name} as (select template_id, p, top, prom, (rk - case when {at('rk')} < half then (half - {at('rk')}) / ({at('(rk - 1)')} - {at('rk')}) else 0 end) - (lk + case when {at('lk')} < half then (half - {at('lk')}) / ({at('(lk + 1)')} - {at('lk')}) else 0 end) as width from {name}_k)"""
+
+
+def _side_sql(name: str, part: str) -> str:
+    """CTE `name` (template_id, places, sizes, width, forced): the peaks of one side of the trough, or what stands for them."""
+    strong, weak = f"list({{}} order by p) filter (where prom >= 0.2e0 * big)", "arg_max({}, struct_pack(a := prom, b := -p)) filter (where prom >= 0.015e0 * big)"
+    return f"""{name}_f as (select template_id, {strong.format('p')} as sp, {strong.format('top')} as st, arg_max(width, struct_pack(a := prom, b := -p)) filter (where prom >= 0.2e0 * big) as sw,
+ {weak.format('p')} as wp, {weak.format('top')} as wt, {weak.format('width')} as ww from {name}_pk join shp_t using (template_id) where usable_{name} group by template_id),
+{name}_m as (select template_id, arg_max(i, struct_pack(a := v, b := -i)) as mp, max(v) as mt from {part} group by template_id),
+{name} as (select template_id, case when sp is not null then sp when wp is not null then [wp] when mp is not null then [mp] else [case when '{name}' = 'aft' then trough else 0 end] end as places,
+ case when sp is not null then st when wp is not null then [wt] when mp is not null then [mt] else [0.0e0] end as sizes, case when sp is not null then sw when wp is not null then ww end as width, sp is null as forced
+ from shp_t left join {name}_f using (template_id) left join {name}_m using (template_id))"""
+
+
+def shape_sql(tpl: str = "tpl", lead: int = 4, fs: float = FS) -> str:
+    """CTEs up to `shape` over templates (template_id, wf) of which some value after the masked lead isn't 0."""
+    ratio = lambda a, b: f"case when {b} <> 0 then abs({a} / {b}) end"
+    return f"""smp as (select template_id, wf, i, wf[i + 1] as v from {tpl}, unnest(range({lead}, len(wf))) as g(i)), neg as (select template_id, wf, i, -v as v from smp),
+{peaks_sql('low', 'neg', '-')},
+shp_b as (select template_id, len(any_value(wf)) as size, max(abs(v)) as big, arg_min(i, struct_pack(a := v, b := i)) as deepest, min(v) as depth, arg_max(i, struct_pack(a := abs(v), b := -i)) as largest from smp group by template_id),
+shp_l as (select template_id, list(p order by p) as lp, list(top order by p) as lt, arg_max(p, struct_pack(a := top, b := -p)) as main, arg_max(width, struct_pack(a := prom, b := -p)) as lw from low join shp_b using (template_id) where prom >= 0.2e0 * big group by template_id),
+shp_t as (select template_id, size, big, largest, coalesce(main, deepest) as trough, lw as trough_width, coalesce(lp, [deepest]) as trough_places, coalesce(list_max(lt), depth) as size_t,
+ coalesce(main, deepest) > 3 as usable_bef, size - coalesce(main, deepest) > 3 as usable_aft from shp_b left join shp_l using (template_id)),
+part_b as (select s.* from smp s join shp_t using (template_id) where i < trough), part_a as (select s.* from smp s join shp_t using (template_id) where i >= trough),
+{peaks_sql('bef_pk', 'part_b')}, {peaks_sql('aft_pk', 'part_a')}, {_side_sql('bef', 'part_b')}, {_side_sql('aft', 'part_a')},
+shp_s as (select t.*, b.places as bp, a.places as ap, b.width as bw, list_max(list_transform(b.sizes, lambda x: abs(x))) as size_b, list_max(list_transform(a.sizes, lambda x: abs(x))) as size_a,
+ case when b.forced and a.forced then not b.sizes[1] > a.sizes[1] else b.forced end as fb, case when b.forced and a.forced then b.sizes[1] > a.sizes[1] else a.forced end as fa from shp_t t join bef b using (template_id) join aft a using (template_id)),
+shp_d as (select template_id, case when any_value(wf[largest + 1]) > 0 then arg_min(i, struct_pack(a := v, b := i)) else arg_max(i, struct_pack(a := v, b := -i)) end as opposite from smp join shp_t using (template_id) where i >= largest group by template_id),
+shape as (select template_id, case when fb and size_b < 0.1e0 * big then ap when fa and size_a < 0.1e0 * big then bp else list_concat(bp, ap) end as peak_places, trough_places, len(peak_places) as n_peaks, len(trough_places) as n_troughs,
+ 1e6 * abs(largest - opposite) / {fs}e0 as duration_us, bw as peak_before_width, trough_width, {ratio('size_a', 'size_t')} as second_peak_to_trough, {ratio('size_b', 'size_a')} as peak1_to_peak2, {ratio('greatest(size_b, size_a)', 'size_t')} as main_peak_to_trough, {ratio('size_t', 'size_b')} as trough_to_peak2
+ from shp_s join shp_d using (template_id))"""
+
+
+_SHAPE_NUMBERS = ("duration_us", "peak_before_width", "trough_width", "second_peak_to_trough", "peak1_to_peak2", "main_peak_to_trough", "trough_to_peak2")
+
+
+@query(f"""with {T1}, {shape_sql()} select template_id, n_peaks, n_troughs, {", ".join(f"round({c}, 6) as {c}" for c in _SHAPE_NUMBERS)},
+array_to_string(peak_places, ',') as peak_places, array_to_string(trough_places, ',') as trough_places from shape""")
 def waveform_shape(spark, d):
-    return r6(waveform.waveform_shape(rel.templates(spark, d), FS).withColumns({c: summary.finite(F.col(c)) for c in ("second_peak_to_trough", "peak1_to_peak2", "main_peak_to_trough", "trough_to_peak2")}))
+    x = waveform.waveform_shape(rel.templates(spark, d), FS).withColumns({c: summary.finite(F.col(c)) for c in ("second_peak_to_trough", "peak1_to_peak2", "main_peak_to_trough", "trough_to_peak2")})
+    return r6(x.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("peak_places", "trough_places")}))
 
 
 CHAN = "chn as (select i as channel, i % 2 * 32.0e0 as x, i // 2 * 15.0e0 as y from range(16) g(i))"
@@ -387,9 +443,20 @@ def spatial_decay_loglinear(spark, d):
     return r6(waveform.log_linear_decay(points(spark, d)))
 
 
-@query()
+def exponential_sql(points: str = "pts", most: float = 0.3, grid: int = 600, rounds: int = 60) -> str:
+    """CTEs up to `expo` (template_id, spatial_decay): the slope with the least squares, its height solved for, on a grid and then by thirds. Needs `with recursive`."""
+    cost = lambda m: f"(select sum(val * val) - sum(val * exp({m} * dist)) ** 2 / sum(exp(2 * {m} * dist)) from {points} p where p.template_id = z.template_id)"
+    step = 1.2 * most / grid
+    return f"""eg as (select template_id, m, sum(val * val) - sum(val * exp(m * dist)) ** 2 / sum(exp(2 * m * dist)) as c from {points}, (select -{most} + i * {step}e0 as m from range({grid + 1}) g(i)) group by all),
+e0 as (select template_id, arg_min(m, c) as m from eg group by template_id),
+et(template_id, lo, hi, k) as (select template_id, m - {step}, m + {step}, 0 from e0 union all
+ select template_id, case when ca > cb then a else lo end, case when ca > cb then hi else b end, k + 1 from (select *, {cost('a')} as ca, {cost('b')} as cb from (select *, lo + (hi - lo) / 3 as a, hi - (hi - lo) / 3 as b from et where k < {rounds}) z)),
+expo as (select template_id, -(lo + hi) / 2 as spatial_decay from et where k = {rounds})"""
+
+
+@query(f"with recursive {POINTS}, {exponential_sql()} select template_id, round(spatial_decay, 3) as spatial_decay from expo")
 def spatial_decay_exponential(spark, d):
-    return r6(waveform.exponential_decay(points(spark, d)))
+    return r3(waveform.exponential_decay(points(spark, d)))
 
 
 @query("with y as (select distinct i // 2 * 15.0e0 as y from range(16) g(i)), z as (select y - lag(y) over (order by y) as gap from y) select min(gap) as least_gap, min(gap) < 30 as allowed from z")
@@ -453,11 +520,6 @@ def _mahalanobis_sql() -> str:
 _TAIL = "exp(-d2 / 2) * (" + " + ".join(f"(d2 / 2) ** {k} / {math.factorial(k)}" for k in range(DIMS // 2)) + ")"
 
 
-def r3(df: DataFrame) -> DataFrame:
-    """Doubles that end an iteration or a matrix inverse, rounded to three places."""
-    return df.select(*[(F.round(F.col(c), 3) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
-
-
 @query(f"""with {_mahalanobis_sql()}, rk as (select *, row_number() over (partition by unit_id order by d2) as r, count(*) over (partition by unit_id) as n_other from dist)
 select unit_id, max(n) as n, max(n_other) as n_other, round(sum({_TAIL}) / max(n), 3) as l_ratio, round(max(d2) filter (where n_other > n and r = n + 1), 3) as isolation_distance from rk group by unit_id""")
 def isolation_distance(spark, d):
