@@ -45,19 +45,62 @@ def least_squares(model: Callable, p0, x, y, rounds: int = 60, tol: float = 1e-7
     return p
 
 
-def cut_gaussian_missing(counts, lefts, width, sd, low) -> float:
-    """Percent of a Gaussian below its cut-off, which stays at its start, the 1st percentile.
+#: Steps of the batched Gaussian fit, at most; each either moves or raises its own damping. A fit ends
+#: with a move that lessens its squares by less than this share.
+GAUSSIAN_STEPS, GAUSSIAN_TOLERANCE = 100, 1e-4
+
 
-    The cut-off has no gradient in the sum of squares, so only height, centre and width are fitted.
+def cut_gaussians_missing(counts: np.ndarray, lefts: np.ndarray, width: np.ndarray, sd: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Percent of a Gaussian below its cut-off for each row of histograms, all fitted at once by damped least squares.
+
+    The cut-off stays at its start, the 1st percentile: it has no gradient in the sum of
+    squares, so only height, centre and width are fitted, from the 99th percentile of the
+    counts, the fullest bin and the standard deviation. No finite fit: NaN.
     """
-    n, x = np.asarray(counts, float), np.asarray(lefts, float) + width / 2
-    if not len(n) or n.sum() <= 5 or not sd:
-        return math.nan
-    at = x >= low
-    fit = least_squares(lambda v, a, u, s: np.where(at, a * np.exp(-((v - u) ** 2) / (2 * s * s + 1e-300)), 0.0), (np.percentile(n, 99), x[int(n.argmax())], sd), x, n)
-    if fit is None or not np.isfinite(fit).all() or fit[2] == 0:
+    n, x = np.asarray(counts, float), np.asarray(lefts, float) + np.asarray(width, float)[:, None] / 2
+    at = (x >= np.asarray(low, float)[:, None]).astype(float)
+    rows = np.arange(len(n))
+    p = np.stack([np.percentile(n, 99, axis=1), x[rows, n.argmax(1)], np.asarray(sd, float)], 1)
+
+    def model(p):
+        d = x - p[:, 1:2]
+        return d, p[:, :1] * np.exp(-(d**2) / (2 * p[:, 2:] ** 2)) * at
+
+    with np.errstate(all="ignore"):
+        d, f = model(p)
+        cost, lam, going = ((n - f) ** 2).sum(1), np.full(len(n), 1e-3), np.ones(len(n), bool)
+        for _ in range(GAUSSIAN_STEPS):
+            if not going.any():
+                break
+            a, s = p[:, :1], p[:, 2:]
+            jac = np.stack([f / a, f * d / s**2, f * d**2 / s**3], 2)
+            m, g = np.einsum("rki,rkj->rij", jac, jac), np.einsum("rki,rk->ri", jac, n - f)
+            step = _solve3(m * (1 + lam[:, None, None] * np.eye(3)), g)
+            new = p + step
+            d2, f2 = model(new)
+            c = ((n - f2) ** 2).sum(1)
+            good = going & np.isfinite(step).all(1) & np.isfinite(c) & (c <= cost)
+            going &= ~(good & (cost - c <= GAUSSIAN_TOLERANCE * cost))
+            p, d, f = np.where(good[:, None], new, p), np.where(good[:, None], d2, d), np.where(good[:, None], f2, f)
+            cost, lam = np.where(good, c, cost), np.where(good, np.maximum(lam / 10, 1e-12), np.minimum(lam * 10, 1e12))
+        z = (p[:, 1] - low) / np.abs(p[:, 2])
+    return np.array([100 * (1 - norm_cdf(v)) if math.isfinite(v) else math.nan for v in z.tolist()])
+
+
+def _solve3(m: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Solutions of symmetric systems of three by Cramer's rule; a singular one gives no finite numbers."""
+    a, b, c, d, e, f = m[:, 0, 0], m[:, 0, 1], m[:, 0, 2], m[:, 1, 1], m[:, 1, 2], m[:, 2, 2]
+    ca, cb, cc, cd, ce, cf = d * f - e * e, c * e - b * f, b * e - c * d, a * f - c * c, b * c - a * e, a * d - b * b
+    det = a * ca + b * cb + c * cc
+    x, y, z = g.T
+    return np.stack([ca * x + cb * y + cc * z, cb * x + cd * y + ce * z, cc * x + ce * y + cf * z], 1) / det[:, None]
+
+
+def cut_gaussian_missing(counts, lefts, width, sd, low) -> float:
+    """`cut_gaussians_missing` of one histogram; too few counts: NaN."""
+    if not len(counts) or sum(counts) <= 5 or not sd:
         return math.nan
-    return 100 * (1 - norm_cdf((fit[1] - low) / abs(fit[2])))
+    return float(cut_gaussians_missing(np.array([counts]), np.array([lefts]), np.array([width]), np.array([sd]), np.array([low]))[0])
 
 
 def exponential_slope(distances, values) -> float:

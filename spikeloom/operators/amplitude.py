@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fits import cut_gaussian_missing
+from ..functions.fits import cut_gaussians_missing
 
 BINS = 50
 
@@ -16,26 +17,36 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def drop_outliers(spikes: DataFrame) -> DataFrame:
-    """Without amplitudes over p99 + 10 (p99 - p1) of their unit."""
-    q = spikes.groupBy("unit_id").agg(F.percentile("amplitude", F.lit(0.99)).alias("p99"), F.percentile("amplitude", F.lit(0.01)).alias("p1"))
-    return spikes.join(q, "unit_id").filter("amplitude <= p99 + 10 * (p99 - p1)").drop("p99", "p1")
+def drop_outliers(spikes: DataFrame, *keys: str) -> DataFrame:
+    """Without amplitudes over p99 + 10 (p99 - p1) of their unit (and key, such as a chunk)."""
+    by = ["unit_id", *keys]
+    q = spikes.groupBy(*by).agg(F.percentile("amplitude", F.array(F.lit(0.99), F.lit(0.01))).alias("q")).select(*by, F.col("q")[0].alias("p99"), F.col("q")[1].alias("p1"))
+    return spikes.join(q, by).filter("amplitude <= p99 + 10 * (p99 - p1)").drop("p99", "p1")
 
 
-def histogram(spikes: DataFrame, bins: int = BINS) -> DataFrame:
-    """(unit_id, bin, left, width, n) of equi-width bins over each unit's range, zero-filled, the last one closed."""
-    r = spikes.groupBy("unit_id").agg(F.min("amplitude").alias("lo"), F.max("amplitude").alias("hi")).filter("hi > lo").withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+def ranges(spikes: DataFrame, *keys: str, bins: int = BINS) -> DataFrame:
+    """Least and largest amplitude, width of a bin, deviation and 1st percentile of each unit (and key) with a range, in one pass."""
+    by = ["unit_id", *keys]
+    r = spikes.groupBy(*by).agg(F.min("amplitude").alias("lo"), F.max("amplitude").alias("hi"), F.stddev_pop("amplitude").alias("sd"), F.percentile("amplitude", F.lit(0.01)).alias("low"))
+    return r.filter("hi > lo").withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+
+
+def histogram(spikes: DataFrame, *keys: str, bins: int = BINS) -> DataFrame:
+    """(unit_id, keys, bin, left, width, n) of equi-width bins over each unit's range, zero-filled, the last one closed."""
+    by = ["unit_id", *keys]
+    r = ranges(spikes, *keys, bins=bins)
     at = F.least(F.floor((F.col("amplitude") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
-    n = spikes.join(r, "unit_id").groupBy("unit_id", at.alias("bin")).agg(F.count("*").alias("n"))
-    grid = r.select("unit_id", "lo", "width", F.explode(F.expr(f"sequence(0, {bins - 1})")).alias("bin"))
-    full = grid.join(n, ["unit_id", "bin"], "left")
-    return full.select("unit_id", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left"), "width", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    n = spikes.join(r, by).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
+    grid = r.select(*by, "lo", "width", F.explode(F.expr(f"sequence(0, {bins - 1})")).alias("bin"))
+    full = grid.join(n, [*by, "bin"], "left")
+    return full.select(*by, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left"), "width", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def counts_array(hist: DataFrame) -> DataFrame:
-    """One row a unit with its counts in bin order: 50 numbers, however many spikes."""
-    x = hist.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "left", "width"))).alias("h"))
-    return x.select("unit_id", F.col("h.n").alias("counts"), F.col("h.left").alias("lefts"), F.element_at("h.width", 1).alias("width"))
+def counts_array(hist: DataFrame, *keys: str) -> DataFrame:
+    """One row a unit (and key) with its counts in bin order: 50 numbers, however many spikes."""
+    by = ["unit_id", *keys]
+    x = hist.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "n", "left", "width"))).alias("h"))
+    return x.select(*by, F.col("h.n").alias("counts"), F.col("h.left").alias("lefts"), F.element_at("h.width", 1).alias("width"))
 
 
 def median5(c: Column) -> Column:
@@ -44,19 +55,20 @@ def median5(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.element_at(F.array_sort(F.slice(padded, i, 5)), 3))
 
 
-def missing_symmetric(hist: DataFrame) -> DataFrame:
+def missing_symmetric(hist: DataFrame, *keys: str) -> DataFrame:
     """Percent missing if the part right of the mode were mirrored: 100 (S - N)/S, at least 0; too few spikes: null.
 
     The mode is the first maximum of the median-filtered counts; the surrogate leaves the modal
     bin out, and mirrored bins before the first are dropped.
     """
-    x = counts_array(hist).withColumn("smooth", median5(F.col("counts")))
+    x = counts_array(hist, *keys).withColumn("smooth", median5(F.col("counts")))
     x = x.withColumn("mode", F.array_position("smooth", F.array_max("smooth")).cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
     right = F.slice("counts", F.col("mode") + 1, F.lit(BINS))
     mirrored = F.slice(right, F.lit(1), F.greatest(F.least(F.size(right), F.col("mode") - 1), F.lit(0)))
-    x = x.select("unit_id", total("counts").alias("n"), (total(right) + total(mirrored)).alias("surrogate"))
-    return x.select("unit_id", "n", F.when(F.col("n") > 5, F.when(F.col("surrogate") > 0, F.greatest(F.lit(0.0), 100.0 * (F.col("surrogate") - F.col("n")) / F.col("surrogate"))).otherwise(0.0)).alias("missing_symmetric"))
+    x = x.select("unit_id", *keys, total("counts").alias("n"), (total(right) + total(mirrored)).alias("surrogate"))
+    missing = F.when(F.col("surrogate") > 0, F.greatest(F.lit(0.0), 100.0 * (F.col("surrogate") - F.col("n")) / F.col("surrogate"))).otherwise(0.0)
+    return x.select("unit_id", *keys, "n", F.when(F.col("n") > 5, missing).alias("missing_symmetric"))
 
 
 def peak_cutoff(hist: DataFrame) -> DataFrame:
@@ -66,22 +78,27 @@ def peak_cutoff(hist: DataFrame) -> DataFrame:
     return x.groupBy("unit_id").agg((F.max("n") == F.max("rise")).alias("is_cutoff"), F.sum("n").alias("n"))
 
 
-def missing_gaussian(spikes: DataFrame) -> DataFrame:
-    """Percent missing by a cut Gaussian fitted to each unit's 50 counts; a cut-off histogram gives 100, few spikes null.
+def missing_gaussian(spikes: DataFrame, *keys: str) -> DataFrame:
+    """Percent missing by a cut Gaussian fitted to each unit's (and key's) 50 counts; a cut-off histogram gives 100, few spikes null.
 
-    The fit sees the counts and four numbers of each unit, never its spikes.
+    The fit sees the counts and four numbers of each unit, never its spikes, and takes all
+    units of an Arrow batch at once.
     """
-    kept = drop_outliers(spikes)
-    hist = histogram(kept)
-    stats = kept.groupBy("unit_id").agg(F.stddev_pop("amplitude").alias("sd"), F.percentile("amplitude", F.lit(0.01)).alias("low"))
-    x = counts_array(hist).join(stats, "unit_id").join(peak_cutoff(hist), "unit_id")
+    by = ["unit_id", *keys]
+    kept = drop_outliers(spikes, *keys)
+    x = counts_array(histogram(kept, *keys), *keys).join(ranges(kept, *keys).select(*by, "sd", "low"), by)
+    n = F.aggregate("counts", F.lit(0).cast("long"), lambda s, v: s + v)
+    rises = F.transform("counts", lambda v, i: v - F.coalesce(F.get("counts", i - 1), F.lit(0)))
+    x = x.select(*by, "counts", "lefts", "width", "sd", "low", n.alias("n"), (F.array_max("counts") == F.array_max(rises)).alias("is_cutoff"))
 
     @F.pandas_udf("double")
     def fit(counts: pd.Series, lefts: pd.Series, width: pd.Series, sd: pd.Series, low: pd.Series) -> pd.Series:
-        return pd.Series([cut_gaussian_missing(*a) for a in zip(counts, lefts, width, sd, low, strict=True)], dtype="float64")
+        if not len(counts):
+            return pd.Series([], dtype="float64")
+        return pd.Series(cut_gaussians_missing(np.stack(counts), np.stack(lefts), width.to_numpy(), sd.to_numpy(), low.to_numpy()))
 
     percent = fit("counts", "lefts", "width", "sd", "low")
-    return x.select("unit_id", "n", F.when(F.col("n") > 5, F.when(F.col("is_cutoff"), 100.0).otherwise(F.nanvl(percent, F.lit(None).cast("double")))).alias("missing_gaussian"))
+    return x.select(*by, "n", F.when(F.col("n") > 5, F.when(F.col("is_cutoff"), 100.0).otherwise(F.nanvl(percent, F.lit(None).cast("double")))).alias("missing_gaussian"))
 
 
 def raw_amplitude(wf: Column, gain: Column | float | None) -> Column:

@@ -27,7 +27,8 @@ def noise_rules(df: DataFrame, p: QualityParams) -> dict[str, Column]:
         "baseline": c("baseline_flatness") > p.max_wv_baseline_fraction, "second_peak": c("second_peak_to_trough") > p.max_scnd_peak_to_trough,
     }
     if "spatial_decay" in df.columns:
-        rules["spatial_decay"] = (c("spatial_decay") < p.min_spatial_decay) | (c("spatial_decay") > p.max_spatial_decay)
+        low, high = c("spatial_decay") < p.min_spatial_decay, c("spatial_decay") > p.max_spatial_decay
+        rules["spatial_decay"] = c("spatial_decay") < p.min_spatial_decay_linear if p.linear_decay else low | high
     return {k: _true(v) for k, v in rules.items()}
 
 

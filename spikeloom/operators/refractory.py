@@ -88,3 +88,14 @@ def tau_table(per_chunk: DataFrame, taus: list[int]) -> DataFrame:
     """One row a unit, one column a tau, of the mean contamination over chunks."""
     cols = [F.avg(F.when(F.col("tau_idx") == i, F.col("contamination"))).alias(f"tau_{t}") for i, t in enumerate(taus)]
     return per_chunk.groupBy("unit_id").agg(*cols)
+
+
+def estimate(spikes: DataFrame, method: str, taus: list[int], tau_c: int, tick: float, confidence: float = 0.9) -> DataFrame:
+    """(unit_id, contamination, tau_r) by one of the methods hill, llobet and ibl: the least over all taus, and the first tau that attains it."""
+    if method == "ibl":
+        return sliding_confidence(spikes, taus, tau_c, tick, confidence).select("unit_id", "contamination", "tau_r")
+    sweeps = {"hill": hill_sweep, "llobet": llobet_sweep}
+    if method not in sweeps:
+        raise ValueError(f"unknown refractory method {method!r}")
+    best = sweeps[method](spikes, taus, tau_c, tick).groupBy("unit_id").agg(F.min(F.struct("contamination", "tau_idx", "tau_r")).alias("m"))
+    return best.select("unit_id", F.col("m.contamination").alias("contamination"), F.col("m.tau_r").alias("tau_r"))

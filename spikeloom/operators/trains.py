@@ -60,10 +60,13 @@ def presence_ratio(spikes: DataFrame, bin_ticks: int, *keys: str, window: DataFr
     """Share of the whole bins of the window (start, end; by default the recording's) that are full.
 
     Full: more than none and at least a twentieth of the 90th percentile. Fewer than two
-    edges: null. keys add grouping columns, such as a chunk, whose own windows are then given.
+    edges: null. keys add grouping columns, such as a chunk, whose own windows are then given;
+    a window table with a unit_id holds each unit's own.
     """
     window = bounds(spikes) if window is None else window
     by = ["unit_id", *keys]
+    if "unit_id" in window.columns:
+        keys = ("unit_id", *keys)
     n_bins = (F.ceil((F.col("end") - F.col("start")) / bin_ticks) - 1).cast("int")
     if keys:
         units, placed = spikes.select(*by).distinct().join(window, list(keys)), spikes.join(window, list(keys))

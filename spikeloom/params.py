@@ -48,6 +48,8 @@ class QualityParams:
     use_distance: bool = False
     use_drift: bool = False
     use_raw: bool = False
+    linear_decay: bool = False
+    rpv_method: str = "hill"
 
     def with_(self, **changes) -> QualityParams:
         return replace(self, **changes)
@@ -56,9 +58,16 @@ class QualityParams:
         """Name -> text, for the one-row parameter table."""
         return {k: str(v) for k, v in asdict(self).items()}
 
-    def spike_width(self, samples: int | None = None) -> int:
-        """Samples of a snippet: 82, or 61 for the newer sorter; forced odd when derived from ms."""
-        return samples or 82
+@dataclass(frozen=True)
+class Ticks:
+    """Times of a run in the recording's integer ticks; tick is seconds a tick, dedup None leaves duplicates in."""
+
+    tick: float
+    taus: tuple[int, ...]
+    tau_c: int
+    chunk: int
+    presence_bin: int
+    dedup: int | None = None
 
 
 def unit_match_params() -> QualityParams:

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fits import GAUSSIAN_STEPS, GAUSSIAN_TOLERANCE
 from ..operators import amplitude, correlogram, curation, duplicates, features, labels, refractory, summary, trains, waveform
-from ..params import PhysiologyParams, QualityParams
+from ..params import PhysiologyParams, QualityParams, Ticks
 from . import pipeline
 from . import relations as rel
 
@@ -27,7 +28,6 @@ ACG_HALF = correlogram.half_bins(ACG_WINDOW, ACG_BIN)
 CCG_BIN, CCG_WINDOW = 60 * S, 1200 * S
 FS = 30000.0
 DEDUP = 400 * S
-PARAMS = QualityParams(min_num_spikes=60, max_rpv=0.5, min_presence_ratio=0.9)
 PHYSIOLOGY = PhysiologyParams(min_spikes=60, template_duration_threshold=800.0)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,11 +207,16 @@ def spikes_in_good_window(spark, d):
     return r6(trains.spike_counts(trains.within_window(s, w)))
 
 
-HIST = f"""{SP}, q as (select unit_id, quantile_cont(amplitude, 0.99) as p99, quantile_cont(amplitude, 0.01) as p1 from spikes group by unit_id),
-kept as (select spikes.* from spikes join q using (unit_id) where amplitude <= p99 + 10 * (p99 - p1)),
-rng as (select unit_id, min(amplitude) as lo, max(amplitude) as hi, (max(amplitude) - min(amplitude)) / 50 as width from kept group by unit_id having max(amplitude) > min(amplitude)),
-hc as (select unit_id, least(cast(floor((amplitude - lo) / width) as bigint), 49) as bin, count(*) as n from kept join rng using (unit_id) group by all),
-hist as (select unit_id, bin, lo + bin * width as left_, width, coalesce(n, 0) as n from (select * from rng, unnest(range(50)) as g(bin)) left join hc using (unit_id, bin))"""
+def hist_sql(source: str, by: str = "unit_id", x: str = "") -> str:
+    """CTEs up to {x}kept and {x}hist (by, bin, left_, width, n) of a source's amplitudes."""
+    return f"""{x}q as (select {by}, quantile_cont(amplitude, 0.99) as p99, quantile_cont(amplitude, 0.01) as p1 from {source} group by {by}),
+{x}kept as (select {source}.* from {source} join {x}q using ({by}) where amplitude <= p99 + 10 * (p99 - p1)),
+{x}rng as (select {by}, min(amplitude) as lo, max(amplitude) as hi, (max(amplitude) - min(amplitude)) / 50 as width from {x}kept group by {by} having max(amplitude) > min(amplitude)),
+{x}hc as (select {by}, least(cast(floor((amplitude - lo) / width) as bigint), 49) as bin, count(*) as n from {x}kept join {x}rng using ({by}) group by all),
+{x}hist as (select {by}, bin, lo + bin * width as left_, width, coalesce(n, 0) as n from (select * from {x}rng, unnest(range(50)) as g(bin)) left join {x}hc using ({by}, bin))"""
+
+
+HIST = f"{SP}, {hist_sql('spikes')}"
 
 
 def hist(spark, d):
@@ -223,10 +228,11 @@ def amplitude_histogram(spark, d):
     return r6(hist(spark, d))
 
 
-SYM = f"""{HIST}, sm as (select unit_id, bin, n, list_sort(list(n) over (partition by unit_id order by bin rows between 2 preceding and 2 following) || list_transform(range(greatest(0, greatest(2 - bin, bin - 47))), lambda z: cast(0 as bigint)))[3] as s from hist),
+_SYM = """sm as (select unit_id, bin, n, list_sort(list(n) over (partition by unit_id order by bin rows between 2 preceding and 2 following) || list_transform(range(greatest(0, greatest(2 - bin, bin - 47))), lambda z: cast(0 as bigint)))[3] as s from HIST),
 mode_ as (select unit_id, min(bin) as m from (select *, max(s) over (partition by unit_id) as top from sm) where s = top group by unit_id),
-sym as (select unit_id, sum(n) as n, sum(case when bin > m then n else 0 end) + sum(case when bin > m and 2 * m - bin >= 0 then n else 0 end) as sur from hist join mode_ using (unit_id) group by unit_id),
+sym as (select unit_id, sum(n) as n, sum(case when bin > m then n else 0 end) + sum(case when bin > m and 2 * m - bin >= 0 then n else 0 end) as sur from HIST join mode_ using (unit_id) group by unit_id),
 missing as (select unit_id, cast(n as bigint) as n, case when n > 5 then case when sur > 0 then greatest(0.0e0, 100.0e0 * (sur - n) / sur) else 0.0e0 end end as missing_symmetric from sym)"""
+SYM = f"{HIST}, {_SYM.replace('HIST', 'hist')}"
 
 
 @query(f"with {SYM} select unit_id, n, round(missing_symmetric, 6) as missing_symmetric from missing")
@@ -240,9 +246,40 @@ def peak_cutoff(spark, d):
     return r6(amplitude.peak_cutoff(hist(spark, d)))
 
 
-@query()
+def _normal_cdf_sql(z: str) -> str:
+    """The series of odd powers over odd factorials; beyond eight deviations 0 or 1."""
+    term = "exp((2 * k + 1) * ln(abs(Z)) - (k + 1) * ln(2.0e0) - lgamma(k + 1.5e0) + 0.5e0 * ln(pi()))".replace("Z", z)
+    return f"case when abs({z}) > 8 then case when {z} > 0 then 1.0e0 else 0.0e0 end when {z} = 0 then 0.5e0 else 0.5e0 + sign({z}) * exp(-(({z}) ** 2) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 100), lambda k: {term})) end"
+
+
+def gaussian_sql(hist: str, kept: str, by: str = "unit_id", x: str = "") -> str:
+    """CTEs up to {x}gauss (by, n, missing_gaussian): damped least squares on all histograms, a step a round of the recursion. Needs `with recursive`."""
+    total = lambda e: f"list_sum(list_transform(range(1, len(xs) + 1), lambda i: {e}))"
+    f = lambda a, u, s: f"({a} * exp(-((xs[i] - {u}) ** 2) / (2 * {s} * {s})) * ms[i])"
+    now, d = f("a", "u", "s"), "(xs[i] - u)"
+    jac = [f"({now} / a)", f"({now} * {d} / (s * s))", f"({now} * {d} * {d} / (s * s * s))"]
+    sums = ", ".join([f"{total(f'{jac[i]} * {jac[j]}')} as q{i}{j}" for i in range(3) for j in range(i, 3)] + [f"{total(f'{jac[i]} * (ns[i] - {now})')} as g{i}" for i in range(3)])
+    damped = ", ".join([f"q{i}{i} * (1 + lam) as d{i}" for i in range(3)])
+    cofactors = "d1 * d2 - q12 * q12 as c00, q02 * q12 - q01 * d2 as c01, q01 * q12 - q02 * d1 as c02, d0 * d2 - q02 * q02 as c11, q01 * q02 - d0 * q12 as c12, d0 * d1 - q01 * q01 as c22"
+    moves = "a + (c00 * g0 + c01 * g1 + c02 * g2) / det as a2, u + (c01 * g0 + c11 * g1 + c12 * g2) / det as u2, s + (c02 * g0 + c12 * g1 + c22 * g2) / det as s2"
+    same = f"{by}, xs, ns, ms"
+    return f"""{x}gst as (select {by}, stddev_pop(amplitude) as sd, quantile_cont(amplitude, 0.01) as low from {kept} group by {by}),
+{x}gar as (select {by}, list(left_ + width / 2 order by bin) as xs, list(cast(n as double) order by bin) as ns, sum(n) as n from {hist} group by {by}),
+{x}gin as (select {same}, low, sd, n, list_max(ns) = list_max(list_transform(range(1, len(ns) + 1), lambda i: ns[i] - coalesce(ns[i - 1], 0))) as cutoff from (select *, list_transform(xs, lambda v: case when v >= low then 1.0e0 else 0.0e0 end) as ms from {x}gar join {x}gst using ({by}))),
+{x}gs0 as (select {same}, list_aggregate(ns, 'quantile_cont', 0.99) as a, xs[list_position(ns, list_max(ns))] as u, sd as s from {x}gin where not cutoff and n > 5),
+{x}git({by}, xs, ns, ms, a, u, s, lam, cost, going, k) as (select {same}, a, u, s, 1e-3, {total(f'(ns[i] - {now}) ** 2')}, true, 0 from {x}gs0
+ union all select {same}, case when ok then a2 else a end, case when ok then u2 else u end, case when ok then s2 else s end, case when ok then greatest(lam / 10, 1e-12) else least(lam * 10, 1e12) end, case when ok then cost2 else cost end, going and not (ok and cost - cost2 <= {GAUSSIAN_TOLERANCE} * cost), k + 1
+ from (select *, coalesce(going and isfinite(a2) and isfinite(u2) and isfinite(s2) and isfinite(cost2) and cost2 <= cost, false) as ok
+  from (select *, {total(f"(ns[i] - {f('a2', 'u2', 's2')}) ** 2")} as cost2
+   from (select *, {moves} from (select *, nullif(d0 * c00 + q01 * c01 + q02 * c02, 0) as det from (select *, {cofactors} from (select *, {damped} from (select *, {sums} from {x}git where going and k < {GAUSSIAN_STEPS}))))))))
+,
+{x}gauss as (select {by}, cast(i.n as bigint) as n, case when i.n > 5 then case when cutoff then 100.0e0 when isfinite((u - low) / abs(s)) then 100 * (1 - ({_normal_cdf_sql('((u - low) / abs(s))')})) end end as missing_gaussian
+ from {x}gin i left join (select {by}, u, s from {x}git where not going or k = {GAUSSIAN_STEPS}) f using ({by}))"""
+
+
+@query(f"with recursive {HIST}, {gaussian_sql('hist', 'kept')} select unit_id, n, round(missing_gaussian, 3) as missing_gaussian from gauss")
 def missing_gaussian(spark, d):
-    return r6(amplitude.missing_gaussian(rel.spikes(spark, d)))
+    return r3(amplitude.missing_gaussian(rel.spikes(spark, d)))
 
 
 RATES = f"""{SP}, u as (select unit_id, count(*) as n_spikes, min(t) as t0, max(t) - min(t) as span, least((max(t) - min(t)) // {DAY}, 10000) as nb from spikes group by unit_id having (max(t) - min(t)) // {DAY} >= 1),
@@ -591,45 +628,64 @@ def sampled_spikes(spark, d):
     return r6(trains.sampled_spikes(rel.spikes(spark, d), 20).select("unit_id", "spike_idx", "t", "rank"))
 
 
-# one metric row a unit for the label queries: train metrics of events, shapes from plain arithmetic on the template
-SHAPES_SQL = f"""{T1}, shp as (select template_id as unit_id, 1 + template_id % 4 // 2 as n_peaks, 1 + template_id % 7 // 6 as n_troughs, round(abs(wf[1]) * 4000, 3) as duration_us, round(abs(wf[2]), 6) as baseline_flatness,
- round(abs(wf[3]) * 2, 6) as second_peak_to_trough, round(0.005e0 + abs(wf[4]) / 4, 6) as spatial_decay, round(abs(wf[5]) * 40, 6) as trough_to_peak2, round(abs(wf[6]) * 40, 6) as peak_before_width,
- round(abs(wf[7]) * 40, 6) as trough_width, round(abs(wf[8]) * 40, 6) as peak1_to_peak2, round(abs(wf[9]) * 3, 6) as main_peak_to_trough from tpl)"""
-
-
-def shapes(spark, d):
-    w = lambda i: F.abs(F.element_at("wf", i))
-    t = F.col("template_id")
-    return rel.templates(spark, d).select(
-        t.alias("unit_id"), F.expr("1 + template_id % 4 div 2").alias("n_peaks"), F.expr("1 + template_id % 7 div 6").alias("n_troughs"), F.round(w(1) * 4000, 3).alias("duration_us"), F.round(w(2), 6).alias("baseline_flatness"),
-        F.round(w(3) * 2, 6).alias("second_peak_to_trough"), F.round(0.005 + w(4) / 4, 6).alias("spatial_decay"), F.round(w(5) * 40, 6).alias("trough_to_peak2"), F.round(w(6) * 40, 6).alias("peak_before_width"),
-        F.round(w(7) * 40, 6).alias("trough_width"), F.round(w(8) * 40, 6).alias("peak1_to_peak2"), F.round(w(9) * 3, 6).alias("main_peak_to_trough"))
-
-
-_strip = lambda s: s.replace(SP + ", ", "")
-_gate = ", ".join(f"case when n_spikes >= {PARAMS.small_unit_spikes} then {c} end as {c}" for c in "contamination tau_r presence_ratio percent_missing n_peaks n_troughs duration_us baseline_flatness second_peak_to_trough spatial_decay trough_to_peak2 peak_before_width trough_width peak1_to_peak2 main_peak_to_trough".split())
+# the end-to-end run: dense trains in days with duplicates, spikes of a probe as templates
+RUN = Ticks(tick=1.0, taus=(2, 4, 6), tau_c=1, chunk=400, presence_bin=100, dedup=1)
+RUN_PARAMS = QualityParams(min_num_spikes=90, max_rpv=0.5, max_perc_missing=60.0, min_presence_ratio=0.9)
+_bump = lambda at, w: f"exp(-((i - ({at})) * (i - ({at}))) / (2 * {w} * {w}))"
+SPIKE_TEMPLATES = f"""tpl0 as (select vec_id as template_id, vec_id % 16 as peak, 1.5e0 + 8 * abs(cast(embedding[1] as double)) as w1, 0.2e0 + 2 * abs(cast(embedding[2] as double)) as b, 6 + floor(60 * abs(cast(embedding[3] as double))) as d,
+ 3 + 20 * abs(cast(embedding[4] as double)) as w2, abs(cast(embedding[5] as double)) as c, 15 + 200 * abs(cast(embedding[6] as double)) as reach from embeddings),
+tpl as (select template_id, channel, list_transform(range(64), lambda i: (b * {_bump('25 + d', 'w2')} + c * {_bump('17', '2.0e0')} - {_bump('25', 'w1')}) * exp(-far / reach)) as wf
+ from (select *, sqrt(((channel % 2) - (peak % 2)) ** 2 * 1024.0e0 + ((channel // 2) - (peak // 2)) ** 2 * 225.0e0) as far from tpl0, unnest(range(16)) as g(channel)))"""
+_COLUMNS = ("contamination", "tau_r", "presence_ratio", "percent_missing", "percent_missing_symmetric", "n_peaks", "n_troughs", *_SHAPE_NUMBERS, "baseline_flatness", "spatial_decay")
 _NOISE = {
     "peaks": "n_peaks > 2", "troughs": "n_troughs > 1", "duration": "duration_us < 100 or duration_us > 1150", "baseline": "baseline_flatness > 0.3", "second_peak": "second_peak_to_trough > 0.8", "spatial_decay": "spatial_decay < 0.01 or spatial_decay > 0.1"}
-_MUA = {"missing": "percent_missing > 20", "few_spikes": "n_spikes < 60", "rpv": "contamination > 0.5", "presence": "presence_ratio < 0.9"}
+_MUA = {"missing": f"percent_missing > {RUN_PARAMS.max_perc_missing}", "few_spikes": f"n_spikes < {RUN_PARAMS.min_num_spikes}", "rpv": f"contamination > {RUN_PARAMS.max_rpv}", "presence": f"presence_ratio < {RUN_PARAMS.min_presence_ratio}"}
 _SOMA = "coalesce(trough_to_peak2 < 5 and peak_before_width < 4 and trough_width < 5 and peak1_to_peak2 > 3, false) or coalesce(main_peak_to_trough > 0.8, false)"
 _any = lambda rules: " or ".join(f"coalesce({v}, false)" for v in rules.values())
-QUALITY = f"""{HILL}, {_strip(PRESENCE)}, {_strip(SYM)}, {SHAPES_SQL},
-cnts as (select unit_id, count(*) as n_spikes from spikes group by unit_id),
-rpv as (select unit_id, arg_min(contamination, struct_pack(c := contamination, i := tau_idx)) as contamination, arg_min(tau_r, struct_pack(c := contamination, i := tau_idx)) as tau_r from hill group by unit_id),
-allm as (select cnts.unit_id, cnts.n_spikes, contamination, tau_r, presence_ratio, missing_symmetric as percent_missing, shp.* exclude (unit_id) from cnts left join rpv using (unit_id) left join presence using (unit_id) left join missing using (unit_id) left join shp using (unit_id)),
-met as (select unit_id, n_spikes, {_gate} from allm),
+_chunks_sql = CHUNKED.split("ci as (", 1)[1].replace("1e-6", "1").replace(f"tau_r - {TAU_C}", f"tau_r - {RUN.tau_c}")
+QUALITY = f"""recursive {_DUPES}, spikes as (select unit_id, spike_idx, t, amplitude from dense where spike_idx not in (select loser from dup)),
+qn as (select unit_id, count(*) as n0 from spikes group by unit_id), bnd as (select min(t) as t0, max(t) as t1 from spikes),
+taus(tau_idx, tau_r) as (values {", ".join(f"({i}, {t})" for i, t in enumerate(RUN.taus))}),
+ch as materialized (select s.*, cast((t - t0) // {RUN.chunk} as bigint) as chunk from spikes s join qn using (unit_id), bnd where n0 >= {RUN_PARAMS.small_unit_spikes} and (t - t0) // {RUN.chunk} < ceil((t1 - t0) / {RUN.chunk}.0e0) - 1),
+ci as ({_chunks_sql},
+ti as (select unit_id, max(tau_idx) filter (where total = least_) as ti from (select *, min(total) over (partition by unit_id) as least_ from (select unit_id, tau_idx, round(sum(contamination), 9) as total from chill group by all)) group by unit_id),
+{hist_sql('ch', 'unit_id, chunk', 'c')}, {gaussian_sql('chist', 'ckept', 'unit_id, chunk', 'c')},
+cc as (select unit_id, chunk, coalesce(missing_gaussian < {RUN_PARAMS.max_perc_missing} and contamination < {RUN_PARAMS.max_rpv}, false) as good from chill join ti using (unit_id) left join cgauss using (unit_id, chunk) where tau_idx = ti),
+cr as (select unit_id, min(chunk) as lo, max(chunk) as hi from cc group by unit_id),
+ci2 as (select unit_id, chunk, chunk - row_number() over (partition by unit_id order by chunk) as island from cc where good),
+ru as (select unit_id, island, min(chunk) as f, max(chunk) as l from ci2 group by all),
+be as (select unit_id, f, l from ru qualify row_number() over (partition by unit_id order by l - f desc, f) = 1),
+wn as (select unit_id, t0 + coalesce(f, lo) * {RUN.chunk} as ws, t0 + (coalesce(l, hi) + 1) * {RUN.chunk} as we, f is not null as any_good from cr left join be using (unit_id), bnd),
+us as materialized (select s.* from spikes s join wn using (unit_id) where t between ws and we),
+ui as (select *, t - lag(t) over (partition by unit_id order by t, spike_idx) as isi from us),
+uu as (select unit_id, count(*) as n, (max(t) - min(t)) * 1.0e0 as dur from us group by unit_id),
+uv as (select unit_id, tau_idx, tau_r, count(*) filter (where isi <= tau_r) as k from ui, taus group by all),
+uh as (select unit_id, tau_idx, tau_r, {hill_sql('k', 'n', 'dur', f'(tau_r - {RUN.tau_c})')} as c from uu join uv using (unit_id)),
+rpv as (select unit_id, min(c) as contamination, arg_min(tau_r, struct_pack(c := c, i := tau_idx)) as tau_r from uh group by unit_id),
+pg as (select unit_id, ws, cast(ceil((we - ws) / {RUN.presence_bin}.0e0) - 1 as bigint) as nb from wn join uu using (unit_id)),
+pc as (select unit_id, (t - ws) // {RUN.presence_bin} as bin, count(*) as n from us join pg using (unit_id) group by all),
+pf as (select unit_id, bin, coalesce(n, 0) as n from (select unit_id, bin from pg, unnest(range(nb)) as g(bin)) left join pc using (unit_id, bin)),
+pr as (select unit_id, avg(case when n > 0 and n >= 0.05 * p90 then 1.0e0 else 0.0e0 end) as presence_ratio from pf join (select unit_id, quantile_cont(n, 0.9) as p90 from pf group by unit_id) using (unit_id) group by unit_id),
+{hist_sql('us', 'unit_id', 'u')}, {gaussian_sql('uhist', 'ukept', 'unit_id', 'u')}, {_SYM.replace('HIST', 'uhist')},
+{SPIKE_TEMPLATES}, {POINTS.split(CT + ", ")[1]}, {exponential_sql()},
+ptp as materialized (select tpl.template_id, wf from tpl join top on top.template_id = tpl.template_id and peak = channel), {shape_sql('ptp')},
+allm as (select qn.unit_id, n0, uu.n as n1, ws, we, any_good, contamination, tau_r, presence_ratio, ugauss.missing_gaussian as percent_missing, missing_symmetric as percent_missing_symmetric, shape.* exclude (template_id, peak_places, trough_places), spatial_decay,
+ list_max(list_transform(wf[1:10], lambda v: abs(v))) / list_max(list_transform(wf, lambda v: abs(v))) as baseline_flatness
+ from qn left join uu using (unit_id) left join wn using (unit_id) left join rpv using (unit_id) left join pr using (unit_id) left join ugauss using (unit_id) left join missing using (unit_id)
+ left join shape on shape.template_id = qn.unit_id left join expo on expo.template_id = qn.unit_id left join ptp on ptp.template_id = qn.unit_id),
+met as (select unit_id, case when n0 >= {RUN_PARAMS.small_unit_spikes} then coalesce(n1, n0) else n0 end as n_spikes, {", ".join(f"case when n0 >= {RUN_PARAMS.small_unit_spikes} then {c} end as {n}" for c, n in (("ws", '"start"'), ("we", '"end"'), ("any_good", "any_good"), *zip(_COLUMNS, _COLUMNS, strict=True)))} from allm),
 typ0 as (select *, case when n_spikes > 0 then case when n_peaks is null or {_any(_NOISE)} then 0 when {_SOMA} then 3 when {_any(_MUA)} then 2 else 1 end end as unit_type from met),
-typed as (select *, case unit_type when 0 then 'NOISE' when 1 then 'GOOD' when 2 then 'MUA' when 3 then 'NON-SOMA' else '' end as unit_type_string from typ0)"""
+typed as materialized (select *, case unit_type when 0 then 'NOISE' when 1 then 'GOOD' when 2 then 'MUA' when 3 then 'NON-SOMA' else '' end as unit_type_string from typ0)"""
 
 
 def typed_units(spark, d):
-    return pipeline.unit_quality(rel.spikes(spark, d), shapes(spark, d), PARAMS, rel.TICK, TAUS, TAU_C, DAY)
+    return pipeline.unit_quality(rel.dense_spikes(spark, d), rel.spike_templates(spark, d), rel.channels(spark), RUN_PARAMS, RUN, FS)
 
 
-@query(f"""with {QUALITY} select unit_id, n_spikes, round(contamination, 6) as contamination, cast(tau_r as bigint) as tau_r, round(presence_ratio, 6) as presence_ratio, round(percent_missing, 6) as percent_missing,
-n_peaks, n_troughs, round(duration_us, 6) as duration_us, cast(unit_type as bigint) as unit_type, unit_type_string from typed""")
+@query(f"""with {QUALITY} select unit_id, n_spikes, "start", "end", any_good, tau_r, n_peaks, n_troughs, {", ".join(f"round({c}, 3) as {c}" for c in _COLUMNS if c not in ("tau_r", "n_peaks", "n_troughs"))},
+cast(unit_type as bigint) as unit_type, unit_type_string from typed""")
 def unit_quality(spark, d):
-    return r6(typed_units(spark, d).select("unit_id", "n_spikes", "contamination", "tau_r", "presence_ratio", "percent_missing", "n_peaks", "n_troughs", "duration_us", "unit_type", "unit_type_string"))
+    return r3(typed_units(spark, d).drop("peak_places", "trough_places"))
 
 
 FAIL = f"""{QUALITY}, fails as (select unit_id, unit_type_string, {", ".join(f"unit_type_string = 'NOISE' and coalesce({v}, false) as fails_{k}" for k, v in _NOISE.items())},
@@ -638,7 +694,7 @@ _CRITERIA = [*_NOISE, *_MUA, "somatic"]
 
 
 def failures(spark, d):
-    return labels.failure_table(typed_units(spark, d), PARAMS)
+    return labels.failure_table(typed_units(spark, d), RUN_PARAMS)
 
 
 @query(f"with {FAIL} select * from fails")
@@ -675,31 +731,48 @@ def dataset_proportions(spark, d):
     return r6(summary.dataset_proportions(x, "c_mktsegment", "l"))
 
 
-CELLS = f"""{ACG}, {T1}, pro as (select template_id as unit_id, round(abs(wf[1]) * 8000, 3) as duration_us, round(abs(wf[2]) * 400, 3) as suppression_ms, case when template_id % 11 > 0 then round(abs(wf[3]), 6) end as prop_long from tpl)"""
+_STRIATUM = f"""case when duration_us is null or suppression_ms is null or prop_long is null then 'Unknown' when duration_us > {PHYSIOLOGY.template_duration_threshold} and suppression_ms < 40 then 'MSN'
+ when duration_us <= {PHYSIOLOGY.template_duration_threshold} and prop_long <= 0.1 then 'FSI' when duration_us > {PHYSIOLOGY.template_duration_threshold} then 'TAN' else 'UIN' end"""
 
 
-def cell_properties(spark, d):
-    w = lambda i: F.abs(F.element_at("wf", i))
-    return rel.templates(spark, d).select(F.col("template_id").alias("unit_id"), F.round(w(1) * 8000, 3).alias("duration_us"), F.round(w(2) * 400, 3).alias("suppression_ms"), F.when(F.col("template_id") % 11 > 0, F.round(w(3), 6)).alias("prop_long"))
+_ISI_PROPS = f"""x as (select unit_id, t, spike_idx, cast(isi as double) as isi, cast(lag(isi) over (partition by unit_id order by t, spike_idx) as double) as before from isi),
+y as (select * from x where isi is not null), mu as (select unit_id, avg(isi) as mu from y group by unit_id),
+ip as (select unit_id, count(*) as n_isi, avg(case when isi > {DAY} then 1.0e0 else 0.0e0 end) as prop_long, stddev_pop(isi) / nullif(avg(isi), 0) as cv, case when var_pop(isi) > 0 then avg((isi - mu) ** 3) / (var_pop(isi) ** 1.5) end as skew,
+ avg(case when isi + before > 0 then 2 * abs(isi - before) / (isi + before) end) as cv2 from y join mu using (unit_id) group by unit_id)"""
+_RATE_PROPS = """rp as (select unit_id, max(n_spikes) / (max(span) * 1e-6) as mean_rate, max(nb) as n_bins, stddev_pop(rate) as std_rate, var_pop(rate) / nullif(avg(rate), 0) as fano,
+ quantile_cont(rate, 0.95) / nullif(quantile_cont(rate, 0.05), 0) as rate_ratio from rb group by unit_id)"""
+_q = ACG_HALF // 5
+_PHYS = f"""{ACG}, {ISI}, {RATES.replace(SP + ", ", "")}, {_ISI_PROPS}, {_RATE_PROPS}, {T1}, {feature_sql(_q, 2 * _q, _q, min(4 * _q, ACG_HALF), max(ACG_HALF // 2, 4), ACG_BIN / 1000)},
+wd as (select template_id as unit_id, case when list_max(ab) > 0 then (list_position(w[p:], case when w[p] > 0 then list_min(w[p:]) else list_max(w[p:]) end) - 1) * 1e6 / 30000 end as duration_us
+ from (select template_id, wf as w, list_transform(wf, lambda v: abs(v)) as ab, list_position(list_transform(wf, lambda v: abs(v)), list_max(list_transform(wf, lambda v: abs(v)))) as p from tpl)),
+ph as (select k.unit_id, ip.* exclude (unit_id), rp.* exclude (unit_id), acgf.* exclude (unit_id), duration_us from (select unit_id from spikes group by unit_id having count(*) >= {PHYSIOLOGY.min_spikes}) k
+ left join ip using (unit_id) left join rp using (unit_id) left join acgf using (unit_id) left join wd using (unit_id))"""
+_THREE = ("prop_long", "cv", "skew", "cv2", "mean_rate", "std_rate", "fano", "rate_ratio", "suppression_ratio", "suppression_ms", "tau_rise_ms", "duration_us")
 
 
-_PRO = f"{T1}, " + CELLS.split(f"{T1}, ")[1]
-_STRIATUM = "case when duration_us is null or suppression_ms is null or prop_long is null then 'Unknown' when duration_us > 400 and suppression_ms < 40 then 'MSN' when duration_us <= 400 and prop_long <= 0.1 then 'FSI' when duration_us > 400 then 'TAN' else 'UIN' end"
+def properties(spark, d, region: str = "striatum"):
+    return pipeline.physiology(rel.spikes(spark, d), rel.templates(spark, d), FS, PHYSIOLOGY, rel.TICK, ACG_BIN, ACG_WINDOW, DAY, DAY, region)
 
 
-@query(f"with {_PRO} select unit_id, {_STRIATUM} as cell_type from pro")
+@query(f"""with {_PHYS} select unit_id, n_isi, n_bins, {", ".join(f"round({c}, 3) as {c}" for c in _THREE)}, round(tau_decay_ms, -3) as tau_decay_ms,
+{_STRIATUM} as cell_type from ph""")
+def physiology(spark, d):
+    return r3(properties(spark, d).withColumn("tau_decay_ms", F.round("tau_decay_ms", -3)))
+
+
+@query(f"with {_PHYS} select unit_id, {_STRIATUM} as cell_type from ph")
 def cell_type_striatum(spark, d):
-    return labels.cell_types(cell_properties(spark, d), "striatum")
+    return labels.cell_types(properties(spark, d), "striatum", PHYSIOLOGY)
 
 
-@query(f"with {_PRO} select unit_id, case when duration_us is null then 'Unknown' when duration_us > 400 then 'Wide-spiking' else 'Narrow-spiking' end as cell_type from pro")
+@query(f"with {_PHYS} select unit_id, case when duration_us is null then 'Unknown' when duration_us > {PHYSIOLOGY.template_duration_threshold} then 'Wide-spiking' else 'Narrow-spiking' end as cell_type from ph")
 def cell_type_cortex(spark, d):
-    return labels.cell_types(cell_properties(spark, d), "cortex")
+    return labels.cell_types(properties(spark, d, "cortex"), "cortex", PHYSIOLOGY)
 
 
-@query(f"with {_PRO}, c as (select {_STRIATUM} as label from pro) select label, count(*) as n, round(100.0e0 * count(*) / (select count(*) from c), 6) as percent from c group by label")
+@query(f"with {_PHYS}, lc as (select {_STRIATUM} as label from ph) select label, count(*) as n, round(100.0e0 * count(*) / (select count(*) from lc), 6) as percent from lc group by label")
 def cell_type_distribution(spark, d):
-    return r6(labels.distribution(labels.cell_types(cell_properties(spark, d), "striatum"), "cell_type"))
+    return r6(labels.distribution(properties(spark, d), "cell_type"))
 
 
 CUR = "cur as (select doc_id, case quality when 0 then 'Noise' when 1 then 'Good' else 'Unknown' end as manual, case when toxic = 1 then 'Noise' else 'Good' end as auto from labels)"
@@ -767,25 +840,3 @@ def metrics_long(spark, d):
     from ..sources.sinks import metric_rows
 
     return r6(metric_rows(typed_units(spark, d), ["n_spikes", "contamination", "presence_ratio", "percent_missing"]))
-
-
-_ISI_PROPS = f"""x as (select unit_id, t, spike_idx, cast(isi as double) as isi, cast(lag(isi) over (partition by unit_id order by t, spike_idx) as double) as before from isi),
-y as (select * from x where isi is not null), mu as (select unit_id, avg(isi) as mu from y group by unit_id),
-ip as (select unit_id, count(*) as n_isi, avg(case when isi > {DAY} then 1.0e0 else 0.0e0 end) as prop_long, stddev_pop(isi) / nullif(avg(isi), 0) as cv, case when var_pop(isi) > 0 then avg((isi - mu) ** 3) / (var_pop(isi) ** 1.5) end as skew,
- avg(case when isi + before > 0 then 2 * abs(isi - before) / (isi + before) end) as cv2 from y join mu using (unit_id) group by unit_id)"""
-_RATE_PROPS = """rp as (select unit_id, max(n_spikes) / (max(span) * 1e-6) as mean_rate, max(nb) as n_bins, stddev_pop(rate) as std_rate, var_pop(rate) / nullif(avg(rate), 0) as fano,
- quantile_cont(rate, 0.95) / nullif(quantile_cont(rate, 0.05), 0) as rate_ratio from rb group by unit_id)"""
-_q = ACG_HALF // 5
-_PHYS = f"""{ACG}, {ISI}, {RATES.replace(SP + ", ", "")}, {_ISI_PROPS}, {_RATE_PROPS}, {T1}, {feature_sql(_q, 2 * _q, _q, min(4 * _q, ACG_HALF), max(ACG_HALF // 2, 4), ACG_BIN / 1000)},
-wd as (select template_id as unit_id, case when list_max(ab) > 0 then (list_position(w[p:], case when w[p] > 0 then list_min(w[p:]) else list_max(w[p:]) end) - 1) * 1e6 / 30000 end as duration_us
- from (select template_id, wf as w, list_transform(wf, lambda v: abs(v)) as ab, list_position(list_transform(wf, lambda v: abs(v)), list_max(list_transform(wf, lambda v: abs(v)))) as p from tpl)),
-ph as (select k.unit_id, ip.* exclude (unit_id), rp.* exclude (unit_id), acgf.* exclude (unit_id), duration_us from (select unit_id from spikes group by unit_id having count(*) >= {PHYSIOLOGY.min_spikes}) k
- left join ip using (unit_id) left join rp using (unit_id) left join acgf using (unit_id) left join wd using (unit_id))"""
-_THREE = ("prop_long", "cv", "skew", "cv2", "mean_rate", "std_rate", "fano", "rate_ratio", "suppression_ratio", "suppression_ms", "tau_rise_ms", "duration_us")
-
-
-@query(f"""with {_PHYS} select unit_id, n_isi, n_bins, {", ".join(f"round({c}, 3) as {c}" for c in _THREE)}, round(tau_decay_ms, -3) as tau_decay_ms,
-{_STRIATUM.replace("400", str(PHYSIOLOGY.template_duration_threshold))} as cell_type from ph""")
-def physiology(spark, d):
-    x = pipeline.physiology(rel.spikes(spark, d), rel.templates(spark, d), FS, PHYSIOLOGY, rel.TICK, ACG_BIN, ACG_WINDOW, DAY, DAY, "striatum")
-    return r3(x.withColumn("tau_decay_ms", F.round("tau_decay_ms", -3)))

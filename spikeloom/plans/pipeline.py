@@ -8,28 +8,78 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import amplitude, correlogram, labels, refractory, trains, waveform
-from ..params import PhysiologyParams, QualityParams
+from ..operators import amplitude, correlogram, duplicates, labels, refractory, summary, trains, waveform
+from ..params import PhysiologyParams, QualityParams, Ticks
 
 #: name -> fn(spikes, ticks) -> DataFrame(unit_id, ...): metrics added by users of the library.
 EXTRA_METRICS: dict[str, Callable[[DataFrame, float], DataFrame]] = {}
 
 
-def unit_quality(spikes: DataFrame, shapes: DataFrame, p: QualityParams, tick: float, tau_ticks: list[int], tau_c: int, presence_bin: int) -> DataFrame:
-    """One row a unit with train and waveform metrics and its label.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder of spark.checkpoint.dir, so that its many readers don't compute it again; unset: df itself."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        return df
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared)
+    return df.checkpoint()
 
-    shapes: (unit_id, n_peaks, n_troughs, ...). Units under the small-unit gate keep n_spikes
-    only. All parts are keyed by unit_id, the plan's only shuffle key.
+
+def good_windows(spikes: DataFrame, p: QualityParams, k: Ticks) -> DataFrame:
+    """(unit_id, start, end, any_good) of the longest run of chunks of the recording in which a unit is complete and clean.
+
+    A chunk is good if less than max_perc_missing of its spikes are missing by the Gaussian
+    estimate and its contamination is below max_rpv at the tau that suits all chunks best.
+    """
+    chunked = trains.in_chunks(spikes, k.chunk)
+    big = trains.spike_counts(spikes).filter(F.col("n_spikes") >= p.small_unit_spikes).select("unit_id")
+    chunked = chunked.join(big, "unit_id", "left_semi")
+    sweep = refractory.hill_sweep(chunked, list(k.taus), k.tau_c, k.tick, "chunk")
+    at = sweep.join(refractory.window_tau_index(sweep), "unit_id").filter(F.col("tau_idx") == F.col("rpv_window_index"))
+    per = at.select("unit_id", "chunk", "contamination").join(amplitude.missing_gaussian(chunked, "chunk"), ["unit_id", "chunk"], "left")
+    runs = trains.good_runs(per, (F.col("missing_gaussian") < p.max_perc_missing) & (F.col("contamination") < p.max_rpv))
+    edges = trains.chunk_edges(spikes, k.chunk)
+    first, last = edges.select(F.col("chunk").alias("first_chunk"), "start"), edges.select(F.col("chunk").alias("last_chunk"), "end")
+    return runs.join(first, "first_chunk").join(last, "last_chunk").select("unit_id", "start", "end", "any_good")
+
+
+def template_metrics(templates: DataFrame, channels: DataFrame, p: QualityParams, fs: float, n_points: int = 6, baseline: tuple[int, int] = (0, 10)) -> DataFrame:
+    """Waveform metrics of every unit's template (template_id = unit_id); spatial decay only if the probe is dense enough."""
+    peak = waveform.peak_channel(templates).select("template_id", "wf")
+    shapes = waveform.waveform_shape(peak, fs, p.min_prominence_share)
+    shapes = shapes.withColumns({c: summary.finite(F.col(c)) for c in ("second_peak_to_trough", "peak1_to_peak2", "main_peak_to_trough", "trough_to_peak2")})
+    flat = peak.select("template_id", waveform.baseline_flatness(F.col("wf"), *baseline).alias("baseline_flatness"))
+    points = waveform.decay_points(templates, channels, n_points)
+    decay = (waveform.linear_decay if p.linear_decay else waveform.exponential_decay)(points).select("template_id", "spatial_decay")
+    allowed = waveform.geometry_allows_decay(channels)  # one row
+    decay = decay.crossJoin(F.broadcast(allowed)).select("template_id", F.when(F.col("allowed"), F.col("spatial_decay")).alias("spatial_decay"))
+    return shapes.join(flat, "template_id").join(decay, "template_id", "left").withColumnRenamed("template_id", "unit_id")
+
+
+def unit_quality(spikes: DataFrame, templates: DataFrame, channels: DataFrame, p: QualityParams, k: Ticks, fs: float, extra: list[DataFrame] | None = None) -> DataFrame:
+    """One row a unit with its metrics and label, from raw trains and templates.
+
+    Duplicates go first; the metrics are then taken in each unit's good window: spikes,
+    contamination, presence, missing spikes, with the template's metrics beside them. Units
+    under the small-unit gate keep n_spikes only. spikes: (unit_id, spike_idx, t, amplitude,
+    channel); extra: tables by unit_id with further metrics, such as raw_amplitude and snr,
+    max_drift, isolation_distance and l_ratio, which the label uses if the parameters say so.
     """
-    counts = trains.spike_counts(spikes).select("unit_id", "n_spikes")
-    sweep = refractory.hill_sweep(spikes, tau_ticks, tau_c, tick)
-    rpv = sweep.groupBy("unit_id").agg(F.min(F.struct("contamination", "tau_idx", "tau_r")).alias("m")).select("unit_id", F.col("m.contamination").alias("contamination"), F.col("m.tau_r").alias("tau_r"))
-    presence = trains.presence_ratio(spikes, presence_bin).select("unit_id", "presence_ratio")
-    missing = amplitude.missing_symmetric(amplitude.histogram(amplitude.drop_outliers(spikes))).select("unit_id", F.col("missing_symmetric").alias("percent_missing"))
-    parts = [rpv, presence, missing, shapes, *[f(spikes, tick) for f in EXTRA_METRICS.values()]]
-    x = reduce(lambda a, b: a.join(b, "unit_id", "left"), parts, counts)
-    big = F.col("n_spikes") >= p.small_unit_spikes
-    x = x.select("unit_id", "n_spikes", *[F.when(big, F.col(c)).alias(c) for c in x.columns if c not in ("unit_id", "n_spikes")])
+    kept = spikes if k.dedup is None else duplicates.without_duplicates(spikes, k.dedup)
+    kept = cut_lineage(kept.select("unit_id", "spike_idx", "t", "amplitude"))
+    raw = trains.spike_counts(kept).select("unit_id", F.col("n_spikes").alias("n_raw"))
+    windows = cut_lineage(good_windows(kept, p, k))
+    used = cut_lineage(trains.within_window(kept, windows))
+    counts = trains.spike_counts(used).select("unit_id", "n_spikes")
+    rpv = refractory.estimate(used, p.rpv_method, list(k.taus), k.tau_c, k.tick, p.confidence)
+    presence = trains.presence_ratio(used, k.presence_bin, window=windows.select("unit_id", "start", "end")).select("unit_id", "presence_ratio")
+    missing = amplitude.missing_gaussian(used).select("unit_id", F.col("missing_gaussian").alias("percent_missing"))
+    symmetric = amplitude.missing_symmetric(amplitude.histogram(amplitude.drop_outliers(used))).select("unit_id", F.col("missing_symmetric").alias("percent_missing_symmetric"))
+    parts = [counts, windows, rpv, presence, missing, symmetric, template_metrics(templates, channels, p, fs), *(extra or []), *[f(used, k.tick) for f in EXTRA_METRICS.values()]]
+    x = reduce(lambda a, b: a.join(b, "unit_id", "left"), parts, raw)
+    big = F.col("n_raw") >= p.small_unit_spikes
+    x = x.select("unit_id", F.when(big, F.coalesce("n_spikes", "n_raw")).otherwise(F.col("n_raw")).alias("n_spikes"), *[F.when(big, F.col(c)).alias(c) for c in x.columns if c not in ("unit_id", "n_spikes", "n_raw")])
     return labels.unit_types(x, p)
 
 

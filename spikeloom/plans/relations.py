@@ -36,6 +36,22 @@ def channel_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 16").alias("template_id"), F.expr("cast(vec_id % 16 as int)").alias("channel"), F.transform("embedding", lambda v: v.cast("double")).alias("wf"))
 
 
+def spike_templates(spark: SparkSession, sf_dir: str, n_channels: int = 16, samples: int = 64) -> DataFrame:
+    """embeddings as parameters of spikes on a probe: an early peak, a trough and a late peak, whose widths, delay and heights
+    and whose fall with the distance from channel vec_id % 16 come from the vector's first values."""
+    e = lambda k: F.abs(F.element_at("embedding", k).cast("double"))
+    x = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("template_id"), (F.col("vec_id") % n_channels).cast("int").alias("peak"), (1.5 + 8 * e(1)).alias("w1"), (0.2 + 2 * e(2)).alias("b"), (6 + F.floor(60 * e(3))).alias("d"), (3 + 20 * e(4)).alias("w2"),
+        e(5).alias("c"), (15 + 200 * e(6)).alias("reach"), F.explode(F.sequence(F.lit(0), F.lit(n_channels - 1))).alias("channel"))
+    xy = lambda c: (c % 2 * 32.0, F.floor(c / 2) * 15.0)
+    (ax, ay), (bx, by) = xy(F.col("channel")), xy(F.col("peak"))
+    far = F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+    bump = lambda i, at, w: F.exp(-((i - at) * (i - at)) / (2 * w * w))
+    shape = lambda i: F.col("b") * bump(i, 25 + F.col("d"), F.col("w2")) + F.col("c") * bump(i, F.lit(17), F.lit(2.0)) - bump(i, F.lit(25), F.col("w1"))
+    wf = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: shape(i) * F.exp(-far / F.col("reach")))
+    return x.select("template_id", "channel", wf.alias("wf"))
+
+
 def channels(spark: SparkSession, n: int = 16) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("channel"), F.expr("cast(id % 2 * 32 as double)").alias("x_um"), F.expr("cast(id div 2 * 15 as double)").alias("y_um"))
 

@@ -11,15 +11,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from spikeloom import params
 from spikeloom.functions import fits
 from spikeloom.operators import amplitude, correlogram, curation, duplicates, features, labels, refractory, trains, waveform
 from spikeloom.params import PhysiologyParams, QualityParams, spike_width_samples
-from spikeloom.plans import catalog
+from spikeloom.plans import catalog, pipeline
 from spikeloom.sources import recording, sinks, sorter
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"detrended_snippets", "curation_merge_templates", "threshold_suggestions"}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_sql_twin(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     cur = con.execute(catalog.ORACLE[name])
@@ -85,7 +85,62 @@ def test_greedy_and_set_removal_agree_on_pairs(spark):
     df = spark.createDataFrame([(u, i, t, a, c) for c, u, i, t, a in rows], "unit_id long, spike_idx long, t long, amplitude double, channel long")
     kept = {r.spike_idx for r in duplicates.without_duplicates(df, 2).collect()}
     gone = {r.spike_idx for r in duplicates.greedy_losers(df, 2).collect()}
-    assert kept == {1, 2, 4, 5} and gone == {0, 3}
+    # unit 1 has four spikes, unit 2 two: of 2 and 3, unit 2's goes
+    assert kept == {1, 3, 4, 5} and gone == {0, 2}
+
+
+def test_spike_of_the_smaller_unit_goes(spark):
+    """Units of three spikes and of one at the same time: the lone spike goes; of equal units the later one."""
+    for rows, lost in (([(7, 0, 10), (7, 1, 500), (7, 2, 900), (8, 3, 10)], {3}), ([(8, 0, 10), (7, 1, 10), (7, 2, 500)], {0}), ([(7, 0, 10), (8, 1, 11)], {1})):
+        df = spark.createDataFrame([(u, i, t, 1.0, 0) for u, i, t in rows], "unit_id long, spike_idx long, t long, amplitude double, channel long")
+        assert {r.spike_idx for r in duplicates.greedy_losers(df, 2).collect()} == lost
+        assert {r.spike_idx for r in duplicates.without_duplicates(df, 2).collect()} == {i for _, i, _ in rows} - lost
+
+
+def test_windows_need_both_criteria(spark):
+    """A unit of which one chunk is contaminated and another cut off keeps the run of chunks that are neither."""
+    rng = random.Random(4)
+    rows, k = [], 0
+    for chunk in range(6):
+        for i in range(400):
+            t = chunk * 100_000 + i * 250 + rng.randrange(60)
+            a = rng.gauss(50, 8)
+            if chunk == 0:  # cut off at its mode
+                a = 50 + abs(a - 50)
+            rows.append((1, k, t, a, 0))
+            k += 1
+            if chunk == 3 and i % 2:  # many short intervals
+                rows.append((1, k, t + 3, a, 0))
+                k += 1
+    df = spark.createDataFrame([*rows, (2, k, 0, 1.0, 0), (2, k + 1, 600_001, 1.0, 0)], "unit_id long, spike_idx long, t long, amplitude double, channel long")
+    p = params.QualityParams(max_rpv=0.1, max_perc_missing=30.0)
+    w = {r.unit_id: (r.start, r.end, r.any_good) for r in pipeline.good_windows(df, p, params.Ticks(1e-4, (20, 40), 1, 100_000, 10_000)).collect()}
+    assert w == {1: (400_000, 600_000, True)} or w == {1: (100_000, 300_000, True)}
+
+
+def test_linear_decay_has_its_own_bound(spark):
+    df = spark.createDataFrame([(1, -0.02), (2, -0.001), (3, 0.5)], "unit_id long, spatial_decay double").selectExpr("*", *[f"cast(0 as double) as {c}" for c in ("n_peaks", "n_troughs", "baseline_flatness", "second_peak_to_trough")], "500.0 as duration_us")
+    for linear, want in ((True, [1]), (False, [1, 2, 3])):
+        rule = labels.noise_rules(df, params.QualityParams(linear_decay=linear))["spatial_decay"]
+        assert [r.unit_id for r in df.filter(rule).orderBy("unit_id").collect()] == want
+
+
+def test_refractory_methods(spark, train):
+    _, df = train
+    for method in ("hill", "llobet", "ibl"):
+        got = refractory.estimate(df, method, [10, 20], 1, 1.0).collect()
+        assert len(got) == 3 and all(r.contamination is None or 0 <= r.contamination <= 1 for r in got)
+    with pytest.raises(ValueError, match="unknown"):
+        refractory.estimate(df, "other", [10], 1, 1.0)
+
+
+def test_batched_gaussians_equal_single_ones():
+    rng = np.random.default_rng(5)
+    hists = [np.histogram(rng.normal(m, s, 500), 50) for m, s in ((0, 1), (5, 2), (9, 0.1))]
+    stats = [(float(np.dot(n, e[:-1]) / n.sum()), float(e[3])) for n, e in hists]
+    args = [(n, e[:-1], e[1] - e[0], sd or 1.0, low) for (n, e), (sd, low) in zip(hists, stats, strict=True)]
+    both = fits.cut_gaussians_missing(*[np.array([a[i] for a in args]) for i in range(5)])
+    assert all(abs(fits.cut_gaussian_missing(*a) - b) < 1e-9 or math.isnan(b) for a, b in zip(args, both, strict=True))
 
 
 def test_missing_gaussian_recovers_cut():
@@ -224,7 +279,7 @@ def test_metadata():
 def test_sinks_round_trip(spark, tmp_path):
     m = catalog.typed_units(spark, SF)
     at = "file://" + str(tmp_path)
-    sinks.save_results(m, catalog.PARAMS, at)
+    sinks.save_results(m, catalog.RUN_PARAMS, at)
     back = sinks.load_results(spark, at)
     assert sorted(map(str, back.drop("empty_unit").collect())) == sorted(map(str, m.collect()))
     assert sinks.load_tsv(spark, at).filter("metric = 'n_spikes'").agg(F.sum("value")).first()[0] == m.agg(F.sum("n_spikes")).first()[0]
