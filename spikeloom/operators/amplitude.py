@@ -108,11 +108,11 @@ def raw_amplitude(wf: Column, gain: Column | float | None) -> Column:
 
 
 def signal_to_noise(peaks: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Largest |value| of each unit's mean waveform over the unscaled MAD of its baseline samples (unit_id, value)."""
+    """Largest |value| of each unit's mean waveform over the unscaled MAD of its baseline samples (unit_id, value); units without any keep a null."""
     med = baseline.groupBy("unit_id").agg(F.median("value").alias("m"))
     mad = baseline.join(med, "unit_id").groupBy("unit_id").agg(F.median(F.abs(F.col("value") - F.col("m"))).alias("mad"))
     top = F.array_max(F.transform("wf", lambda v: F.abs(v)))
-    return peaks.join(mad, "unit_id").select("unit_id", "mad", F.when(F.col("mad") > 0, top / F.col("mad")).alias("snr"))
+    return peaks.join(mad, "unit_id", "left").select("unit_id", "mad", F.when(F.col("mad") > 0, top / F.col("mad")).alias("snr"))
 
 
 def mean_waveforms(snippets: DataFrame, baseline_samples: int) -> DataFrame:

@@ -84,10 +84,15 @@ def normalised(acg: DataFrame, spikes: DataFrame, bin_ticks: int, half: int, tic
         F.when(sd > 0, (F.col("n") - mean) / sd).alias("zscore"))
 
 
-def log_bins(low: float, high: float, n: int) -> list[float]:
-    """n+1 edges evenly spaced in the logarithm."""
+def log_autocorrelogram(spikes: DataFrame, low: int, high: int, n_bins: int, tick: float) -> DataFrame:
+    """(unit_id, lag_bin, n, rate) of lags in bins evenly spaced in the logarithm from low to high ticks (exclusive); rate is per spike and second of the bin."""
     a, b = math.log10(low), math.log10(high)
-    return [10 ** (a + (b - a) * i / n) for i in range(n + 1)]
+    edge = lambda i: F.pow(F.lit(10.0), F.lit(a) + (i * (b - a) / n_bins))
+    at = F.least(F.floor((F.log10(F.col("delta")) - a) * n_bins / (b - a)), F.lit(n_bins - 1)).cast("int")
+    counted = band_pairs(spikes, high - 1).filter(F.col("delta") >= low).groupBy("unit_id", at.alias("lag_bin")).agg(F.count("*").alias("n"))
+    sizes = spikes.groupBy("unit_id").agg(F.count("*").alias("n_unit"))
+    width = (edge(F.col("lag_bin") + 1) - edge(F.col("lag_bin"))) * tick
+    return counted.join(sizes, "unit_id").select("unit_id", "lag_bin", "n", (F.col("n") / (F.col("n_unit") * width)).alias("rate"))
 
 
 def features(dense_acg: DataFrame, half: int, bin_ms: float, supp: int, base: int, rec_lo: int, rec_hi: int, fit: int) -> DataFrame:

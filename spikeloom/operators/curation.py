@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Names of manual codes, and automatic names that are spelled otherwise.
@@ -54,7 +54,7 @@ def threshold_suggestions(metrics: DataFrame, manual: DataFrame, suggested=SUGGE
     """
     have = [s for s in suggested if s[0] in metrics.columns]
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(d).alias("direction"), F.lit(t).alias("current"), F.col(m).cast("double").alias("value")) for m, d, t in have])
-    x = metrics.join(manual, "unit_id").select(_named(F.col("manual_classification"), MANUAL).alias("manual"), F.inline(rows)).filter("value is not null and manual in ('Good', 'Noise')")
+    x = manual.join(metrics, "unit_id", "left").select(_named(F.col("manual_classification"), MANUAL).alias("manual"), F.inline(rows)).filter("value is not null and manual in ('Good', 'Noise')")
     good, noise = F.col("manual") == "Good", F.col("manual") == "Noise"
     # both passing counts need the suggested value: it is one of a dozen rows, joined back
     s = x.groupBy("metric", "direction", "current").agg(F.min(F.when(good, F.col("value"))).alias("least_good"), F.min(F.when(noise, F.col("value"))).alias("least_noise"), F.max(F.when(noise, F.col("value"))).alias("most_noise"))
@@ -83,13 +83,40 @@ def default_manual(units: DataFrame, manual: DataFrame) -> DataFrame:
     return units.select("unit_id").join(manual, "unit_id", "left").select("unit_id", F.coalesce("manual_classification", F.lit(-1)).alias("manual_classification"))
 
 
-def neighbours_of_class(typed: DataFrame, label: str) -> DataFrame:
-    """For each unit the next and the previous unit of a class, and the next of it with wrap-around."""
-    from pyspark.sql import Window
+def neighbours_of_class(typed: DataFrame, label: str | None, *by: str, column: str = "unit_type_string") -> DataFrame:
+    """For each unit the next and the previous unit of a class, and both with wrap-around; by: recordings, each with its own units.
 
-    w = Window.orderBy("unit_id")  # one row a unit of one recording
-    hit = F.when(F.col("unit_type_string") == label, F.col("unit_id"))
-    x = typed.select("unit_id", hit.alias("hit"))
+    label None: units that have no value yet, such as those not classified by hand.
+    """
+    w = Window.partitionBy(*by).orderBy("unit_id")  # one row a unit; a recording's units are one group
+    hit = F.when(F.col(column).isNull() if label is None else F.col(column) == label, F.col("unit_id"))
+    x = typed.select(*by, "unit_id", hit.alias("hit"))
     nxt = F.min("hit").over(w.rowsBetween(1, Window.unboundedFollowing))
     prev = F.max("hit").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return x.select("unit_id", nxt.alias("next_unit"), prev.alias("previous_unit"), F.coalesce(nxt, F.min("hit").over(Window.partitionBy())).alias("next_wrapped"))
+    every = Window.partitionBy(*by)
+    return x.select(*by, "unit_id", nxt.alias("next_unit"), prev.alias("previous_unit"), F.coalesce(nxt, F.min("hit").over(every)).alias("next_wrapped"), F.coalesce(prev, F.max("hit").over(every)).alias("previous_wrapped"))
+
+
+def compared(metrics: DataFrame, manual: DataFrame) -> DataFrame:
+    """Units that have both labels, with all their metrics: what a comparison plot and its CSV show."""
+    auto = metrics.select("unit_id", "unit_type_string")
+    return joined(manual, auto).withColumn("agree", F.col("manual") == F.col("auto")).join(metrics.drop("unit_type_string"), "unit_id")
+
+
+def compare(metrics: DataFrame, manual: DataFrame) -> dict[str, DataFrame]:
+    """The whole comparison of labelled metrics with manual labels: side by side, confusion, concordance, changes and suggestions."""
+    both = joined(manual, metrics.select("unit_id", "unit_type_string"))
+    return {
+        "compared": compared(metrics, manual), "confusion": confusion(both), "concordance": concordance(both), "changes": agreement_counts(both),
+        "suggestions": threshold_suggestions(metrics, manual),
+    }
+
+
+def report(found: dict[str, DataFrame]) -> str:
+    """The comparison as text: agreement, confusion and suggested thresholds, a few dozen rows whatever the recording."""
+    whole = found["concordance"].filter("class = 'All'").first()
+    lines = [f"Overall concordance: {100 * (whole['precision'] or 0):.1f} % of {whole['n_manual']} units"]
+    lines += [f"  {r['manual']} / {r['auto']}: {r['n']}" for r in found["confusion"].orderBy("manual", "auto").collect()]
+    rows = found["suggestions"].orderBy("metric").collect()
+    lines += [f"  {r['metric']}: {r['current']:g} -> {r['suggestion']:g} ({r['good_now']} -> {r['good_then']} good units pass)" for r in rows] or ["No thresholds to change"]
+    return "\n".join(lines)

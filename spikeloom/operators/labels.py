@@ -102,8 +102,11 @@ def cell_types(properties: DataFrame, region: str, p: PhysiologyParams | None =
     return properties.select("unit_id", (kind(p) if kind else F.lit(None).cast("string")).alias("cell_type"))
 
 
-def distribution(labelled: DataFrame, column: str) -> DataFrame:
-    """(label, n, percent) of a label column."""
+def distribution(labelled: DataFrame, column: str, names: list[str] | None = None) -> DataFrame:
+    """(label, n, percent) of a label column; names that no row has count 0."""
     n = labelled.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
+    if names:
+        every = labelled.sparkSession.createDataFrame([(x,) for x in names], "label string")
+        n = every.join(n, "label", "full").withColumn("n", F.coalesce("n", F.lit(0)))
     total = labelled.agg(F.count("*").alias("total"))  # one row
-    return n.crossJoin(F.broadcast(total)).select("label", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
+    return n.crossJoin(F.broadcast(total)).select("label", "n", F.try_divide(100.0 * F.col("n"), F.col("total")).alias("percent"))

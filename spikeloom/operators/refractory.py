@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .correlogram import band_pairs
-from .trains import intervals, spike_counts
+from .trains import intervals
 
 
 def tau_frame(spark, taus: list[int]) -> DataFrame:
@@ -34,13 +34,14 @@ def hill_sweep(spikes: DataFrame, taus: list[int], tau_c: int, tick: float, *key
     return long.withColumn("contamination", hill(F.col("n_violations"), F.col("n_spikes"), F.col("duration"), (F.col("tau_r") - tau_c) * tick))
 
 
-def llobet_sweep(spikes: DataFrame, taus: list[int], tau_c: int, tick: float) -> DataFrame:
-    """All pairs with tau_c <= d <= tau: 1 - sqrt(1 - n(T - 2N tau_c)/(N^2(tau - tau_c))); no real root 1."""
-    pairs = band_pairs(spikes, max(taus)).filter(F.col("delta") >= tau_c)
-    n_of = pairs.groupBy("unit_id").agg(*[F.count_if(F.col("delta") <= t).alias(f"p{i}") for i, t in enumerate(taus)])
-    units = spike_counts(spikes).withColumn("duration", (F.col("t_last") - F.col("t_first")) * tick).join(n_of, "unit_id", "left")
+def llobet_sweep(spikes: DataFrame, taus: list[int], tau_c: int, tick: float, *keys: str) -> DataFrame:
+    """One row a unit (and key) and tau, of all pairs with tau_c <= d <= tau: 1 - sqrt(1 - n(T - 2N tau_c)/(N^2(tau - tau_c))); no real root 1."""
+    by = ["unit_id", *keys]
+    pairs = band_pairs(spikes, max(taus), *keys).filter(F.col("delta") >= tau_c)
+    n_of = pairs.groupBy(*by).agg(*[F.count_if(F.col("delta") <= t).alias(f"p{i}") for i, t in enumerate(taus)])
+    units = spikes.groupBy(*by).agg(F.count("*").alias("n_spikes"), ((F.max("t") - F.min("t")) * tick).alias("duration")).join(n_of, by, "left")
     rows = F.array(*[F.struct(F.lit(i).alias("tau_idx"), F.lit(t).cast("long").alias("tau_r"), F.coalesce(f"p{i}", F.lit(0)).alias("n_pairs")) for i, t in enumerate(taus)])
-    long = units.select("unit_id", "n_spikes", "duration", F.inline(rows))
+    long = units.select(*by, "n_spikes", "duration", F.inline(rows))
     inner = 1 - F.try_divide(F.col("n_pairs") * (F.col("duration") - 2 * F.col("n_spikes") * tau_c * tick), F.col("n_spikes") * F.col("n_spikes") * (F.col("tau_r") - tau_c) * tick)
     return long.withColumn("contamination", F.when(inner >= 0, 1 - F.sqrt(inner)).otherwise(1.0))
 
@@ -52,22 +53,23 @@ def poisson_cdf(n: Column, mean: Column) -> Column:
     return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["sum"])
 
 
-def sliding_confidence(spikes: DataFrame, taus: list[int], tau_c: int, tick: float, confidence: float = 0.9) -> DataFrame:
-    """Smallest contamination of 0.5..34.5 % held with the confidence, over all taus; the first tau of equals.
+def sliding_confidence(spikes: DataFrame, taus: list[int], tau_c: int, tick: float, confidence: float = 0.9, *keys: str) -> DataFrame:
+    """Smallest contamination of 0.5..34.5 % held with the confidence, over all taus, of each unit (and key); the first tau of equals.
 
     Violations have tau_c <= isi < tau. A unit of one spike or no effective time has nulls.
     """
-    counted = intervals(spikes).groupBy("unit_id").agg(
+    by = ["unit_id", *keys]
+    counted = intervals(spikes, *keys).groupBy(*by).agg(
         F.count("*").alias("n_spikes"), ((F.max("t") - F.min("t")) * tick).alias("duration"),
         *[F.count_if((F.col("isi") >= tau_c) & (F.col("isi") < t)).alias(f"v{i}") for i, t in enumerate(taus)])
     rows = F.array(*[F.struct(F.lit(i).alias("tau_idx"), F.lit(t).cast("long").alias("tau_r"), F.col(f"v{i}").alias("n")) for i, t in enumerate(taus) if t > tau_c])
     x = counted.withColumn("effective", F.col("duration") - 2 * F.col("n_spikes") * tau_c * tick)
     grid = F.transform(F.sequence(F.lit(1), F.lit(69)), lambda c: c * 0.005)
-    long = x.filter("n_spikes > 1 and effective > 0").select("unit_id", "n_spikes", "effective", F.inline(rows)).select("*", F.explode(grid).alias("level"))
+    long = x.filter("n_spikes > 1 and effective > 0").select(*by, "n_spikes", "effective", F.inline(rows)).select("*", F.explode(grid).alias("level"))
     mean = F.col("n_spikes") / F.col("effective") * F.col("level") * (F.col("tau_r") - tau_c) * tick * 2 * F.col("n_spikes")
     held = long.withColumn("mean", mean).filter(1 - poisson_cdf(F.col("n"), F.col("mean")) > confidence)
-    best = held.groupBy("unit_id").agg(F.min(F.struct("level", "tau_idx", "tau_r")).alias("b"))
-    return x.select("unit_id", "n_spikes").join(best, "unit_id", "left").select("unit_id", "n_spikes", F.col("b.level").alias("contamination"), F.col("b.tau_r").alias("tau_r"))
+    best = held.groupBy(*by).agg(F.min(F.struct("level", "tau_idx", "tau_r")).alias("b"))
+    return x.select(*by, "n_spikes").join(best, by, "left").select(*by, "n_spikes", F.col("b.level").alias("contamination"), F.col("b.tau_r").alias("tau_r"))
 
 
 def unit_summary(per_chunk: DataFrame) -> DataFrame:

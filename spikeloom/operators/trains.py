@@ -51,6 +51,15 @@ def rate_properties(spikes: DataFrame, bin_ticks: int, tick: float, most_bins: i
         F.try_divide(F.var_pop("rate"), F.avg("rate")).alias("fano"), F.try_divide(F.percentile("rate", F.lit(0.95)), F.percentile("rate", F.lit(0.05))).alias("rate_ratio"))
 
 
+def binned_rates(spikes: DataFrame, bin_ticks: int, tick: float) -> DataFrame:
+    """(unit_id, bin, start, rate) of bins of the recording from its first spike on, zero-filled: the rate panel beside the amplitudes."""
+    b = bounds(spikes)  # one row
+    n = F.greatest(F.ceil((F.col("end") - F.col("start") + 1) / bin_ticks), F.lit(1)).cast("int")
+    bins = spikes.select("unit_id").distinct().crossJoin(F.broadcast(b)).select("unit_id", "start", F.explode(F.sequence(F.lit(0), n - 1)).alias("bin"))
+    counts = spikes.crossJoin(F.broadcast(b)).groupBy("unit_id", F.expr(f"cast((t - start) div {bin_ticks} as int)").alias("bin")).agg(F.count("*").alias("n"))
+    return zero_filled(bins, counts, ["unit_id", "bin"]).select("unit_id", "bin", (F.col("start") + F.col("bin") * bin_ticks).alias("start"), (F.col("n") / (bin_ticks * tick)).alias("rate"))
+
+
 def bounds(spikes: DataFrame) -> DataFrame:
     """One row with the recording's first and last tick."""
     return spikes.agg(F.min("t").alias("start"), F.max("t").alias("end"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,13 +135,35 @@ def nearest_channels(channels: DataFrame, k: int = 16, radius: float | None = No
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy("distance", "near"))).filter(F.col("rank") <= k).select("channel", "near", "rank", "distance")
 
 
+def same_column_channels(channels: DataFrame, k: int = 6) -> DataFrame:
+    """(channel, near, rank): k channels of each channel's own column, upwards by number, or downwards where fewer than k are left above."""
+    a = channels.select("channel", "x_um")
+    b = channels.select(F.col("channel").alias("near"), "x_um")
+    x = a.join(b, "x_um")  # a probe's columns: a few hundred rows whatever the recording
+    above = F.count_if(F.col("near") >= F.col("channel")).over(Window.partitionBy("channel")) >= k
+    x = x.withColumn("above", above).filter(F.when(F.col("above"), F.col("near") >= F.col("channel")).otherwise(F.col("near") <= F.col("channel")))
+    order = Window.partitionBy("channel").orderBy(F.abs(F.col("near") - F.col("channel")))
+    return x.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("channel", "near", "rank")
+
+
+def rescaled_decay(decay: DataFrame, templates: DataFrame) -> DataFrame:
+    """Decay slopes of templates in raw units over the template's largest |value|."""
+    top = templates.groupBy("template_id").agg(F.max(F.array_max(magnitudes(F.col("wf")))).alias("top"))
+    return decay.join(top, "template_id", "left").withColumn("spatial_decay", F.try_divide("spatial_decay", "top")).drop("top")
+
+
+def display_channels(channels: DataFrame, k: int = 16, tolerance: float = 33.0) -> DataFrame:
+    """(channel, near, rank): the k channels to draw around each, those of its own column and the next ones first, by distance."""
+    a = channels.select("channel", F.col("x_um").alias("ax"), F.col("y_um").alias("ay"))
+    b = channels.select(F.col("channel").alias("near"), F.col("x_um").alias("bx"), F.col("y_um").alias("by"))
+    x = a.crossJoin(F.broadcast(b))  # a probe's geometry, a few hundred rows
+    far = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
+    order = Window.partitionBy("channel").orderBy((F.abs(F.col("ax") - F.col("bx")) > tolerance).cast("int"), far, "near")
+    return x.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("channel", "near", "rank")
+
+
 def unwhitened(templates: DataFrame, inverse: DataFrame) -> DataFrame:
     """Whitened templates (template_id, channel, wf) times the inverse whitening matrix (channel, to_channel, weight)."""
     x = templates.join(inverse, "channel").select("template_id", "to_channel", "weight", F.posexplode("wf").alias("sample", "v"))
     y = x.groupBy("template_id", "to_channel", "sample").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
     return y.groupBy("template_id", "to_channel").agg(F.array_sort(F.collect_list(F.struct("sample", "v"))).alias("s")).select("template_id", F.col("to_channel").alias("channel"), F.col("s.v").alias("wf"))
-
-
-def gaussian_kernel(sigma: float, radius: int) -> list[float]:
-    k = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-radius, radius + 1)]
-    return [v / sum(k) for v in k]

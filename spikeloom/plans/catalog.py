@@ -132,6 +132,25 @@ def chunk_sweep(spark, d):
     return refractory.hill_sweep(trains.in_chunks(rel.spikes(spark, d), CHUNK), TAUS, TAU_C, rel.TICK, "chunk")
 
 
+@query(f"""with {CHUNKED}, p as (select a.unit_id, a.chunk, b.t - a.t as delta from ch a join ch b on a.unit_id = b.unit_id and a.chunk = b.chunk and b.t - a.t between {TAU_C} and {max(TAUS)} and (b.t > a.t or b.spike_idx > a.spike_idx)),
+k as (select unit_id, chunk, tau_idx, tau_r, count(delta) filter (where delta <= tau_r) as k from cu cross join taus left join p using (unit_id, chunk) group by all),
+x as (select *, 1 - k * (dur - 2 * n * {TAU_C} * 1e-6) / nullif(n * n * (tau_r - {TAU_C}) * 1e-6, 0) as inner_ from cu join k using (unit_id, chunk))
+select unit_id, chunk, n as n_spikes, round(dur, 6) as duration, cast(tau_idx as bigint) as tau_idx, cast(tau_r as bigint) as tau_r, k as n_pairs, round(case when inner_ >= 0 then 1 - sqrt(inner_) else 1.0e0 end, 6) as contamination from x""")
+def rpv_llobet_per_chunk(spark, d):
+    return r6(refractory.llobet_sweep(trains.in_chunks(rel.spikes(spark, d), CHUNK), TAUS, TAU_C, rel.TICK, "chunk"))
+
+
+@query(f"""with {CHUNKED.replace(TAU, "taus(tau_idx, tau_r) as (values " + ", ".join(f"({i}, {t})" for i, t in enumerate(IBL_TAUS)) + ")")},
+v as (select unit_id, chunk, tau_idx, tau_r, count(*) filter (where isi >= {TAU_C} and isi < tau_r) as k from ci, taus group by all),
+g as (select *, c * 0.005e0 as level, dur - 2 * n * {TAU_C} * 1e-6 as eff from cu join v using (unit_id, chunk), unnest(range(1, 70)) as t(c)),
+h as (select *, n / eff * level * (tau_r - {TAU_C}) * 1e-6 * 2 * n as mean from g where n > 1 and eff > 0),
+q as (select *, list_sum(list_transform(range(0, cast(k as bigint) + 1), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1)))) as cdf from h),
+b as (select unit_id, chunk, min(struct_pack(level := level, tau_idx := tau_idx, tau_r := tau_r)) as b from q where 1 - cdf > 0.9 group by all)
+select unit_id, chunk, n as n_spikes, round(b.level, 6) as contamination, cast(b.tau_r as bigint) as tau_r from cu left join b using (unit_id, chunk)""")
+def rpv_ibl_per_chunk(spark, d):
+    return r6(refractory.sliding_confidence(trains.in_chunks(rel.spikes(spark, d), CHUNK), IBL_TAUS, TAU_C, rel.TICK, 0.9, "chunk"))
+
+
 @query(f"with {CHUNKED} select unit_id, chunk, n_spikes, round(duration, 6) as duration, cast(tau_idx as bigint) as tau_idx, cast(tau_r as bigint) as tau_r, n_violations, round(contamination, 6) as contamination from chill")
 def rpv_per_chunk(spark, d):
     return r6(chunk_sweep(spark, d))
@@ -282,6 +301,11 @@ def missing_gaussian(spark, d):
     return r3(amplitude.missing_gaussian(rel.spikes(spark, d)))
 
 
+@query(f"""with recursive {CHUNKED}, {hist_sql('ch', 'unit_id, chunk')}, {gaussian_sql('hist', 'kept', 'unit_id, chunk')} select unit_id, chunk, n, round(missing_gaussian, 3) as missing_gaussian from gauss""")
+def missing_per_chunk(spark, d):
+    return r3(amplitude.missing_gaussian(trains.in_chunks(rel.spikes(spark, d), CHUNK), "chunk"))
+
+
 RATES = f"""{SP}, u as (select unit_id, count(*) as n_spikes, min(t) as t0, max(t) - min(t) as span, least((max(t) - min(t)) // {DAY}, 10000) as nb from spikes group by unit_id having (max(t) - min(t)) // {DAY} >= 1),
 rc as (select unit_id, least(((t - t0) * nb) // span, nb - 1) as bin, count(*) as n from spikes join u using (unit_id) group by all),
 rb as (select unit_id, n_spikes, span, nb, coalesce(n, 0) / (span * 1e-6 / nb) as rate from (select * from u, unnest(range(nb)) as g(bin)) left join rc using (unit_id, bin))"""
@@ -349,6 +373,26 @@ def acg_outer_rate(spark, d):
     return r6(correlogram.outer_rate(dense_acg(spark, d), ACG_HALF))
 
 
+LOG_BINS = (60 * S, 100_000 * S, 12)
+_la, _lb = math.log10(LOG_BINS[0]), math.log10(LOG_BINS[1])
+
+
+@query(f"""with {SP}, u as (select unit_id, count(*) as c from spikes group by unit_id),
+p as (select a.unit_id, b.t - a.t as d from spikes a join spikes b on a.unit_id = b.unit_id and b.t - a.t between {LOG_BINS[0]} and {LOG_BINS[1] - 1}),
+n as (select unit_id, least(cast(floor((log10(d) - {_la!r}) * {LOG_BINS[2]} / {_lb - _la!r}) as bigint), {LOG_BINS[2] - 1}) as lag_bin, count(*) as n from p group by all)
+select unit_id, lag_bin, n, round(n / (c * (pow(10.0e0, {_la!r} + (lag_bin + 1) * {(_lb - _la)!r} / {LOG_BINS[2]}) - pow(10.0e0, {_la!r} + lag_bin * {(_lb - _la)!r} / {LOG_BINS[2]})) * 1e-6), 6) as rate from n join u using (unit_id)""")
+def acg_log_counts(spark, d):
+    return r6(correlogram.log_autocorrelogram(rel.spikes(spark, d), *LOG_BINS, rel.TICK))
+
+
+@query(f"""with {SP}, bnd as (select min(t) as t0, cast(greatest(ceil((max(t) - min(t) + 1) / {DAY}.0e0), 1) as bigint) as nb from spikes),
+c as (select unit_id, (t - t0) // {DAY} as bin, count(*) as n from spikes, bnd group by all)
+select unit_id, bin, t0 + bin * {DAY} as "start", round(coalesce(n, 0) / ({DAY} * 1e-6), 9) as rate from (select unit_id, t0, bin from (select distinct unit_id from spikes), bnd, unnest(range(nb)) as g(bin)) left join c using (unit_id, bin)""")
+def amplitude_panel_rates(spark, d):
+    x = trains.binned_rates(rel.spikes(spark, d), DAY, rel.TICK)
+    return x.select("unit_id", F.col("bin").cast("long").alias("bin"), "start", F.round("rate", 9).alias("rate"))
+
+
 CCG_HALF = correlogram.half_bins(CCG_WINDOW, CCG_BIN)
 
 
@@ -506,6 +550,25 @@ def nearest_channels(spark, d):
     return r6(waveform.nearest_channels(rel.channels(spark), 5, 40.0))
 
 
+@query(f"""with {CHAN}, p as (select a.channel, b.channel as near, case when abs(a.x - b.x) > 20 then 1 else 0 end as off, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as dist from chn a, chn b)
+select channel, near, row_number() over (partition by channel order by off, dist, near) as rank from p qualify rank <= 10""")
+def display_channels(spark, d):
+    return r6(waveform.display_channels(rel.channels(spark), 10, 20.0))
+
+
+@query(f"""with {CHAN}, p as (select a.channel, b.channel as near, count(*) filter (where b.channel >= a.channel) over (partition by a.channel) >= 4 as up from chn a join chn b using (x)),
+q as (select * from p where case when up then near >= channel else near <= channel end) select channel, near, row_number() over (partition by channel order by abs(near - channel)) as rank from q qualify rank <= 4""")
+def same_column_channels(spark, d):
+    return r6(waveform.same_column_channels(rel.channels(spark), 4))
+
+
+@query(f"""with {POINTS}, d as (select template_id, -regr_slope(val, dist) as sl from pts group by template_id), t as (select template_id, max(list_max(list_transform(wf, lambda v: abs(v)))) as top from tpl group by template_id)
+select template_id, round(sl / nullif(top, 0), 6) as spatial_decay from d join t using (template_id)""")
+def spatial_decay_rescaled(spark, d):
+    x = waveform.linear_decay(points(spark, d)).select("template_id", "spatial_decay")
+    return r6(waveform.rescaled_decay(x, rel.channel_templates(spark, d)))
+
+
 PC = "pcs as (select user_id as unit_id, event_id as spike_idx, epoch_us(ts) as t, c as channel, abs(value) * (1 + (event_id * (c + 3)) % 7) - 2.0e0 as pc1 from events, unnest(range(4)) as g(c))"
 
 
@@ -569,7 +632,7 @@ def silhouette(spark, d):
 
 
 @query(f"""with {T1}, {SP}, med as (select unit_id, median(amplitude) as m from spikes group by unit_id), mad as (select unit_id, median(abs(amplitude - m)) as mad from spikes join med using (unit_id) group by unit_id)
-select unit_id, round(mad, 6) as mad, round(case when mad > 0 then list_max(list_transform(wf, lambda v: abs(v))) / mad end, 6) as snr from tpl join mad on template_id = unit_id""")
+select template_id as unit_id, round(mad, 6) as mad, round(case when mad > 0 then list_max(list_transform(wf, lambda v: abs(v))) / mad end, 6) as snr from tpl left join mad on template_id = unit_id""")
 def snr_mad(spark, d):
     s = rel.spikes(spark, d).select("unit_id", F.col("amplitude").alias("value"))
     return r6(amplitude.signal_to_noise(rel.templates(spark, d).select(F.col("template_id").alias("unit_id"), "wf"), s))
@@ -589,6 +652,19 @@ def detrended_snippets(spark, d):
     return r6(amplitude.detrended(x).select("spike_idx", F.posexplode("wf").alias("sample", "v")))
 
 
+_KERNEL = (0.054488684549642945, 0.24420134200323335, 0.4026199468942475)
+
+
+@query(f"""with s as (select cast(label as bigint) as unit_id, vec_id, list_transform(embedding, lambda v: cast(v as double)) as wf from embeddings),
+m as (select unit_id, vec_id, list_transform(range(1, 65), lambda i: {_KERNEL[0]} * (wf[greatest(i - 2, 1)] + wf[least(i + 2, 64)]) + {_KERNEL[1]} * (wf[greatest(i - 1, 1)] + wf[least(i + 1, 64)]) + {_KERNEL[2]} * wf[i]) as wf,
+ case when row_number() over (partition by unit_id order by vec_id) * 2 <= count(*) over (partition by unit_id) then 0 else 1 end as half from s),
+b as (select unit_id, half, i, wf[i] - list_sum(wf[1:20]) / 20 as v from m, unnest(range(1, 65)) as g(i))
+select unit_id, cast(half as bigint) as half, i - 1 as sample, round(median(v), 6) as v from b group by all""")
+def half_median_waveforms(spark, d):
+    x = rel.table(spark, d, "embeddings").select(F.col("label").alias("unit_id"), F.col("vec_id").alias("spike_idx"), F.lit(0).alias("channel"), F.transform("embedding", lambda v: v.cast("double")).alias("wf"))
+    return r6(amplitude.half_medians(x, 20).select("unit_id", "half", F.posexplode("wf").alias("sample", "v")))
+
+
 _DUPES = f"""{LINE}, sz as (select unit_id, count(*) as n from dense group by unit_id),
 dup as (select a.channel, a.spike_idx as idx_a, b.spike_idx as idx_b, a.unit_id as unit_a, b.unit_id as unit_b, b.t - a.t as delta,
  case when case when a.unit_id = b.unit_id then a.amplitude < b.amplitude else na.n < nb.n end then a.spike_idx else b.spike_idx end as loser
@@ -794,6 +870,15 @@ def concordance(spark, d):
     return r6(curation.concordance(curated(spark, d)))
 
 
+@query(f"""with {QUALITY}, man as (select unit_id, case when unit_id % 3 = 0 then 'Noise' else 'Good' end as manual from typed),
+aut as (select unit_id, case unit_type_string when 'NOISE' then 'Noise' when 'GOOD' then 'Good' when 'MUA' then 'MUA' when 'NON-SOMA' then 'Non-somatic' else unit_type_string end as auto, n_spikes, n_peaks from typed)
+select unit_id, manual, auto, manual = auto as agree, n_spikes, n_peaks from man join aut using (unit_id)""")
+def compared_labels(spark, d):
+    m = typed_units(spark, d)
+    manual = m.select("unit_id", F.when(F.col("unit_id") % 3 == 0, 0).otherwise(1).alias("manual_classification"))
+    return r6(curation.compared(m, manual).select("unit_id", "manual", "auto", "agree", "n_spikes", "n_peaks"))
+
+
 @query(f"with {CUR} select auto || ' -> ' || manual as change, count(*) as n from cur group by all")
 def agreement_counts(spark, d):
     return curation.agreement_counts(curated(spark, d))
@@ -830,7 +915,7 @@ def manual_default(spark, d):
     return r6(curation.default_manual(trains.spike_counts(rel.spikes(spark, d)), rel.manual_labels(spark, d)))
 
 
-@query(f"with {QUALITY} select unit_id, min(h) over (order by unit_id rows between 1 following and unbounded following) as next_unit, max(h) over (order by unit_id rows between unbounded preceding and 1 preceding) as previous_unit, coalesce(min(h) over (order by unit_id rows between 1 following and unbounded following), min(h) over ()) as next_wrapped from (select unit_id, case when unit_type_string = 'NOISE' then unit_id end as h from typed)")
+@query(f"with {QUALITY} select unit_id, min(h) over (order by unit_id rows between 1 following and unbounded following) as next_unit, max(h) over (order by unit_id rows between unbounded preceding and 1 preceding) as previous_unit, coalesce(min(h) over (order by unit_id rows between 1 following and unbounded following), min(h) over ()) as next_wrapped, coalesce(max(h) over (order by unit_id rows between unbounded preceding and 1 preceding), max(h) over ()) as previous_wrapped from (select unit_id, case when unit_type_string = 'NOISE' then unit_id end as h from typed)")
 def next_unit_of_class(spark, d):
     return curation.neighbours_of_class(typed_units(spark, d), "NOISE")
 

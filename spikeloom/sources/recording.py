@@ -21,6 +21,24 @@ GEN2_TYPES, GEN2_100_TYPES = ("21", "24", "2003", "2004", "2020", "2021"), ("201
 OPEN_EPHYS_BIT_UV = 0.1949999928474426
 
 
+def open_file(path: str):
+    """A seekable binary file of a local path or of a URI that pyarrow knows (hdfs, s3, gs, file)."""
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(path)
+    return where.open_input_file(inner)
+
+
+def channels_of_file(size: int, n_channels: int, n_neural: int | None = None) -> int:
+    """The channel count that a file of `size` bytes of int16 can have: the metadata's, else that without the auxiliary channels."""
+    for n in (n_channels, n_neural):
+        if n and size % (2 * n) == 0:
+            return n
+    raise ValueError(f"{size} bytes are no whole number of samples of {n_channels} channels")
+
+
 def parse_meta(text: str) -> dict[str, str]:
     """key=value lines; a leading ~ of a key goes; lines without = are skipped."""
     pairs = (line.split("=", 1) for line in text.splitlines() if "=" in line)
@@ -54,18 +72,40 @@ def microvolts_per_bit(meta: dict[str, str], channel: int = 0, newer_default: in
 
 
 def channel_gains(meta: dict[str, str]) -> dict[int, tuple[float, float]]:
-    """channel -> (AP gain, LF gain) from the imro table; types with one gain repeat it."""
+    """channel -> (AP gain, LF gain) from the imro table; types with one gain repeat it, type 1110 has its gains in the table's header."""
     kind, out = meta.get("imDatPrb_type", "0"), {}
-    for entry in meta.get("imroTbl", "").strip("()").split(")(")[1:]:
+    header, *entries = meta.get("imroTbl", "").strip("()").split(")(")
+    if kind == "1110":
+        shared = (float(meta["imChan0apGain"]), float(meta["imChan0lfGain"])) if "imChan0apGain" in meta else tuple(float(x) for x in header.split(",")[3:5])
+    else:
+        shared = None
+    for entry in entries:
         parts = entry.split()
         if kind in GEN2_TYPES + GEN2_100_TYPES:
             g = 100.0 if kind in GEN2_100_TYPES else 80.0
             out[int(parts[0])] = (g, g)
         else:
-            out[int(parts[0])] = (float(parts[3]), float(parts[4]))
+            out[int(parts[0])] = shared or (float(parts[3]), float(parts[4]))
     return out
 
 
+def gain_corrected(samples: np.ndarray, saved: list[int], meta: dict[str, str]) -> np.ndarray:
+    """(samples, channels) in volts of the saved channels given by their place in the file; sync and digital channels stay as they are."""
+    volts, kind = volts_per_bit(meta), meta["typeThis"]
+    out = samples.astype(float)
+    if kind == "nidq":
+        analog = sum(channel_counts(meta)[:3])
+        scale = [volts / ni_gain(meta, i) if i < analog else 1.0 for i in saved]
+    elif kind == "obx":
+        scale = [volts] * len(saved)
+    else:
+        ap, lf = (int(x) for x in meta.get("acqApLfSy", meta.get("snsApLfSy")).split(",")[:2])
+        gains, acquired = channel_gains(meta), saved_channels(meta)
+        place = [acquired[i] for i in saved]
+        scale = [volts / gains[k][0] if k < ap else volts / gains[k - ap][1] if k < ap + lf else 1.0 for k in place]
+    return out * np.array(scale)
+
+
 def sample_rate(meta: dict[str, str]) -> float:
     """By the stream's type: imec, nidq or obx."""
     return float(meta[{"imec": "imSampRate", "nidq": "niSampRate", "obx": "obSampRate"}[meta["typeThis"]]])
@@ -134,7 +174,7 @@ def parse_file_name(name: str) -> dict[str, str]:
 
 def read_samples(path: str, n_channels: int, start: int, count: int) -> np.ndarray:
     """(samples, channels) of a row-major int16 file, read by byte range."""
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         f.seek(2 * n_channels * start)
         raw = f.read(2 * n_channels * count)
     return np.frombuffer(raw, "<i2")[: len(raw) // 2 // n_channels * n_channels].reshape(-1, n_channels)
@@ -189,22 +229,42 @@ def encode_chunk(x: np.ndarray, time_delta: bool = True) -> bytes:
     return zlib.compress(np.ascontiguousarray(d.T.astype("<i2")).tobytes(), 1)
 
 
-def decompressed(chunks: DataFrame, path: str, n_channels: int, channels: list[int] | None = None) -> DataFrame:
-    """(chunk, channel, first_sample, samples): one task inflates one chunk after another; a subset of channels, such as sync alone, may be kept."""
+def decompressed(chunks: DataFrame, path: str, n_channels: int, channels: list[int] | None = None, start: int = 0, stop: int | None = None) -> DataFrame:
+    """(chunk, channel, first_sample, samples): one task inflates one chunk after another.
+
+    A subset of channels, such as sync alone, may be kept, and the samples from start to stop
+    (exclusive): other chunks aren't read, and the outer ones are trimmed.
+    """
+    chunks = chunks.filter(F.col("last_sample") > start)
+    chunks = chunks if stop is None else chunks.filter(F.col("first_sample") < stop)
     keep = list(range(n_channels)) if channels is None else channels
 
     def run(batches):
         for b in batches:
             for c, first, off, size in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                with open(path, "rb") as f:
+                with open_file(path) as f:
                     f.seek(off)
                     x = decode_chunk(f.read(size), n_channels)
+                skip = max(start - first, 0)
+                x, first = x[skip : None if stop is None else stop - first], first + skip
                 n = len(keep)
                 yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.int32()), pa.array(keep, pa.int32()), pa.array([first] * n, pa.int64()), pa.array([x[:, k].tolist() for k in keep], pa.list_(pa.int16()))], ["chunk", "channel", "first_sample", "samples"])
 
     return chunks.select("chunk", "first_sample", "offset", "size").mapInArrow(run, "chunk int, channel int, first_sample long, samples array<smallint>")
 
 
+def decompress_to_file(header: dict, path: str, target: str, n_channels: int) -> int:
+    """Writes the whole recording as row-major int16 beside the compressed one, a chunk in memory at a time; the number of samples."""
+    offsets, n = header["chunk_offsets"], 0
+    with open_file(path) as source, open(target, "wb") as out:
+        for a, b in zip(offsets, offsets[1:], strict=False):
+            source.seek(a)
+            x = decode_chunk(source.read(b - a), n_channels)
+            out.write(np.ascontiguousarray(x, "<i2").tobytes())
+            n += len(x)
+    return n
+
+
 def find_recording(names: Iterable[str]) -> str | None:
     """An already decompressed file, else a .bin that isn't .lf, else a .cbin."""
     names = sorted(names)
@@ -214,6 +274,39 @@ def find_recording(names: Iterable[str]) -> str | None:
     return None
 
 
+#: Sites of probe kinds: columns' x of each row in turn, row pitch, sites of a shank, shanks and their distance.
+PROBES = {
+    "np1": (((43.0, 11.0), (59.0, 27.0)), 20.0, 384, 1, 0.0),
+    "np2": (((0.0, 32.0),), 15.0, 384, 1, 0.0),
+    "np2_four_shank": (((0.0, 32.0),), 15.0, 96, 4, 250.0),
+}
+
+
 def probe_layout(spark, n: int = 384, columns: int = 2, pitch_x: float = 32.0, pitch_y: float = 15.0) -> DataFrame:
     """(channel, x_um, y_um, hw_channel) of a regular probe, by modular arithmetic."""
-    return spark.range(n).select(F.col("id").cast("int").alias("channel"), ((F.col("id") % columns) * pitch_x).alias("x_um"), (F.floor(F.col("id") / columns) * pitch_y).cast("double").alias("y_um"), F.col("id").cast("int").alias("hw_channel"))
+    i = F.col("id")
+    return spark.range(n).select(i.cast("int").alias("channel"), ((i % columns) * pitch_x).alias("x_um"), (F.floor(i / columns) * pitch_y).cast("double").alias("y_um"), i.cast("int").alias("hw_channel"))
+
+
+def named_probe(spark, kind: str) -> DataFrame:
+    """(channel, shank, x_um, y_um, hw_channel) of a probe kind, row by row from the tip."""
+    rows, pitch, per_shank, shanks, apart = PROBES[kind]
+    i, columns = F.col("id"), len(rows[0])
+    on = i % per_shank
+    xs = F.array(*[F.lit(x) for row in rows for x in row])
+    x = F.get(xs, (on % (columns * len(rows))).cast("int"))
+    shank = F.floor(i / per_shank)
+    return spark.range(per_shank * shanks).select(
+        i.cast("int").alias("channel"), shank.cast("int").alias("shank"), (x + shank * apart).alias("x_um"), (F.floor(on / columns) * pitch).cast("double").alias("y_um"), i.cast("int").alias("hw_channel"))
+
+
+def by_site(values: DataFrame, channels: DataFrame, column: str = "channel") -> DataFrame:
+    """values keyed by the recording's hardware channel, keyed by the sorter's site instead; channels without a site are dropped."""
+    sites = channels.select(F.col("hw_channel").alias("__hw"), F.col("channel").alias("__site"))
+    x = values.join(sites, F.col(column) == F.col("__hw"))
+    return x.select(*[F.col("__site").alias(column) if c == column else F.col(c) for c in values.columns])
+
+
+def by_hardware(values: DataFrame, channels: DataFrame, column: str = "channel") -> DataFrame:
+    """The inverse of `by_site`."""
+    return by_site(values, channels.select(F.col("channel").alias("hw_channel"), F.col("hw_channel").alias("channel")), column)

@@ -22,17 +22,32 @@ def bursts(stream: DataFrame, gap: str, late: str) -> DataFrame:
     return x.select("unit_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def running_violations(stream: DataFrame, tau: int) -> DataFrame:
-    """(unit_id, n_spikes, n_violations) after each batch; the state of a unit is its last spike and two counts."""
+def running_violations(stream: DataFrame, tau: int, late: int = 0) -> DataFrame:
+    """(unit_id, n_spikes, n_violations, n_dropped) after each batch.
+
+    Spikes may come up to `late` ticks after a later one and are then sorted in; older ones
+    are dropped and counted. A unit's state is its spikes of the last `late` ticks, the last
+    one before them, and three counts.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n, bad = state.get if state.exists else (None, 0, 0)
-        t = pd.concat(list(frames))["t"].sort_values()
-        times = t if last is None else pd.concat([pd.Series([last]), t])
-        bad += int((times.diff().dropna() <= tau).sum())
-        n += len(t)
-        state.update((int(t.iloc[-1] if last is None else max(last, t.iloc[-1])), n, bad))
-        yield pd.DataFrame({"unit_id": [key[0]], "n_spikes": [n], "n_violations": [bad]})
+        held, last, n, bad, dropped = state.get if state.exists else ([], None, 0, 0, 0)
+        new = [int(t) for f in frames for t in f["t"]]
+        # what was final before this batch stays so
+        floor = None if last is None and not held else max([*held, *([] if last is None else [last])]) - late
+        kept = [t for t in new if floor is None or t >= floor]
+        dropped += len(new) - len(kept)
+        n += len(kept)
+        times = sorted([*held, *kept])
+        edge = times[-1] - late if times else None
+        while times and times[0] < edge:
+            t = times.pop(0)
+            bad += last is not None and t - last <= tau
+            last = t
+        chain = times if last is None else [last, *times]
+        open_bad = sum(b - a <= tau for a, b in zip(chain, chain[1:], strict=False))
+        state.update((times, last, n, int(bad), dropped))
+        yield pd.DataFrame({"unit_id": [key[0]], "n_spikes": [n], "n_violations": [int(bad) + open_bad], "n_dropped": [dropped]})
 
     return stream.select("unit_id", "t").groupBy("unit_id").applyInPandasWithState(
-        step, "unit_id long, n_spikes long, n_violations long", "last long, n long, bad long", "update", GroupStateTimeout.NoTimeout)
+        step, "unit_id long, n_spikes long, n_violations long, n_dropped long", "held array<long>, last long, n long, bad long, dropped long", "update", GroupStateTimeout.NoTimeout)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from spikeloom import params
 from spikeloom.functions import fits
-from spikeloom.operators import amplitude, correlogram, curation, duplicates, features, labels, refractory, trains, waveform
+from spikeloom.operators import amplitude, correlogram, curation, duplicates, features, labels, refractory, summary, trains, waveform
 from spikeloom.params import PhysiologyParams, QualityParams, spike_width_samples
 from spikeloom.plans import catalog, pipeline
 from spikeloom.sources import recording, sinks, sorter
@@ -277,16 +277,112 @@ def test_metadata():
 
 
 def test_sinks_round_trip(spark, tmp_path):
-    m = catalog.typed_units(spark, SF)
+    m = common_cut(catalog.typed_units(spark, SF), tmp_path)
     at = "file://" + str(tmp_path)
     sinks.save_results(m, catalog.RUN_PARAMS, at)
-    back = sinks.load_results(spark, at)
+    back, saved = sinks.load_results(spark, at)
     assert sorted(map(str, back.drop("empty_unit").collect())) == sorted(map(str, m.collect()))
-    assert sinks.load_tsv(spark, at).filter("metric = 'n_spikes'").agg(F.sum("value")).first()[0] == m.agg(F.sum("n_spikes")).first()[0]
+    assert saved["max_rpv"] == 0.5 and saved["rpv_method"] == "hill" and saved["use_raw"] is False and "tau_r" not in saved
+    assert (tmp_path / "cluster_n_spikes.tsv").read_text().splitlines()[0] == "cluster_id\tn_spikes" and (tmp_path / "cluster_bc_unitType.tsv").is_file() and (tmp_path / "metrics.csv").is_file()
+    assert sinks.load_tsv(spark, at, "n_spikes").agg(F.sum("n_spikes")).first()[0] == m.agg(F.sum("n_spikes")).first()[0]
     assert sinks.missing_metrics(m, ["n_spikes", "nope"]) == ["nope"]
     lab = spark.createDataFrame([(1, 0), (2, -1)], "unit_id long, manual_classification int")
     sinks.save_manual_labels(lab, at + "/manual")
     assert sorted(map(tuple, sinks.load_manual_labels(spark, at + "/manual").collect())) == [(1, 0), (2, -1)]
+    whole = sinks.all_templates(m, spark.createDataFrame([(0,), (10_000,)], "template_id long"))
+    assert {r.unit_id: r.empty_unit for r in whole.collect()} == {0: False, 10_000: True}
+    sinks.save_matlab(m, catalog.RUN_PARAMS, at + "/ml")
+    old = {r.unit_id: r for r in sinks.load_matlab(spark, at + "/ml").collect()}
+    for r in m.collect():
+        early = all(x is not None for x in (r.trough_to_peak2, r.peak_before_width, r.trough_width)) and r.trough_to_peak2 < 5 and r.peak_before_width < 4 and r.trough_width < 5
+        assert old[r.unit_id].n_spikes == r.n_spikes and old[r.unit_id].peak1_to_peak2 == (r.peak1_to_peak2 if early else 0)
+    with pytest.raises(ValueError, match="no metric files"):
+        sinks.load_matlab(spark, at + "/manual")
+    found = curation.compare(m, m.select("unit_id", F.lit(1).alias("manual_classification")))
+    assert found["compared"].count() == m.count() and "Overall concordance" in curation.report(found)
+    sinks.save_comparison(found["compared"].select("unit_id", "manual", "auto", "agree"), at + "/comparison.csv")
+    assert len((tmp_path / "comparison.csv").read_text().splitlines()) == m.count() + 1
+    text = summary.methods_text(catalog.RUN_PARAMS, m)
+    sinks.save_text(spark, text, at + "/methods.txt")
+    assert (tmp_path / "methods.txt").read_text() == text and f"{m.count()} units" in summary.unit_report(m, catalog.RUN_PARAMS)
+
+
+def common_cut(df, tmp_path):
+    df.write.parquet(f"file://{tmp_path}/typed")
+    return df.sparkSession.read.parquet(f"file://{tmp_path}/typed")
+
+
+def test_other_sinks(spark, tmp_path):
+    at = "file://" + str(tmp_path)
+    units = spark.createDataFrame([(1,), (2,)], "unit_id long")
+    waves = spark.createDataFrame([(1, 0, [1.0, 2.0])], "unit_id long, channel int, wf array<double>")
+    sinks.save_raw_waveforms(None, at)
+    waves.withColumnRenamed("unit_id", "unit").write.partitionBy("unit").parquet(at + "/raw_waveforms_by_unit")
+    for _ in range(2):  # the older layout, then the newer
+        assert {r.unit_id: r.wf for r in sinks.load_raw_waveforms(spark, at, units).collect()} == {1: [1.0, 2.0], 2: None}
+        sinks.save_raw_waveforms(waves, at)
+    sinks.save_properties(units, PhysiologyParams(), at)
+    props, params_ = sinks.load_properties(spark, at)
+    assert props.count() == 2 and params_["min_spikes"] == 100
+    spikes = spark.createDataFrame([(7,), (8,)], "spike_idx long")
+    sinks.save_duplicate_mask(spikes, spark.createDataFrame([(8,), (8,)], "spike_idx long"), at)
+    assert sorted(map(tuple, sinks.load_duplicate_mask(spark, at).collect())) == [(7, False), (8, True)]
+    sinks.save_display_tables({"a": units, "b": waves}, at)
+    assert sinks.load_display_tables(spark, at, ["a", "b"])["b"].count() == 1
+    sinks.save_tau_table(units, at)
+
+
+def test_streaming_late_spikes(spark, tmp_path):
+    """A spike behind a later one is sorted in within the bound, and dropped beyond it."""
+    from spikeloom.streaming import live
+
+    batches, schema = [[1000], [10], [940], [1100, 1005], [1102]], "unit_id long, t long"
+    for late, want in ((100, (5, 2, 1)), (0, (4, 2, 2))):  # within a batch spikes are sorted at any bound
+        src = f"{tmp_path}/in{late}"
+        for ts in batches:
+            spark.createDataFrame([(1, t) for t in ts], schema).coalesce(1).write.mode("append").parquet(src)
+            found = live.running_violations(spark.readStream.schema(schema).parquet(src), 5, late)
+            sink = found.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c{late}").trigger(availableNow=True)
+            sink.foreachBatch(lambda df, _, k=late: df.write.mode("overwrite").parquet(f"{tmp_path}/out{k}")).start().awaitTermination()
+        r = spark.read.parquet(f"{tmp_path}/out{late}").first()
+        assert (r.n_spikes, r.n_violations, r.n_dropped) == want
+
+
+def test_recording_gains_and_trims(spark, tmp_path):
+    meta = {"typeThis": "imec", "imDatPrb_type": "1110", "imAiRangeMax": "0.5", "imMaxInt": "512", "imroTbl": "(1110,2,0,500,250)(0 0 0)(1 0 0)", "acqApLfSy": "2,2,1", "nSavedChans": "5"}
+    assert recording.channel_gains(meta) == {0: (500.0, 250.0), 1: (500.0, 250.0)}
+    v = 0.5 / 512
+    assert np.allclose(recording.gain_corrected(np.ones((1, 5)), [0, 1, 2, 3, 4], meta), [[v / 500, v / 500, v / 250, v / 250, 1]])
+    ni = {"typeThis": "nidq", "niAiRangeMax": "5", "niMaxInt": "32768", "snsMnMaXaDw": "1,1,1,1", "niMNGain": "200", "niMAGain": "2"}
+    w = 5 / 32768
+    assert np.allclose(recording.gain_corrected(np.ones((1, 4)), [0, 1, 2, 3], ni), [[w / 200, w / 2, w, 1]])
+    assert np.allclose(recording.gain_corrected(np.ones((1, 1)), [0], {"typeThis": "obx", "obAiRangeMax": "5", "obMaxInt": "32768"}), [[w]])
+    assert recording.channels_of_file(2 * 385 * 10, 385) == 385 and recording.channels_of_file(2 * 384 * 7, 385, 384) == 384
+    with pytest.raises(ValueError, match="whole number"):
+        recording.channels_of_file(7, 385, 384)
+    x = np.arange(60, dtype=np.int16).reshape(30, 2)
+    parts = [recording.encode_chunk(x[a : a + 10]) for a in (0, 10, 20)]
+    path = tmp_path / "a.cbin"
+    path.write_bytes(b"".join(parts))
+    header = {"chunk_bounds": [0, 10, 20, 30], "chunk_offsets": np.cumsum([0, *map(len, parts)]).tolist()}
+    for where in (str(path), f"file://{path}"):
+        got = recording.decompressed(recording.chunk_table(spark, header), where, 2, [1], 5, 23).orderBy("first_sample").collect()
+        assert [r.first_sample for r in got] == [5, 10, 20] and [v for r in got for v in r.samples] == x[5:23, 1].tolist()
+    assert recording.decompress_to_file(header, str(path), str(tmp_path / "a.bin"), 2) == 30 and (recording.read_samples(str(tmp_path / "a.bin"), 2, 3, 4) == x[3:7]).all()
+    ch = spark.createDataFrame([(0, 9), (1, 4)], "channel int, hw_channel int")
+    v = spark.createDataFrame([(4, 1.0), (9, 2.0), (5, 3.0)], "channel int, v double")
+    assert sorted(map(tuple, recording.by_site(v, ch).collect())) == [(0, 2.0), (1, 1.0)]
+    assert sorted(map(tuple, recording.by_hardware(recording.by_site(v, ch), ch).collect())) == [(4, 1.0), (9, 2.0)]
+    four = recording.named_probe(spark, "np2_four_shank")
+    assert four.count() == 384 and four.select("x_um", "y_um").distinct().count() == 384 and recording.named_probe(spark, "np1").filter("channel = 2").first().x_um == 59.0
+
+
+def test_histograms_of_counts(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (3, 4.0), (None, 9.0)], "n_peaks int, duration_us double")
+    got = summary.metric_histograms(df, ["n_peaks", "duration_us"], own={"duration_us": 4}, whole=("n_peaks",)).collect()
+    assert sorted((r.left, r.n) for r in got if r.metric == "n_peaks") == [(1.0, 2), (2.0, 0), (3.0, 1)]
+    assert sorted((r.left, r.n) for r in got if r.metric == "duration_us") == [(1.0, 2), (3.0, 1), (5.0, 0), (7.0, 1)]
+    assert sorted(map(tuple, labels.distribution(df.selectExpr("cast(n_peaks as string) as l"), "l", ["1", "7"]).collect()), key=str) == sorted([("1", 2, 50.0), ("3", 1, 25.0), (None, 1, 25.0), ("7", 0, 0.0)], key=str)
 
 
 def test_streaming(spark, tmp_path):
@@ -305,4 +401,4 @@ def test_streaming(spark, tmp_path):
 
 def test_geometry_and_params(spark):
     assert recording.probe_layout(spark).count() == 384 and PhysiologyParams().min_spikes == 100
-    assert curation.MANUAL[-1] == "Unknown" and len(waveform.gaussian_kernel(1, 2)) == 5
+    assert curation.MANUAL[-1] == "Unknown"
