@@ -59,40 +59,45 @@ def cut_gaussians_missing(counts: np.ndarray, lefts: np.ndarray, width: np.ndarr
     """
     n, x = np.asarray(counts, float), np.asarray(lefts, float) + np.asarray(width, float)[:, None] / 2
     at = (x >= np.asarray(low, float)[:, None]).astype(float)
-    rows = np.arange(len(n))
+    rows, low = np.arange(len(n)), np.asarray(low, float)
     p = np.stack([np.percentile(n, 99, axis=1), x[rows, n.argmax(1)], np.asarray(sd, float)], 1)
 
-    def model(p):
+    def model(p, x, at):
         d = x - p[:, 1:2]
         return d, p[:, :1] * np.exp(-(d**2) / (2 * p[:, 2:] ** 2)) * at
 
     with np.errstate(all="ignore"):
-        d, f = model(p)
-        cost, lam, going = ((n - f) ** 2).sum(1), np.full(len(n), 1e-3), np.ones(len(n), bool)
+        d, f = model(p, x, at)
+        cost, lam, going = ((n - f) ** 2).sum(1), np.full(len(n), 1e-3), np.arange(len(n))
         for _ in range(GAUSSIAN_STEPS):
-            if not going.any():
+            if not len(going):
                 break
-            a, s = p[:, :1], p[:, 2:]
-            jac = np.stack([f / a, f * d / s**2, f * d**2 / s**3], 2)
-            m, g = np.einsum("rki,rkj->rij", jac, jac), np.einsum("rki,rk->ri", jac, n - f)
-            step = _solve3(m * (1 + lam[:, None, None] * np.eye(3)), g)
-            new = p + step
-            d2, f2 = model(new)
-            c = ((n - f2) ** 2).sum(1)
-            good = going & np.isfinite(step).all(1) & np.isfinite(c) & (c <= cost)
-            going &= ~(good & (cost - c <= GAUSSIAN_TOLERANCE * cost))
-            p, d, f = np.where(good[:, None], new, p), np.where(good[:, None], d2, d), np.where(good[:, None], f2, f)
-            cost, lam = np.where(good, c, cost), np.where(good, np.maximum(lam / 10, 1e-12), np.minimum(lam * 10, 1e12))
+            # d and f are kept for the rows that go on
+            q, a, s = p[going], p[going, :1], p[going, 2:]
+            jac = (f / a, f * d / s**2, f * d**2 / s**3)
+            rest = n[going] - f
+            dot = lambda u, v: np.einsum("rk,rk->r", u, v)
+            damp = 1 + lam[going]
+            m = [dot(jac[i], jac[j]) * (damp if i == j else 1) for i in range(3) for j in range(i, 3)]
+            step = _solve3(*m, *[dot(j, rest) for j in jac])
+            new = q + step
+            d2, f2 = model(new, x[going], at[going])
+            c = ((n[going] - f2) ** 2).sum(1)
+            good = np.isfinite(step).all(1) & np.isfinite(c) & (c <= cost[going])
+            done = good & (cost[going] - c <= GAUSSIAN_TOLERANCE * cost[going])
+            p[going] = np.where(good[:, None], new, q)
+            cost[going] = np.where(good, c, cost[going])
+            lam[going] = np.where(good, np.maximum(lam[going] / 10, 1e-12), np.minimum(lam[going] * 10, 1e12))
+            d, f = (np.where(good[:, None], u, v)[~done] for u, v in ((d2, d), (f2, f)))
+            going = going[~done]
         z = (p[:, 1] - low) / np.abs(p[:, 2])
     return np.array([100 * (1 - norm_cdf(v)) if math.isfinite(v) else math.nan for v in z.tolist()])
 
 
-def _solve3(m: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Solutions of symmetric systems of three by Cramer's rule; a singular one gives no finite numbers."""
-    a, b, c, d, e, f = m[:, 0, 0], m[:, 0, 1], m[:, 0, 2], m[:, 1, 1], m[:, 1, 2], m[:, 2, 2]
+def _solve3(a, b, c, d, e, f, x, y, z) -> np.ndarray:
+    """Solutions of symmetric systems ((a b c) (b d e) (c e f)) by Cramer's rule; a singular one gives no finite numbers."""
     ca, cb, cc, cd, ce, cf = d * f - e * e, c * e - b * f, b * e - c * d, a * f - c * c, b * c - a * e, a * d - b * b
     det = a * ca + b * cb + c * cc
-    x, y, z = g.T
     return np.stack([ca * x + cb * y + cc * z, cb * x + cd * y + ce * z, cc * x + ce * y + cf * z], 1) / det[:, None]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fits import cut_gaussians_missing
+from .ranks import spread
 
 BINS = 50
 
@@ -89,7 +90,7 @@ def missing_gaussian(spikes: DataFrame, *keys: str) -> DataFrame:
     x = counts_array(histogram(kept, *keys), *keys).join(ranges(kept, *keys).select(*by, "sd", "low"), by)
     n = F.aggregate("counts", F.lit(0).cast("long"), lambda s, v: s + v)
     rises = F.transform("counts", lambda v, i: v - F.coalesce(F.get("counts", i - 1), F.lit(0)))
-    x = x.select(*by, "counts", "lefts", "width", "sd", "low", n.alias("n"), (F.array_max("counts") == F.array_max(rises)).alias("is_cutoff"))
+    x = spread(x.select(*by, "counts", "lefts", "width", "sd", "low", n.alias("n"), (F.array_max("counts") == F.array_max(rises)).alias("is_cutoff")), *by)
 
     @F.pandas_udf("double")
     def fit(counts: pd.Series, lefts: pd.Series, width: pd.Series, sd: pd.Series, low: pd.Series) -> pd.Series:

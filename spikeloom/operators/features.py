@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import by_rank, cut_lineage
+
 
 def spike_depths(pcs: DataFrame, channels: DataFrame) -> DataFrame:
     """Depth of each spike: its channels' depths weighted by the squared positive first PC, plus 1e-3 below.
@@ -87,12 +89,16 @@ def distances(features: DataFrame, unit_channels: DataFrame, dims: int, per_chan
 
 
 def isolation(features: DataFrame, unit_channels: DataFrame, dims: int, per_channel: int | None = None) -> DataFrame:
-    """L-ratio and isolation distance: the (N+1)-th smallest distance of others, if there are more than N of them."""
-    d = distances(features, unit_channels, dims, per_channel)
-    # the order statistic from exact counts of distances: percentile over the group at rank N
-    g = d.groupBy("unit_id").agg(F.max("n").alias("n"), F.count("*").alias("n_other"), F.sum(chi2_tail(F.col("d2"), dims)).alias("l"), F.percentile("d2", F.lit(0.0)).alias("nearest"))
-    ranked = d.join(g.select("unit_id", "n_other"), "unit_id").filter("n_other > n").withColumn("rank", F.row_number().over(Window.partitionBy("unit_id").orderBy("d2"))).filter(F.col("rank") == F.col("n") + 1)
-    return g.join(ranked.select("unit_id", F.col("d2").alias("isolation_distance")), "unit_id", "left").select("unit_id", "n", "n_other", (F.col("l") / F.col("n")).alias("l_ratio"), "isolation_distance")
+    """L-ratio and isolation distance: the (N+1)-th smallest distance of others, if there are more than N of them.
+
+    The distances are written once. The order statistic is looked up by bins of the
+    distances' logarithms, so that no unit's distances meet in one task.
+    """
+    d = cut_lineage(distances(features, unit_channels, dims, per_channel))
+    g = d.groupBy("unit_id").agg(F.max("n").alias("n"), F.count("*").alias("n_other"), F.sum(chi2_tail(F.col("d2"), dims)).alias("l"))
+    own = g.select("unit_id", F.col("n").alias("own"))
+    ranked = by_rank(d.join(own, "unit_id"), ["unit_id", "own"], "d2", {"isolation_distance": lambda n: F.col("own")}, F.log1p)
+    return g.join(ranked.select("unit_id", "isolation_distance"), "unit_id", "left").select("unit_id", "n", "n_other", (F.col("l") / F.col("n")).alias("l_ratio"), "isolation_distance")
 
 
 def silhouette_ratio(features: DataFrame, unit_channels: DataFrame, dims: int, per_channel: int | None = None) -> DataFrame:

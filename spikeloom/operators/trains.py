@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import with_previous, with_rank
+
 
 def spike_counts(spikes: DataFrame) -> DataFrame:
     return spikes.groupBy("unit_id").agg(F.count("*").alias("n_spikes"), F.min("t").alias("t_first"), F.max("t").alias("t_last"))
@@ -16,15 +18,13 @@ def spike_counts(spikes: DataFrame) -> DataFrame:
 
 def intervals(spikes: DataFrame, *keys: str) -> DataFrame:
     """spikes with isi in ticks; the first of each unit (and key) has none."""
-    w = Window.partitionBy("unit_id", *keys).orderBy("t", "spike_idx")
-    return spikes.withColumn("isi", F.col("t") - F.lag("t").over(w))
+    return with_previous(spikes, *keys).withColumn("isi", F.col("t") - F.col("t1")).drop("t1", "t2")
 
 
 def interval_properties(spikes: DataFrame, long_isi: int) -> DataFrame:
     """Share of intervals over long_isi; CV, population skewness and CV2 (mean of 2|d|/(a+b))."""
-    w = Window.partitionBy("unit_id").orderBy("t", "spike_idx")
-    x = intervals(spikes).select("unit_id", "t", "spike_idx", F.col("isi").cast("double").alias("isi"))
-    x = x.withColumn("before", F.lag("isi").over(w)).filter("isi is not null")
+    x = with_previous(spikes.select("unit_id", "spike_idx", "t")).filter("t1 is not null")
+    x = x.select("unit_id", (F.col("t") - F.col("t1")).cast("double").alias("isi"), (F.col("t1") - F.col("t2")).cast("double").alias("before"))
     pair = F.col("isi") + F.col("before")
     return x.groupBy("unit_id").agg(
         F.count("*").alias("n_isi"), F.avg((F.col("isi") > long_isi).cast("double")).alias("prop_long"),
@@ -127,9 +127,7 @@ def within_window(spikes: DataFrame, windows: DataFrame) -> DataFrame:
 
 def sampled_spikes(spikes: DataFrame, k: int) -> DataFrame:
     """At most k spikes of each unit, evenly over their ranks: floor(i*(n-1)/(k-1)); a sampling operator."""
-    w = Window.partitionBy("unit_id")
-    x = spikes.withColumn("rank", F.row_number().over(w.orderBy("t", "spike_idx")) - 1).withColumn("n", F.count("*").over(w))
     # rank r is taken if some i has floor(i*(n-1)/(k-1)) = r: the least i that reaches r does
     taken = F.expr(f"((((rank * {k - 1} + n - 2) div greatest(n - 1, 1)) * (n - 1)) div {k - 1}) = rank")
     hit = F.when(F.col("n") <= k, True).otherwise(taken)
-    return x.filter(hit).drop("n")
+    return with_rank(spikes).filter(hit).drop("n")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fits import exponential_slope, shape
+from .ranks import spread
 
 
 def magnitudes(wf: Column) -> Column:
@@ -68,7 +69,7 @@ def waveform_shape(waves: DataFrame, fs: float, share: float = 0.2) -> DataFrame
         rows = [shape(w, fs, share) or {} for w in wf]
         return pd.DataFrame({c.split()[0]: [r.get(c.split()[0]) for r in rows] for c in SHAPE.split(", ")}).astype({"n_peaks": "Int32", "n_troughs": "Int32"})
 
-    x = waves.select("template_id", describe("wf").alias("s")).select("template_id", "s.*")
+    x = spread(waves.select("template_id", "wf"), "template_id").select("template_id", describe("wf").alias("s")).select("template_id", "s.*")
     return x.withColumns({c: F.when(F.isnan(c), None).otherwise(F.col(c)) for c in _NUMBERS})
 
 
@@ -104,7 +105,7 @@ def exponential_decay(points: DataFrame) -> DataFrame:
     def fit(distances: pd.Series, values: pd.Series) -> pd.Series:
         return pd.Series([exponential_slope(d, v) for d, v in zip(distances, values, strict=True)], dtype="float64")
 
-    x = points.select("template_id", fit(F.col("points.distance"), F.col("points.value")).alias("s"))
+    x = spread(points, "template_id").select("template_id", fit(F.col("points.distance"), F.col("points.value")).alias("s"))
     return x.select("template_id", F.when(~F.isnan("s"), F.col("s")).alias("spatial_decay"))
 
 

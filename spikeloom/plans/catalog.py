@@ -755,7 +755,7 @@ typed as materialized (select *, case unit_type when 0 then 'NOISE' when 1 then
 
 
 def typed_units(spark, d):
-    return pipeline.unit_quality(rel.dense_spikes(spark, d), rel.spike_templates(spark, d), rel.channels(spark), RUN_PARAMS, RUN, FS)
+    return pipeline.unit_quality(rel.dense_spikes(spark, d), pipeline.cut_lineage(rel.spike_templates(spark, d)), rel.channels(spark), RUN_PARAMS, RUN, FS)
 
 
 @query(f"""with {QUALITY} select unit_id, n_spikes, "start", "end", any_good, tau_r, n_peaks, n_troughs, {", ".join(f"round({c}, 3) as {c}" for c in _COLUMNS if c not in ("tau_r", "n_peaks", "n_troughs"))},

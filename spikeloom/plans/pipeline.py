@@ -9,23 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import amplitude, correlogram, duplicates, labels, refractory, summary, trains, waveform
+from ..operators.ranks import cut_lineage
 from ..params import PhysiologyParams, QualityParams, Ticks
 
 #: name -> fn(spikes, ticks) -> DataFrame(unit_id, ...): metrics added by users of the library.
 EXTRA_METRICS: dict[str, Callable[[DataFrame, float], DataFrame]] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir, so that its many readers don't compute it again; unset: df itself."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        return df
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint()
-
-
 def good_windows(spikes: DataFrame, p: QualityParams, k: Ticks) -> DataFrame:
     """(unit_id, start, end, any_good) of the longest run of chunks of the recording in which a unit is complete and clean.
 
@@ -35,7 +25,7 @@ def good_windows(spikes: DataFrame, p: QualityParams, k: Ticks) -> DataFrame:
     chunked = trains.in_chunks(spikes, k.chunk)
     big = trains.spike_counts(spikes).filter(F.col("n_spikes") >= p.small_unit_spikes).select("unit_id")
     chunked = chunked.join(big, "unit_id", "left_semi")
-    sweep = refractory.hill_sweep(chunked, list(k.taus), k.tau_c, k.tick, "chunk")
+    sweep = cut_lineage(refractory.hill_sweep(chunked, list(k.taus), k.tau_c, k.tick, "chunk"))
     at = sweep.join(refractory.window_tau_index(sweep), "unit_id").filter(F.col("tau_idx") == F.col("rpv_window_index"))
     per = at.select("unit_id", "chunk", "contamination").join(amplitude.missing_gaussian(chunked, "chunk"), ["unit_id", "chunk"], "left")
     runs = trains.good_runs(per, (F.col("missing_gaussian") < p.max_perc_missing) & (F.col("contamination") < p.max_rpv))

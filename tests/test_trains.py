@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from spikeloom import params
 from spikeloom.functions import fits
-from spikeloom.operators import amplitude, correlogram, curation, duplicates, features, labels, refractory, summary, trains, waveform
+from spikeloom.operators import amplitude, correlogram, curation, duplicates, features, labels, ranks, refractory, summary, trains, waveform
 from spikeloom.params import PhysiologyParams, QualityParams, spike_width_samples
 from spikeloom.plans import catalog, pipeline
 from spikeloom.sources import recording, sinks, sorter
@@ -74,6 +74,36 @@ def test_pairs_equal_brute_force(train):
     assert all(acg[u, -b] == n for (u, b), n in acg.items()) and not any(b == 0 for _, b in acg)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 10**6])
+def test_previous_spikes_and_ranks_over_buckets(spark, train, size):
+    """Whatever the size of a bucket, also with one spike a bucket, equal times and a second key."""
+    rows, df = train
+    extra = [(9, 9000 + i, t, 1.0) for i, t in enumerate([5, 5, 5, 4000, 4000])]
+    df = df.select("unit_id", "spike_idx", "t", "amplitude").unionByName(spark.createDataFrame(extra, "unit_id long, spike_idx long, t long, amplitude double"))
+    data = [tuple(r)[:3] for r in df.collect()]
+    got = {r.spike_idx: (r.t1, r.t2) for r in ranks.with_previous(df, bucket_spikes=size).collect()}
+    ranked = {r.spike_idx: (r["rank"], r.n) for r in ranks.with_rank(df, bucket_spikes=size).collect()}
+    parted = {r.spike_idx: r.t1 for r in ranks.with_previous(df.withColumn("k", F.col("spike_idx") % 2), "k", bucket_spikes=size).collect()}
+    for u in {r[0] for r in data}:
+        own = sorted((t, i) for v, i, t in data if v == u)
+        for k, (_, i) in enumerate(own):
+            assert got[i] == (own[k - 1][0] if k else None, own[k - 2][0] if k > 1 else None) and ranked[i] == (k, len(own))
+        for odd in (0, 1):
+            half = [(t, i) for t, i in own if i % 2 == odd]
+            assert all(parted[i] == (half[k - 1][0] if k else None) for k, (_, i) in enumerate(half))
+
+
+@pytest.mark.parametrize("bins", [1, 3, 1024])
+def test_exact_percentiles_by_bins(spark, bins):
+    rng = np.random.default_rng(7)
+    groups = {1: rng.normal(0, 1, 501), 2: np.array([3.0] * 40), 3: np.array([1.0, 2.0]), 4: np.concatenate([np.zeros(90), [1e9]]), 5: np.array([5.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [(1, None), (6, None)], "unit_id long, v double")
+    got = {r.unit_id: r for r in ranks.percentiles(df, ["unit_id"], "v", {"lo": 0.01, "mid": 0.5, "hi": 0.99}, bins).collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        assert got[g].n == len(vs) and np.allclose([got[g].lo, got[g].mid, got[g].hi], np.percentile(vs, [1, 50, 99]))
+
+
 def test_result_does_not_depend_on_partitions(train):
     _, df = train
     a = sorted(map(tuple, catalog.r6(trains.interval_properties(df, 50)).collect()))
