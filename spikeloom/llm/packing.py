@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import coalesced, map_arrow, stored
-from .tokenize import encoder
+from .tokenize import PART_BYTES, encoder
 
 CAPACITY = 2048
 
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int | None = None
     def run(batches):
         task, counts = TaskContext.get().partitionId(), {}
         rests: dict[int, list] = {}
-        for b in coalesced(batches):
+        for b in coalesced(batches, PART_BYTES):
             ids, ends = encoder(tokenizer, kind).encode(b.column(1), end_id)
             raw, begin = ids.tobytes(), 0
             rows, take = [], []

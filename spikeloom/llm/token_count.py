@@ -33,6 +33,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters of a segment that the automaton is run over at a time.
 STRIDE = 1 << 16
+#: Segments of each of the two cache generations of a Python worker.
+CACHE_SEGMENTS = 250_000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -72,7 +74,7 @@ class UnigramCounter:
         #: Whether no piece has a mark after another character; whether a line end is in no piece and joins no unknown run.
         self.cuttable = split or not any(SPACE in p.lstrip(SPACE) for p in vocab.pieces)
         self.lines = self.bytes and not any("\n" in p for p in vocab.pieces)
-        self.cache = WordCache()
+        self.cache = WordCache(CACHE_SEGMENTS)
 
     def path(self, segment: str) -> tuple[int, float]:
         """Pieces and score of the best path of one segment."""

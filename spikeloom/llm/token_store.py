@@ -22,12 +22,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, coalesced, cut_points, gear_hash, gear_values, map_arrow, partitions, remove_path, sort_buckets
-from .tokenize import encoder
+from .tokenize import PART_BYTES, encoder
 
 DIGEST = 16
 #: Ids a chunk has at least, usually and at most, and the bits that a cut needs clear.
@@ -64,7 +65,7 @@ def _rows(docs: DataFrame, path: str, kind: str, end_id: int | None, width: int,
     def run(batches):
         seen: set = set()
         key = TaskContext.get().partitionId() << 33
-        for b in coalesced(batches):
+        for b in coalesced(batches, PART_BYTES):
             ids, ends = encoder(path, kind).encode(b.column(1), end_id)
             if width == 2 and len(ids) and ids.max() >= 1 << 16:
                 raise ValueError("ids don't fit in two bytes")
@@ -105,17 +106,6 @@ def _rows(docs: DataFrame, path: str, kind: str, end_id: int | None, width: int,
     return map_arrow(docs.select(id_col, text_col), run, f"kind string, key long, id {id_type}, n long, digest binary, data binary")
 
 
-def _once(batches):
-    """Of rows sorted by digest, each chunk once; recipes pass."""
-    last = None
-    for b in batches:
-        d, is_chunk, keep = b.column(4).to_pylist(), [k == "chunk" for k in b.column(0).to_pylist()], []
-        for x, c in zip(d, is_chunk, strict=True):
-            keep.append(not c or x != last)
-            last = x if c else last
-        yield b.filter(pa.array(keep, pa.bool_()))
-
-
 def _blocks(recipes: DataFrame, n: int) -> DataFrame:
     """recipes with a block number that ascends with the id, for n tasks; a hot id has blocks of its own, dealt by key."""
     found = sort_buckets(recipes, "id", n, distinct=False)
@@ -139,8 +129,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: i
     spark = docs.sparkSession
     n = partitions(spark)
     rows = _rows(docs, tokenizer, kind, end_id, width, id_col, text_col)
-    dealt = rows.repartition(n, F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("key"))).sortWithinPartitions("kind", "digest")
-    dealt.mapInArrow(_once, dealt.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
+    # a chunk's rows meet under its digest, a recipe's under its key; the window's order serves the folders too
+    dealt = rows.withColumn("name", F.when(F.col("kind") == "chunk", F.col("digest")).otherwise(F.encode(F.col("key").cast("string"), "UTF-8"))).repartition(n, "name")
+    first_of = F.row_number().over(Window.partitionBy("kind", "name").orderBy("name"))
+    dealt.withColumn("nth", first_of).filter("nth = 1").drop("nth", "name").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
 
     # drafts: recipes without their place
     drafts = spark.read.schema(rows.drop("kind").schema).option("recursiveFileLookup", "true").parquet(_made(spark, f"{path}/chunks/kind=recipe"))
@@ -232,7 +224,7 @@ def _checked(spark: SparkSession, path: str, width: int) -> DataFrame:
     return map_arrow(chunks(spark, path).select("digest", "ids"), run, "digest binary, n int, crc long")
 
 
-_shifts: dict[int, list] = {}
+_shifts: dict[int, np.ndarray] = {}
 
 
 def _times(mat: list[int], vec: int) -> int:
@@ -245,7 +237,7 @@ def _times(mat: list[int], vec: int) -> int:
     return out
 
 
-def _shift_tables(n: int) -> list:
+def _shift_tables(n: int) -> np.ndarray:
     """Four byte tables of the linear map that appends n zero bytes to a CRC-32."""
     if n not in _shifts:
         mat = [0xEDB88320, *[1 << i for i in range(31)]]  # one zero bit
@@ -257,24 +249,30 @@ def _shift_tables(n: int) -> list:
                 out = [_times(mat, m) for m in out]
             mat = [_times(mat, m) for m in mat]
             k >>= 1
-        _shifts[n] = [[_times(out, b << (8 * j)) for b in range(256)] for j in range(4)]
+        _shifts[n] = np.array([[_times(out, b << (8 * j)) for b in range(256)] for j in range(4)], np.uint32)
     return _shifts[n]
 
 
-def crc_join(parts: list[tuple[int, int]]) -> int:
-    """CRC-32 of a concatenation from (crc, bytes) of its parts."""
-    crc = 0
-    for c, n in parts:
-        # the powers of two of the length, so that at most 32 tables are kept
-        k, bit = n, 1
-        while k:
-            if k & 1:
-                t = _shift_tables(bit)
-                crc = t[0][crc & 255] ^ t[1][crc >> 8 & 255] ^ t[2][crc >> 16 & 255] ^ t[3][crc >> 24]
-            k >>= 1
-            bit <<= 1
-        crc ^= c
-    return crc
+def crc_joins(crcs: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """CRC-32 of each concatenation, from the CRCs and bytes of its parts; counts: parts of each concatenation, one after the other.
+
+    Each part's CRC is moved past the bytes behind it, all parts at once, a power of two of bytes after another.
+    """
+    crcs, sizes = crcs.astype(np.uint32), sizes.astype(np.int64)
+    ends = np.cumsum(counts)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    behind = np.repeat(total[ends], counts) - total[1:]
+    bit = 1
+    while len(behind) and bit <= behind.max():
+        at = np.flatnonzero(behind & bit)
+        t, c = _shift_tables(bit), crcs[at]
+        crcs[at] = t[0][c & 255] ^ t[1][c >> 8 & 255] ^ t[2][c >> 16 & 255] ^ t[3][c >> 24]
+        bit <<= 1
+    out = np.zeros(len(counts), np.uint32)
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.bitwise_xor.reduceat(crcs, (ends - counts)[some])
+    return out
 
 
 def _places(found: DataFrame) -> DataFrame:
@@ -301,14 +299,20 @@ def read_store(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            crcs = []
-            for total, root, digests, sizes, sums in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True):
-                if digests == [b""]:
-                    digests, sizes, sums = [], [], []
-                if -1 in sizes or sum(sizes) != total or merkle(digests) != root:
-                    raise ValueError("a document can't be rebuilt from the store")
-                crcs.append(sums[0] if len(sums) == 1 else crc_join([(c, 4 * n) for c, n in zip(sums, sizes, strict=True)]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crcs, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+            counts = pc.list_value_length(b.column(4)).to_numpy().astype(np.int64)
+            digests = b.column(4).flatten().to_numpy(zero_copy_only=False).tolist()
+            sizes, crcs = b.column(5).flatten().to_numpy(), b.column(6).flatten().to_numpy()
+            hollow = np.array([d == b"" for d in digests], bool)  # the place of a recipe without chunks
+            sizes, crcs = np.where(hollow, 0, sizes), np.where(hollow, 0, crcs)
+            ends = np.cumsum(counts)
+            whole = np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends], prepend=0)
+            wrong = (sizes < 0).any() or (whole != b.column(2).to_numpy()).any()
+            for root, s, e in zip(b.column(3).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                wrong = wrong or merkle([] if digests[s] == b"" else digests[s:e]) != root
+            if wrong:
+                raise ValueError("a document can't be rebuilt from the store")
+            joined = crc_joins(crcs, 4 * sizes, counts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(joined)], ["id", "start", "n_tokens", "ids_crc32"])
 
     return map_arrow(rows, run, f"id {kind}, start long, n_tokens long, ids_crc32 long")
 

@@ -14,18 +14,19 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of each of the two cache generations of a Python worker, for cuts, and for closing marks.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 CACHE_TAILS = 50_000
 #: Longer cuts are encoded, but not kept.
 CACHE_CHARS = 40
 #: UTF-8 bytes of texts that are cut and gathered at a time.
-PART_BYTES = 1 << 20
+PART_BYTES = 8 << 20
 #: A longer text is taken in slices of about so many characters.
 LONG_CHARS = 1 << 21
 
@@ -70,15 +71,19 @@ class WordCache:
         out = list(map(young.get, words))
         none = [i for i, v in enumerate(out) if v is None]
         if old and none:
-            for i, v in zip(none, map(old.get, [words[i] for i in none]), strict=True):
+            again = list(map(old.get, [words[i] for i in none]))
+            for i, v in zip(none, again, strict=True):
                 if v is not None:
                     out[i] = young[words[i]] = v
-            none = [i for i in none if out[i] is None]
+            none = [i for i, v in zip(none, again, strict=True) if v is None]
         if none:
-            for i, v in zip(none, new(none), strict=True):
+            lost, found = [words[i] for i in none], new(none)
+            for i, v in zip(none, found, strict=True):
                 out[i] = v
-                if len(words[i]) <= CACHE_CHARS:
-                    young[words[i]] = v
+            if max(map(len, lost)) <= CACHE_CHARS:
+                young.update(zip(lost, found, strict=True))
+            else:
+                young.update([(w, v) for w, v in zip(lost, found, strict=True) if len(w) <= CACHE_CHARS])
         return out
 
 
@@ -209,14 +214,11 @@ class Encoder:
             texts = spelled(pc.ascii_ltrim(texts, characters="\n"))
             texts = pc.binary_join_element_wise(pc.if_else(line, "", "Ġ"), texts, "")
             first = line.to_numpy(zero_copy_only=False).tolist()
-        ids, stops, tokenize = [], [], self.model.tokenize
-        for t in _list(texts):
-            ids += [x.id for x in tokenize(t)]
-            stops.append(4 * len(ids))
-        raw, s, out = np.array(ids, "<u4").tobytes(), 0, []
-        for e in stops:
-            out.append(raw[s:e])
-            s = e
+        tokenize = self.model.tokenize
+        found = [[x.id for x in tokenize(t)] for t in _list(texts)]
+        stops = (4 * np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))).tolist()
+        raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        out = [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         return [self.newline + x if f else x for x, f in zip(out, first, strict=True)] if first else out
 
     def _others(self, words: list[str]) -> list[bytes]:

@@ -295,11 +295,13 @@ def test_store_shows_tampering(spark):
         token_store.write_store(df, common.fresh_path(spark, "t"), path, "byte", 70_000, width=2)
 
 
-def test_crc_join():
+def test_crc_joins():
     rng = random.Random(3)
-    for _ in range(50):
-        parts = [rng.randbytes(rng.randrange(0, 700)) for _ in range(rng.randrange(0, 6))]
-        assert token_store.crc_join([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+    parts = [[rng.randbytes(rng.randrange(0, 700)) for _ in range(rng.randrange(0, 6))] for _ in range(60)] + [[b"", b"x" * 100_000, b""]]
+    flat = [p for ps in parts for p in ps]
+    got = token_store.crc_joins(np.array([zlib.crc32(p) for p in flat]), np.array([len(p) for p in flat]), np.array([len(ps) for ps in parts]))
+    assert got.tolist() == [zlib.crc32(b"".join(ps)) for ps in parts]
+    assert token_store.crc_joins(np.zeros(0), np.zeros(0), np.zeros(0, np.int64)).tolist() == []
 
 
 def test_license_scan(spark, odd, empty):
