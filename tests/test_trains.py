@@ -432,3 +432,37 @@ def test_streaming(spark, tmp_path):
 def test_geometry_and_params(spark):
     assert recording.probe_layout(spark).count() == 384 and PhysiologyParams().min_spikes == 100
     assert curation.MANUAL[-1] == "Unknown"
+
+
+@pytest.fixture(scope="module")
+def crossed(spark):
+    """Spikes with ties, repeated indices and nulls, and the counts of all pairs of units by brute force."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5, 5, 5, 5, 5]), rng.randrange(150), rng.choice([None, *range(60), *range(60)])) for _ in range(200)]
+    return rows, spark.createDataFrame(rows, "unit_id long, spike_idx long, t long")
+
+
+SIZES = [{}, {"block_spikes": 20}, {"hot_spikes": 60}, {"hot_spikes": 10}]
+
+
+def shuffles_pairs(df):
+    """Whether anything is shuffled by pairs of units."""
+    return any("hashpartitioning" in line and "unit_" in line for line in df._jdf.queryExecution().toString().splitlines())
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_crosscorrelogram_blocks(crossed, sizes):
+    rows, df = crossed
+    one = {}
+    for (i, x, t), (j, y, u) in itertools.product(rows, rows):
+        if None not in (t, u) and (u > t or (u == t and y > x)) and (u - t) // 3 <= 5:
+            one[i, j, (u - t) // 3] = one.get((i, j, (u - t) // 3), 0) + 1
+    both = {}
+    for (i, j, lag), n in one.items():
+        for k in ((i, j, lag), (j, i, -lag)):
+            if lag or (i != j and None not in k):
+                both[k] = max(both.get(k, 0), n)
+    out = correlogram.crosscorrelogram(df, 3, 30, **sizes)
+    got = [((r.unit_i, r.unit_j, r.lag_bin), r.n) for r in out.collect()]
+    assert len(got) == len(both) and dict(got) == both
+    assert "hot_spikes" in sizes or not shuffles_pairs(out)
