@@ -466,3 +466,18 @@ def test_crosscorrelogram_blocks(crossed, sizes):
     got = [((r.unit_i, r.unit_j, r.lag_bin), r.n) for r in out.collect()]
     assert len(got) == len(both) and dict(got) == both
     assert "hot_spikes" in sizes or not shuffles_pairs(out)
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_rounded_crosscorrelogram_blocks(crossed, sizes):
+    rows, df = crossed
+    sums, size = {}, {}
+    for i, x, t in rows:
+        size[i] = size.get(i, 0) + 1
+        for j, y, u in rows:
+            if None not in (i, t, u) and x != y and abs(u - t) <= 22 and abs(lag := math.floor(0.5 + (u - t) / 4)) <= 5:
+                sums[i, j, lag] = sums.get((i, j, lag), 0) + 1
+    out = correlogram.rounded_crosscorrelogram(df, 4, 5, rate=True, tick=0.5, **sizes)
+    got = [((r.unit_i, r.unit_j, r.lag_bin), (r.n, r.rate)) for r in out.collect()]
+    assert len(got) == len(sums) and dict(got) == {k: (n, n / (size[k[0]] * 4 * 0.5)) for k, n in sums.items()}
+    assert "hot_spikes" in sizes or not shuffles_pairs(out)
