@@ -288,11 +288,19 @@ def features(dense_acg: DataFrame, half: int, bin_ms: float, supp: int, base: in
 
 
 def refractory_ms(dense_acg: DataFrame, bin_ms: float) -> DataFrame:
-    """First lag above the least count plus the (sample) deviation of the right half."""
+    """First lag above the least count plus the (sample) deviation of the right half.
+
+    Compared in whole numbers: (n - least)^2 m (m - 1) against m sum(n^2) - sum(n)^2 of m lags, so
+    that a count just at the limit is never above it, whatever the order of summation.
+    """
     right = dense_acg.filter("lag_bin >= 0")
     w = Window.partitionBy("unit_id")
-    x = right.withColumn("limit", F.min("n").over(w) + F.stddev_samp("n").over(w))
-    return x.groupBy("unit_id").agg((F.min(F.when(F.col("n") > F.col("limit"), F.col("lag_bin"))) * bin_ms).alias("refractory_ms"))
+    n, m = F.col("n").cast("decimal(19,0)"), F.count("*").over(w).cast("decimal(10,0)")
+    whole = lambda c: c.cast("decimal(38,0)")
+    spread_ = whole(m * whole(F.sum(n * n).over(w))) - whole(whole(F.sum(n).over(w)) * F.sum(n).over(w).cast("decimal(19,0)"))
+    over = whole(n - whole(F.min(n).over(w)))
+    x = right.withColumn("above", (F.col("n") > F.min("n").over(w)) & (m > 1) & (whole(whole(over * over) * (m * (m - 1)).cast("decimal(19,0)")) > spread_))
+    return x.groupBy("unit_id").agg((F.min(F.when(F.col("above"), F.col("lag_bin"))) * bin_ms).alias("refractory_ms"))
 
 
 def outer_rate(dense_acg: DataFrame, half: int) -> DataFrame:

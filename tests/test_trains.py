@@ -481,3 +481,18 @@ def test_rounded_crosscorrelogram_blocks(crossed, sizes):
     got = [((r.unit_i, r.unit_j, r.lag_bin), (r.n, r.rate)) for r in out.collect()]
     assert len(got) == len(sums) and dict(got) == {k: (n, n / (size[k[0]] * 4 * 0.5)) for k, n in sums.items()}
     assert "hot_spikes" in sizes or not shuffles_pairs(out)
+
+
+def test_refractory_ties(spark):
+    # deviations that are whole numbers: a count at the limit isn't above it, in any order of the lags
+    shapes = [[0, 7, 7, 5, 3, 8, 8, 11, 3, 7, 7, 10, 7, 12, 11, 6, 10, 10, 4, 7, 4, 6, 6, 10, 11], [0, 7, 5, 2, 5, 3, 6, 3, 7, 8, 4, 4, 13, 8, 6, 3, 2, 6, 2, 7, 11, 8, 9, 6, 5], [0, 2, 2, 6, 6, 3, 4, 3, 3, 4, 4, 9, 3, 6, 4, 1, 4, 1, 5, 2, 2, 4, 4, 2, 6]]
+    rng, trains_ = random.Random(5), []
+    for s in shapes:
+        trains_ += [s] + [rng.sample(s, len(s)) for _ in range(60)]
+    trains_ += [[5, 5, 5], [3], [0, 3_000_000_000, 0]]
+    rows = [(u, lag, n) for u, s in enumerate(trains_) for lag, n in enumerate(s)]
+    got = {r.unit_id: r.refractory_ms for r in correlogram.refractory_ms(spark.createDataFrame(rows, "unit_id long, lag_bin int, n long").repartition(3), 1.0).collect()}
+    for u, s in enumerate(trains_):
+        m, least = len(s), min(s)
+        above = [lag for lag, n in enumerate(s) if (n - least) ** 2 * m * (m - 1) > m * sum(v * v for v in s) - sum(s) ** 2]
+        assert got[u] == (above[0] if above and m > 1 else None), (u, s)
