@@ -4,11 +4,13 @@ Texts resemble each other if the Jaccard similarity of their sets of five-word s
 `least` or more, 0.8 unless a higher one is asked for; groups are the components of all such pairs. Candidates are texts that agree in
 one of 32 bands of four min-hashes: of a pair at 0.8, (1 - 0.8**4)**32 = 5e-8 is missed, of
 a closer one less. Each candidate is held against the whole sets, so no other pair is linked.
-Texts with equal sets are one entry of the tables.
+Texts with equal sets are one entry of the tables. `simhash.keep_one` brings its classes of
+near fingerprints as candidates of their own; the bands add the pairs that lie beyond its radius.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -160,12 +162,17 @@ def _blocks(least: float):
     return run
 
 
-def _sketches(batches):
-    for b in batches:
-        sets = [shingles(t) for t in bytes_of(b.column(1))]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-            ["row", "digest", "n", "bands"])
+def _sketches(fingerprint: Callable[[bytes], int] | None):
+    def run(batches):
+        for b in batches:
+            texts = bytes_of(b.column(1))
+            sets = [shingles(t) for t in texts]
+            prints = np.array([fingerprint(t) if fingerprint else 0 for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(prints, pa.int64())],
+                ["row", "digest", "n", "bands", "fingerprint"])
+
+    return run
 
 
 def _sets(batches):
@@ -173,13 +180,16 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in bytes_of(b.column(1))], pa.binary())], ["entry", "shingles"])
 
 
-def links(texts: DataFrame, entries: DataFrame, paired: int = PAIRED, least: float = LEAST) -> DataFrame:
+def links(texts: DataFrame, entries: DataFrame, paired: int = PAIRED, least: float = LEAST, classes: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between entries whose components are those of all pairs that resemble each other.
 
-    texts: (row, text); entries: (entry, n, bands), one for each distinct set, named by a row.
+    texts: (row, text); entries: (entry, n, bands, fingerprint), one for each distinct set, named by
+    a row; classes: (fingerprint, root) of near fingerprints, whose entries are candidates like those of a band.
     """
     n = partitions(texts.sparkSession)
     rows = entries.select("entry", "n", F.posexplode("bands").alias("t", "k")).select("t", "k", "entry", "n")
+    if classes is not None:
+        rows = rows.unionByName(entries.filter("n > 0").join(classes, "fingerprint").select(F.lit(BANDS).alias("t"), F.col("root").alias("k"), "entry", "n"))
     found = stored(map_arrow(rows.repartition(n, "t", "k").sortWithinPartitions("t", "k", "entry"), _candidates(paired, least), "a long, b long, block string"), "candidates", "lz4")
     pairs, blocks = found.filter("block is null").select("a", "b").distinct(), found.filter("block is not null").select("block", "a")
     named = found.select(F.explode(F.array("a", "b")).alias("entry")).filter("entry is not null").distinct()
@@ -192,9 +202,12 @@ def links(texts: DataFrame, entries: DataFrame, paired: int = PAIRED, least: flo
     return stored(edges, "links", "lz4")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, paired: int = PAIRED) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, paired: int = PAIRED, fingerprint: Callable[[bytes], int] | None = None, classes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs with exactly one row of each group: that of the smallest id, null ids last.
 
+    fingerprint: an unsigned 64-bit number of a text; classes: (fingerprint, root) of a table of
+    distinct fingerprints (as signed), whose classes are candidates; without both, the bands' only.
+
     All columns pass. Of rows with one id, the one with the least digest of its shingles
     stays, and of those the first. Texts without words, also null ones, are one group.
     """
@@ -202,9 +215,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         raise ValueError(f"the bands find similarities from {LEAST} on")
     numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
     texts = numbered.select("row", F.col(f"doc.{text_col}").alias("text"), F.col(f"doc.{id_col}").alias("id"))
-    seen = stored(map_arrow(texts.select("row", "text"), _sketches, "row long, digest binary, n int, bands array<long>"), "sketches", "lz4")
-    entries = stored(seen.groupBy("digest").agg(F.min_by(F.struct("row", "n", "bands"), "row").alias("x")).select("digest", F.col("x.row").alias("entry"), "x.n", "x.bands"), "entries", "lz4")
-    roots = components(links(texts, entries, paired, least))
+    seen = stored(map_arrow(texts.select("row", "text"), _sketches(fingerprint), "row long, digest binary, n int, bands array<long>, fingerprint long"), "sketches", "lz4")
+    entries = stored(seen.groupBy("digest").agg(F.min_by(F.struct("row", "n", "bands", "fingerprint"), "row").alias("x")).select("digest", F.col("x.row").alias("entry"), "x.n", "x.bands", "x.fingerprint"), "entries", "lz4")
+    near = classes(stored(entries.select("fingerprint").distinct(), "prints", "lz4")) if fingerprint and classes else None
+    roots = components(links(texts, entries, paired, least, near))
     at = entries.select("digest", "entry").join(roots, F.col("entry") == F.col("node"), "left").select("digest", F.coalesce("root", "entry").alias("root"))
     # summed up by digest first, so that copies don't meet in one task
     best = seen.select("row", "digest").join(numbered.select("row", F.col(f"doc.{id_col}").alias("id")), "row").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "row")).alias("x"))

@@ -174,16 +174,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(known, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
+def classes(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(fingerprint, root): the least fingerprint that each of the distinct fingerprints can reach within `radius` bits a step."""
+    roots = components(links(prints, radius, bucket_rows))
+    return stored(prints.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root")), "classes", "lz4")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """docs with exactly one row of each component: that of its smallest id, null ids last.
 
     All columns pass. Of rows with one id, the one with the least text stays, and of those the first.
     `similarity` (0.8 at least) asks for all pairs of five-word shingle sets of that Jaccard
-    similarity, of which fingerprints within the radius hold few: they are found and verified
-    by `resemblance` instead. Null, empty and wordless texts are one group; an empty table gives none.
+    similarity: fingerprints of such shingles, their masks, buckets and components give classes,
+    whose members `resemblance` holds against each other's whole sets; as the radius holds few
+    pairs at 0.8, it adds candidates beyond it by bands. Null, empty and wordless texts are one
+    group; an empty table gives none.
     """
     if similarity is not None:
-        return resemblance.keep_one(docs, id_col, text_col, similarity)
+        return resemblance.keep_one(docs, id_col, text_col, similarity, fingerprint=lambda t: fingerprint(t, resemblance.SHINGLE), classes=lambda prints: classes(prints, radius))
     numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
     rows = numbered.select("row", F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{text_col}").alias("text"))
     found = near_duplicates(rows.select("row", "text"), "row", "text", radius).select("row", "component_id")

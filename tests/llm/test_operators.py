@@ -769,3 +769,32 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
             assert ids.count(5) <= 1 and ids.count(10) + ids.count(11) == 1 and sum(i in (1, 2, 3) for i in ids) == 1 and len({r.doc_id for r in packed if (r.doc_id or 0) >= 100}) == 60
         else:
             assert not packed
+
+
+def test_near_dedup_goes_by_simhash(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = {0: base, 1: [*base[:700], "changed", *base[701:]], 2: [f"v{rng.randrange(10**6)}" for _ in range(300)]}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    seen, real = [], simhash.classes
+
+    def spy(prints, *args):
+        found = real(prints, *args)
+        seen.append({r.fingerprint: r.root for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(simhash, "classes", spy)
+    assert {r.doc_id for r in cp.near_dedup_stage(spark, df, SF).collect()} == {0, 2}
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    prints = {k: simhash.fingerprint(" ".join(v).encode(), 5) for k, v in texts.items()}
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS
+    assert len(seen) == 1 and set(seen[0]) == {signed(f) for f in prints.values()}
+    assert seen[0][signed(prints[0])] == seen[0][signed(prints[1])] != seen[0][signed(prints[2])]
+    # without any band the classes give the candidates, and the whole sets decide
+    sizes = {k: len(resemblance.shingles(" ".join(v).encode())) for k, v in texts.items()}
+    entries = spark.createDataFrame([(k, sizes[k], [], k) for k in texts], "entry long, n int, bands array<long>, fingerprint long")
+    one = spark.createDataFrame([(k, 0) for k in texts], "fingerprint long, root long")
+    for paired in (1, 16):
+        assert {(min(r), max(r)) for r in resemblance.links(df.withColumnRenamed("doc_id", "row"), entries, paired, classes=one).collect()} == {(0, 1)}
