@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fits import cut_gaussians_missing
+from ..functions.fits import SQUARE_BITS, cut_gaussians_missing, deviation
 from .ranks import spread
 
 BINS = 50
@@ -26,12 +26,29 @@ def drop_outliers(spikes: DataFrame, *keys: str) -> DataFrame:
 
 
 def ranges(spikes: DataFrame, *keys: str, bins: int = BINS) -> DataFrame:
-    """Least and largest amplitude, width of a bin, deviation and 1st percentile of each unit (and key) with a range, in one pass."""
+    """Least and largest amplitude, width of a bin, mean and 1st percentile of each unit (and key) with a range, in one pass."""
     by = ["unit_id", *keys]
-    r = spikes.groupBy(*by).agg(F.min("amplitude").alias("lo"), F.max("amplitude").alias("hi"), F.stddev_pop("amplitude").alias("sd"), F.percentile("amplitude", F.lit(0.01)).alias("low"))
+    r = spikes.groupBy(*by).agg(F.min("amplitude").alias("lo"), F.max("amplitude").alias("hi"), F.avg("amplitude").alias("mean"), F.percentile("amplitude", F.lit(0.01)).alias("low"))
     return r.filter("hi > lo").withColumn("width", (F.col("hi") - F.col("lo")) / bins)
 
 
+def squares(spikes: DataFrame, *keys: str) -> DataFrame:
+    """(unit_id, keys, parts, offset, scale, low): what `fits.deviation` takes the deviation of each unit (and key) with a range from.
+
+    Squares of distances from a centre near the mean, over a power of two, are cut into whole
+    numbers, whose sums are exact: the deviation is the same in any order and rounded once.
+    """
+    by, one = ["unit_id", *keys], 2.0**SQUARE_BITS
+    r = ranges(spikes, *keys).withColumn("scale", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("hi") - F.col("lo")))))
+    r = r.select(*by, "low", "scale", (F.col("lo") + F.floor((F.col("mean") - F.col("lo")) / F.col("scale") * 2.0**20) / 2.0**20 * F.col("scale")).alias("centre"))
+    y = (F.col("amplitude") - F.col("centre")) / F.col("scale")
+    x = spikes.join(r, by).select(*by, "low", "scale", y.alias("y")).withColumn("rest", F.col("y") * F.col("y") * one)
+    for i in range(3):
+        x = x.withColumn(f"part{i}", F.floor("rest")).withColumn("rest", (F.col("rest") - F.col(f"part{i}")) * one)
+    g = x.groupBy(*by).agg(*[F.sum(f"part{i}").alias(f"part{i}") for i in range(3)], F.sum("y").alias("offset"), F.first("scale").alias("scale"), F.first("low").alias("low"))
+    return g.select(*by, F.array("part0", "part1", "part2").alias("parts"), "offset", "scale", "low")
+
+
 def histogram(spikes: DataFrame, *keys: str, bins: int = BINS) -> DataFrame:
     """(unit_id, keys, bin, left, width, n) of equi-width bins over each unit's range, zero-filled, the last one closed."""
     by = ["unit_id", *keys]
@@ -82,23 +99,25 @@ def peak_cutoff(hist: DataFrame) -> DataFrame:
 def missing_gaussian(spikes: DataFrame, *keys: str) -> DataFrame:
     """Percent missing by a cut Gaussian fitted to each unit's (and key's) 50 counts; a cut-off histogram gives 100, few spikes null.
 
-    The fit sees the counts and four numbers of each unit, never its spikes, and takes all
+    The fit sees the counts and a few numbers of each unit, never its spikes, and takes all
     units of an Arrow batch at once.
     """
     by = ["unit_id", *keys]
     kept = drop_outliers(spikes, *keys)
-    x = counts_array(histogram(kept, *keys), *keys).join(ranges(kept, *keys).select(*by, "sd", "low"), by)
+    x = counts_array(histogram(kept, *keys), *keys).join(squares(kept, *keys), by)
     n = F.aggregate("counts", F.lit(0).cast("long"), lambda s, v: s + v)
     rises = F.transform("counts", lambda v, i: v - F.coalesce(F.get("counts", i - 1), F.lit(0)))
-    x = spread(x.select(*by, "counts", "lefts", "width", "sd", "low", n.alias("n"), (F.array_max("counts") == F.array_max(rises)).alias("is_cutoff")), *by)
+    x = spread(x.select(*by, "counts", "lefts", "width", "parts", "offset", "scale", "low", n.alias("n"), (F.array_max("counts") == F.array_max(rises)).alias("is_cutoff")), *by)
 
     @F.pandas_udf("double")
-    def fit(counts: pd.Series, lefts: pd.Series, width: pd.Series, sd: pd.Series, low: pd.Series) -> pd.Series:
+    def fit(counts: pd.Series, lefts: pd.Series, width: pd.Series, parts: pd.Series, offset: pd.Series, scale: pd.Series, low: pd.Series) -> pd.Series:
         if not len(counts):
             return pd.Series([], dtype="float64")
-        return pd.Series(cut_gaussians_missing(np.stack(counts), np.stack(lefts), width.to_numpy(), sd.to_numpy(), low.to_numpy()))
+        counts = np.stack(counts)
+        sd = deviation(list(np.stack(parts).T), offset.to_numpy(), counts.sum(1), scale.to_numpy())
+        return pd.Series(cut_gaussians_missing(counts, np.stack(lefts), width.to_numpy(), sd, low.to_numpy()))
 
-    percent = fit("counts", "lefts", "width", "sd", "low")
+    percent = fit("counts", "lefts", "width", "parts", "offset", "scale", "low")
     return x.select(*by, "n", F.when(F.col("n") > 5, F.when(F.col("is_cutoff"), 100.0).otherwise(F.nanvl(percent, F.lit(None).cast("double")))).alias("missing_gaussian"))
 
 

@@ -4,6 +4,8 @@ import itertools
 import json
 import math
 import random
+from decimal import Decimal
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -496,3 +498,36 @@ def test_refractory_ties(spark):
         m, least = len(s), min(s)
         above = [lag for lag, n in enumerate(s) if (n - least) ** 2 * m * (m - 1) > m * sum(v * v for v in s) - sum(s) ** 2]
         assert got[u] == (above[0] if above and m > 1 else None), (u, s)
+
+
+def few_spikes():
+    """Trains of 8 to 40 spikes, of whose fits some run off along a valley."""
+    rng = np.random.default_rng(7)
+    return [(u, i, i, round(float(a), 2)) for u in range(300) for i, a in enumerate(rng.uniform(900, 105000, rng.integers(8, 40)))]
+
+
+def test_gaussian_fit_is_sqls_to_the_last_digit():
+    con = duckdb.connect()
+    con.execute("create table spikes (unit_id bigint, spike_idx bigint, t bigint, amplitude double)")
+    con.executemany("insert into spikes values (?, ?, ?, ?)", few_spikes())
+    head = f"with recursive {catalog.hist_sql('spikes')}, {catalog.gaussian_sql('hist', 'kept')}"
+    rows = con.execute(f"""{head} select list(h.n order by bin), list(left_ order by bin), any_value(width), any_value(gst.sd), any_value(gst.low), any_value(missing_gaussian)
+from hist h join gst using (unit_id) join gin using (unit_id) join gauss using (unit_id) where not cutoff and missing_gaussian is not null group by unit_id""").fetchall()
+    got = fits.cut_gaussians_missing(*[np.array(c, float) for c in list(zip(*rows, strict=True))[:5]])
+    assert len(rows) > 30 and all(abs(a - r[5]) < 1e-9 for a, r in zip(got, rows, strict=True))
+
+
+def test_deviation_is_exact_in_any_order(spark):
+    rows = few_spikes()
+    found = []
+    for parts, order in ((1, rows), (7, rows[::-1])):
+        df = spark.createDataFrame(order, "unit_id long, spike_idx long, t long, amplitude double").repartition(parts)
+        x = amplitude.squares(df).toPandas().sort_values("unit_id")
+        sizes = np.array([sum(r[0] == u for r in rows) for u in x.unit_id])
+        found.append(fits.deviation(list(np.stack(x.parts).T), x.offset.to_numpy(), sizes, x.scale.to_numpy()))
+    assert (found[0] == found[1]).all()
+    for u, sd in enumerate(found[0]):
+        v = [Fraction(r[3]) for r in rows if r[0] == u]
+        mean = sum(v) / len(v)
+        var = sum((a - mean) ** 2 for a in v) / len(v)
+        assert abs(sd - float((Decimal(var.numerator) / Decimal(var.denominator)).sqrt())) <= math.ulp(sd)
