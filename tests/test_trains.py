@@ -531,3 +531,9 @@ def test_deviation_is_exact_in_any_order(spark):
         mean = sum(v) / len(v)
         var = sum((a - mean) ** 2 for a in v) / len(v)
         assert abs(sd - float((Decimal(var.numerator) / Decimal(var.denominator)).sqrt())) <= math.ulp(sd)
+
+
+def test_spike_templates_are_sqls_to_the_last_digit(spark, con):
+    want = {(a, b): w for a, b, w in con.execute(f"with {catalog.SPIKE_TEMPLATES} select template_id, channel, wf from tpl").fetchall()}
+    got = {(r.template_id, r.channel): list(r.wf) for r in catalog.rel.spike_templates(spark, SF).collect()}
+    assert got == want
