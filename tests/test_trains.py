@@ -517,6 +517,11 @@ from hist h join gst using (unit_id) join gin using (unit_id) join gauss using (
     assert len(rows) > 30 and all(abs(a - r[5]) < 1e-9 for a, r in zip(got, rows, strict=True))
 
 
+def test_gaussian_fit_beyond_the_range_of_squares_is_none():
+    n = np.histogram(np.random.default_rng(2).normal(0, 1, 100), 50)[0]
+    assert all(math.isnan(fits.cut_gaussian_missing(n, np.arange(50) * k, k, 10 * k, 2 * k)) for k in (1e200, 1e-300))
+
+
 def test_deviation_is_exact_in_any_order(spark):
     rows = few_spikes()
     found = []
