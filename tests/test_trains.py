@@ -485,6 +485,37 @@ def test_rounded_crosscorrelogram_blocks(crossed, sizes):
     assert "hot_spikes" in sizes or not shuffles_pairs(out)
 
 
+def test_crosscorrelogram_blocks_are_shuffled_once(spark, crossed):
+    """Blocks meet in a Cartesian product, so that spikes aren't copied for each block, and rows come in runs of n, unit_i, lag."""
+    _, df = crossed
+    df = df.filter("unit_id is not null")
+    for out in (correlogram.crosscorrelogram(df, 3, 30, block_spikes=20), correlogram.rounded_crosscorrelogram(df, 4, 5, rate=True, block_spikes=20)):
+        plan = out._jdf.queryExecution().toString()
+        assert "CartesianProduct" in plan and "explode" not in plan
+        parts = {}
+        for r in out.withColumn("part", F.spark_partition_id()).collect():
+            parts.setdefault(r.part, []).append(r)
+        assert len(parts) > 4
+        for rows in parts.values():  # few enough to be counted at once; counts from 255 on are not told apart
+            for key in (lambda r: min(r.n, 255), lambda r: (min(r.n, 255), r.unit_i, r.lag_bin)):
+                assert sum(key(a) != key(b) for a, b in itertools.pairwise(rows)) == len(set(map(key, rows))) - 1
+
+
+def test_crosscorrelogram_of_no_spikes_and_one(spark):
+    for rows in ([], [(1, 1, 5)], [(None, None, None)]):
+        df = spark.createDataFrame(rows, "unit_id long, spike_idx long, t long")
+        assert correlogram.crosscorrelogram(df, 3, 30).collect() == correlogram.rounded_crosscorrelogram(df, 4, 5, rate=True).collect() == []
+
+
+def test_quick_rounding_is_sparks(spark):
+    rng = random.Random(4)
+    x = [None, 0.0, -0.0, -1e-9, 5e-7, -5e-7, 1.5e-6, 2.5e-6, 0.0000125, 1.0000005, 999.9999995, 1e3, 1e9 + 0.1234565, 1e17, float("nan"), float("inf"), -float("inf")]
+    x += [rng.randrange(1, 60) / (rng.randrange(1, 5000) * 60) for _ in range(3000)] + [k / 2e6 for k in range(-500, 500)] + [math.nextafter(k / 2e6, 9) for k in range(500)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    got = df.select((F.round("x", 6) + F.lit(0.0)).alias("a"), catalog.quick_r6(F.col("x")).alias("b")).filter("not (a <=> b)").collect()
+    assert got == []
+
+
 def test_refractory_ties(spark):
     # deviations that are whole numbers: a count at the limit isn't above it, in any order of the lags
     shapes = [[0, 7, 7, 5, 3, 8, 8, 11, 3, 7, 7, 10, 7, 12, 11, 6, 10, 10, 4, 7, 4, 6, 6, 10, 11], [0, 7, 5, 2, 5, 3, 6, 3, 7, 8, 4, 4, 13, 8, 6, 3, 2, 6, 2, 7, 11, 8, 9, 6, 5], [0, 2, 2, 6, 6, 3, 4, 3, 3, 4, 4, 9, 3, 6, 4, 1, 4, 1, 5, 2, 2, 4, 4, 2, 6]]
