@@ -51,41 +51,26 @@ def crosscorrelogram(spikes: DataFrame, bin_ticks: int, window: int, block_spike
     """Sparse (unit_i, unit_j, lag_bin, n) of all pairs of units and both directions; at lag 0 the larger count, 0 within a unit."""
     half = half_bins(window, bin_ticks)
     reach = (half + 1) * bin_ticks - 1
-
-    def place(delta, later):
-        lag = np.abs(delta) // bin_ticks
-        # lags of spikes of unit_j after the one of unit_i from half + 1 on, of those before it from half down
-        return np.where((delta > 0) | ((delta == 0) & (later > 0)), half + 1 + lag, half - lag), (lag <= half) & ((delta != 0) | (later != 0))
-
-    def finish(i, j, at, n):
-        # of a pair's two places of lag 0 one goes, the larger count stays
-        keys = i * (1 + j.max(initial=0)) + j
-        one, two = np.flatnonzero(at == half), np.flatnonzero(at == half + 1)
-        _, p, q = np.intersect1d(keys[one], keys[two], assume_unique=True, return_indices=True)
-        n[one[p]] = np.maximum(n[one[p]], n[two[q]])
-        keep = np.ones(len(n), bool)
-        keep[two[q]] = False
-        return i[keep], j[keep], np.where(at > half, at - half - 1, at - half)[keep], n[keep]
+    # spikes of unit_j before the one of unit_i have places from half down, those after it from half + 1 on
+    sides = [(-reach, 0, 1, half * bin_ticks + bin_ticks - 1, bin_ticks), (0, reach, 1, (half + 1) * bin_ticks, bin_ticks)]
 
     def by_pairs(pairs):
         one = pairs.groupBy(F.col("unit_a").alias("unit_i"), F.col("unit_b").alias("unit_j"), F.expr(f"cast(delta div {bin_ticks} as int)").alias("lag_bin")).agg(F.count("*").alias("n")).filter(f"lag_bin <= {half}")
         other = one.select(F.col("unit_j").alias("unit_i"), F.col("unit_i").alias("unit_j"), (-F.col("lag_bin")).alias("lag_bin"), "n")
         return one.unionByName(other).groupBy("unit_i", "unit_j", "lag_bin").agg(F.max("n").alias("n"))
 
-    out = _crossed(spikes, reach, 2 * half + 2, place, finish, by_pairs, block_spikes, hot_spikes).drop("n_i")
+    out = _crossed(spikes, reach, half, sides, by_pairs, lambda x: x.drop("n_i"), block_spikes, hot_spikes)
     return out.filter("not (unit_i = unit_j and lag_bin = 0)")
 
 
-def rounded_crosscorrelogram(spikes: DataFrame, bin_ticks: int, half: int, rate: bool = False, tick: float = 1.0, block_spikes: int = BLOCK_SPIKES, hot_spikes: int = HOT_SPIKES) -> DataFrame:
-    """The variant with bins centred on their lag: floor(0.5 + d/bin); rate divides by spikes of unit_i and seconds a bin, and leaves a null unit_i out."""
-    reach = half * bin_ticks + bin_ticks // 2
-
-    def place(delta, later):
-        lag = np.floor(0.5 + delta / bin_ticks).astype(np.int64)
-        return lag + half, (np.abs(lag) <= half) & (later != 0)
+def rounded_crosscorrelogram(spikes: DataFrame, bin_ticks: int, half: int, rate: bool = False, tick: float = 1.0, block_spikes: int = BLOCK_SPIKES, hot_spikes: int = HOT_SPIKES, rounded=lambda rate: rate) -> DataFrame:
+    """The variant with bins centred on their lag: floor(0.5 + d/bin); rate divides by spikes of unit_i and seconds a bin, and leaves a null unit_i out.
 
-    def finish(i, j, at, n):
-        return i, j, at - half, n
+    rounded(rate) stands for the rate and is taken once a run of equal rows, not once a row.
+    """
+    reach = half * bin_ticks + bin_ticks // 2
+    wide = bin_ticks * (2 * half + 1)
+    sides = [(-(wide // 2), (wide - 1) // 2, 2, wide, 2 * bin_ticks)]
 
     def by_pairs(pairs):
         pairs = pairs.filter("idx_a != idx_b")
@@ -94,24 +79,29 @@ def rounded_crosscorrelogram(spikes: DataFrame, bin_ticks: int, half: int, rate:
             pairs.select(F.col("unit_b").alias("unit_i"), F.col("unit_a").alias("unit_j"), lag(-F.col("delta")).alias("lag_bin")))
         return both.filter(F.abs("lag_bin") <= half).groupBy("unit_i", "unit_j", "lag_bin").agg(F.count("*").alias("n"))
 
-    out = _crossed(spikes, reach, 2 * half + 1, place, finish, by_pairs, block_spikes, hot_spikes)
-    if not rate:
-        return out.drop("n_i")
-    return out.filter("unit_i is not null").withColumn("rate", F.col("n") / (F.col("n_i") * bin_ticks * tick)).drop("n_i")
+    def rates(x):
+        if not rate:
+            return x.drop("n_i")
+        return x.filter("unit_i is not null").withColumn("rate", rounded(F.col("n") / (F.col("n_i") * bin_ticks * tick))).drop("n_i")
+
+    out = _crossed(spikes, reach, half, sides, by_pairs, rates, block_spikes, hot_spikes)
+    return out.select("unit_i", "unit_j", "lag_bin", "n", *["rate"] * rate)
 
 
-def _crossed(spikes: DataFrame, reach: int, places: int, place, finish, by_pairs, block_spikes: int, hot_spikes: int) -> DataFrame:
-    """(unit_i, unit_j, lag_bin, n, n_i) of all ordered pairs of units with spikes within reach; n_i counts the spikes of unit_i.
+def _crossed(spikes: DataFrame, reach: int, half: int, sides: list[tuple], by_pairs, of_run, block_spikes: int, hot_spikes: int) -> DataFrame:
+    """(unit_i, unit_j, lag_bin, n, n_i), by of_run, of all ordered pairs of units with spikes within reach; n_i counts the spikes of unit_i.
 
     Units are dealt to blocks by hash. A block is packed into one row, and the rows meet in a
     Cartesian product whose tasks read two blocks each from the same shuffle: every count of
     a pair of units is finished there, a few units at a time, and goes straight to the output.
     What lies on disk are the spikes, twice (dealt, and packed) whatever the number of blocks, never
-    pairs or their counts. Units over hot_spikes would burden one task; their pairs, with all
+    pairs or their counts. Rows of equal n, unit_i and lag leave Python as one, with a list of unit_j.
+    Units over hot_spikes would burden one task; their pairs, with all
     units, go by `band_pairs`. Sizes come to the driver: the spikes and whether a unit is hot.
 
-    place(delta, later): (place of a lag, whether it counts), later being the sign of the indices' difference;
-    finish(i, j, place, n): rows, sorted by i, place and j.
+    sides: (low, high, scale, shift, width): differences d from low to high have the place (scale d + shift) // width. Of two
+    sides one ends and one begins at 0, where the order of indices tells them apart, and their two places of lag 0
+    leave the larger count. of_run(rows): columns that need no unit_j, once a run.
     """
     sizes = spikes.groupBy("unit_id").agg(F.count("*").alias("n_i"))
     total = sizes.agg(F.sum("n_i").alias("n"), F.max("n_i").alias("most")).first()
@@ -128,12 +118,13 @@ def _crossed(spikes: DataFrame, reach: int, places: int, place, finish, by_pairs
     dealt = cold.select(F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).cast("int").alias("block"), "unit_id", F.col("spike_idx").cast("long"), F.col("t").cast("long")).repartitionById(blocks, "block")
     packed = dealt.mapInArrow(_pack(), f"block int, units array<{kind}>, n array<long>, code array<int>, idx array<long>, t array<long>").repartitionById(blocks, "block").drop("block")
     both = packed.select(F.struct("*").alias("i")).crossJoin(packed.select(F.struct("*").alias("j")).hint("shuffle_replicate_nl"))
-    found = both.mapInArrow(_block_counts(reach, places, place, finish), f"unit_i {kind}, unit_j {kind}, lag_bin int, n long, n_i long")
-    return found if hot is None else found.unionByName(hot)
+    runs = of_run(both.mapInArrow(_block_counts(half, sides), f"unit_i {kind}, others array<struct<unit_j: {kind}>>, lag_bin int, n long, n_i long"))
+    found = runs.select("unit_i", F.inline("others"), *[c for c in runs.columns if c not in ("unit_i", "others")])
+    return found if hot is None else found.unionByName(of_run(hot))
 
 
 def _pack():
-    """Of rows (block, unit_id, spike_idx, t) one row a block: its units, their numbers of spikes, and its whole spikes by time, their units as places in units."""
+    """Of rows (block, unit_id, spike_idx, t) one row a block: its units, their numbers of spikes, and its whole spikes by time and index, their units as places in units."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -147,7 +138,7 @@ def _pack():
             codes = names.indices.to_numpy()
             whole = np.flatnonzero(pa.compute.and_(pa.compute.is_valid(own.column(2)), pa.compute.is_valid(own.column(3))).to_numpy())
             idx, t = (own.column(k).take(pa.array(whole)).to_numpy() for k in (2, 3))
-            order = np.argsort(t, kind="stable")
+            order = np.lexsort((idx, t))
             columns = names.dictionary, pa.array(np.bincount(codes, minlength=len(names.dictionary)).astype(np.int64)), pa.array(codes[whole][order].astype(np.int32)), pa.array(idx[order]), pa.array(t[order])
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]], ["block", "units", "n", "code", "idx", "t"])
 
@@ -155,74 +146,126 @@ def _pack():
 
 
 #: Pairs of spikes counted at once, and rows of a batch handed to Spark.
-_PAIRS_AT_ONCE, _ROWS_OUT = 1 << 17, 1 << 16
+_PAIRS_AT_ONCE, _ROWS_OUT = 1 << 17, 1 << 17
 
 
-def _block_counts(reach: int, places: int, place, finish, at_once: int = _PAIRS_AT_ONCE):
-    """Of pairs (i, j) of packed blocks: (unit_i, unit_j, lag_bin, n, n_i) of the units of i against those of j.
+def _block_counts(half: int, sides: list[tuple], at_once: int = _PAIRS_AT_ONCE):
+    """Of pairs (i, j) of packed blocks: (unit_i, unit_j as a list, lag_bin, n, n_i) of the units of i against those of j.
 
-    Rows come by count (from 255 on as one), unit_i, lag and unit_j within those counted at once: runs, which files hold in few bytes.
+    Runs come by count (from 255 on as one), unit_i, lag and unit_j within those counted at once, which files hold in few bytes.
+    A key holds the unit of i among those counted at once, the place and the unit of j.
     """
+    split = len(sides) > 1
+    places = 2 * half + 1 + split
+    most_units = max((1 << 60) // (places * max(s[4] for s in sides)), 1)
 
     def counted(keys, size):
         """Sorted distinct keys under size and how often each comes."""
-        if size <= 16 * len(keys):
+        if size <= 2 * len(keys):
             n = np.bincount(keys, minlength=size)
-            found = np.flatnonzero(n != 0)
-            return found, n[found]
-        keys = np.sort(keys)
+            found = np.flatnonzero(n)
+            return found.astype(keys.dtype), n[found]
+        keys.sort()
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         return keys[first], np.diff(np.append(first, len(keys)))
 
-    def merged(parts):
+    def merged(parts, reduce=np.add):
         keys, n = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(n, first)
+        return keys[first], reduce.reduceat(n, first)
+
+    def equals(xi, xt, yi, yt):
+        """Where the spikes of y at a spike of x with its index begin and end among y."""
+        order = np.lexsort((np.concatenate([yi, xi]), np.concatenate([yt, xt])))
+        t, i = np.concatenate([yt, xt])[order], np.concatenate([yi, xi])[order]
+        first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] != i[:-1])]))
+        before = np.concatenate([[0], np.cumsum(order < len(yt))])
+        size = np.diff(first, append=len(order))
+        out = np.empty((2, len(order)), np.int64)
+        out[0, order], out[1, order] = np.repeat(before[first], size), np.repeat(before[first + size], size)
+        return out[:, len(yt):]
+
+    def ranges(xi, xt, yi, yt):
+        """For each side: the first and the last place among y of those that a spike of x meets."""
+        at = [(np.searchsorted(yt, xt + s[0], "left"), np.searchsorted(yt, xt + s[1], "right")) for s in sides]
+        if split:
+            begin, end = equals(xi, xt, yi, yt)
+            at = [(at[0][0], begin), (end, at[1][1])]
+        return at
 
     def meet(x, y, own):
-        """(i, j, lag, n) of units of x against those of y, own in number, whole units i at a time."""
+        """Keys, counts, first unit and bits of a key's unit of y, own in number, of whole units of x at a time."""
         (xu, xi, xt), (yu, yi, yt) = x, y
-        order = np.lexsort((xt, xu))
+        if not len(xu) or not len(yu):
+            return
+        order = np.argsort(xu, kind="stable")
         xu, xi, xt = xu[order], xi[order], xt[order]
-        lo, hi = np.searchsorted(yt, xt - reach, "left"), np.searchsorted(yt, xt + reach, "right")
-        width = places * own
-        total = np.concatenate([[0], np.cumsum(hi - lo)])
-        ends = np.append(np.flatnonzero(xu[1:] != xu[:-1]) + 1, len(xu)) if len(xu) else np.zeros(0, np.int64)
-
-        def keys_of(s, e, first):
-            n = hi[s:e] - lo[s:e]
-            a = np.repeat(np.arange(s, e), n)
-            b = np.arange(total[e] - total[s]) + np.repeat(lo[s:e] - (total[s:e] - total[s]), n)
-            delta = yt[b] - xt[a]
-            at, keep = place(delta, np.sign(yi[b] - xi[a]))
-            keys = ((xu[a] - first) * places + at) * own + yu[b]
-            return keys if keep.all() else keys[keep]
+        bits = (own - 1).bit_length()
+        at = ranges(xi, xt, yi, yt)
+        idx = np.sort(np.concatenate([xi, yi]))
+        check = not split and bool((idx[1:] == idx[:-1]).any())  # else no index comes twice
+        base = min(int(xt[0]), int(yt[0]))
+        total = np.concatenate([[0], np.cumsum(sum(hi - lo for lo, hi in at))])
+        ends = np.append(np.flatnonzero(xu[1:] != xu[:-1]) + 1, len(xu))
+        scaled = [s[2] * (yt - base) for s in sides]
+        places_of_y = yu.astype(np.int32)
+        steps = np.arange(max(at_once, int(np.diff(total).max())) + 1)
+
+        def keys_of(s, e, first, size):
+            parts = []
+            for (lo, hi), of_y, (_, _, scale, shift, width) in zip(at, scaled, sides, strict=True):
+                n = hi[s:e] - lo[s:e]
+                sums = np.cumsum(n)
+                b = np.repeat(lo[s:e] - (sums - n), n)
+                b += steps[: len(b)]
+                key = np.repeat((xu[s:e] - first) * (places * width) + (shift - scale * (xt[s:e] - base)), n)
+                key += of_y[b]
+                key //= width
+                if size < 1 << 31:
+                    key = key.astype(np.int32)
+                key <<= bits
+                key |= places_of_y[b]
+                parts.append(key[yi[b] != np.repeat(xi[s:e], n)] if check else key)
+            return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
         s = 0
         while s < len(xu):
             # as many whole units as at_once pairs allow; a larger one by itself, in parts
             k = max(np.searchsorted(total[ends], total[s] + at_once, "right") - 1, np.searchsorted(ends, s, "right"))
+            k = min(k, np.searchsorted(ends, s, "right") + most_units - 1)
             e, first = int(ends[k]), int(xu[s])
+            size = (int(xu[e - 1]) - first + 1) * places << bits
             parts, held = [], 0
             while s < e:
                 m = min(max(int(np.searchsorted(total, total[s] + at_once, "right")) - 1, s + 1), e)
-                keys = keys_of(s, m, first)
+                keys = keys_of(s, m, first, size)
                 if len(keys):
-                    parts.append(counted(keys, (int(xu[m - 1]) - first + 1) * width))
+                    parts.append(counted(keys, size))
                     held += len(parts[-1][0])
                     if len(parts) > 1 and held > 8 * at_once:
                         parts = [merged(parts)]
                         held = 0
                 s = m
             if parts:
-                keys, n = parts[0] if len(parts) == 1 else merged(parts)
-                rest = keys // own
-                i = rest // places
-                i, j, lag, n = finish(i + first, keys - rest * own, rest - i * places, n)
-                order = np.argsort(np.minimum(n, 255).astype(np.uint8), kind="stable")
-                yield i[order], j[order], lag[order], n[order]
+                yield *(parts[0] if len(parts) == 1 else merged(parts)), first, bits
+
+    def by_runs(keys, n, bits):
+        """Keys by count, unit of i and lag."""
+        if split:
+            # of a pair's two places of lag 0 one goes, the larger count stays
+            at = keys >> bits
+            at -= at // places * places
+            two = at == half + 1
+            zero = two | (at == half)
+            one = merged([(keys[zero] - (two[zero].astype(keys.dtype) << bits), n[zero])], np.maximum) if zero.any() else (keys[:0], n[:0])
+            keys, n = np.concatenate([keys[~zero], one[0]]), np.concatenate([n[~zero], one[1]])
+        single = n == 1
+        more, m = keys[~single], n[~single]
+        order = np.argsort(np.minimum(m, 255).astype(np.uint8), kind="stable")
+        single = keys[single]
+        return np.concatenate([single, more[order]]), np.concatenate([np.ones(len(single), np.int64), m[order]])
 
     def block(column, r):
         units, size, code, idx, t = (column.field(k)[r].values for k in range(5))
@@ -232,12 +275,21 @@ def _block_counts(reach: int, places: int, place, finish, at_once: int = _PAIRS_
         for batch in batches:
             for r in range(batch.num_rows):
                 (units, size, x), (others, _, y) = (block(batch.column(k), r) for k in (0, 1))
-                for i, j, lag, n in meet(x, y, max(len(others), 1)):
-                    for s in range(0, len(i), _ROWS_OUT):
-                        u, v = i[s : s + _ROWS_OUT], j[s : s + _ROWS_OUT]
-                        yield pa.RecordBatch.from_arrays(
-                            [units.take(pa.array(u)), others.take(pa.array(v)), pa.array(lag[s : s + _ROWS_OUT].astype(np.int32)), pa.array(n[s : s + _ROWS_OUT].astype(np.int64)), pa.array(size[u])],
-                            ["unit_i", "unit_j", "lag_bin", "n", "n_i"])
+                for keys, n, first, bits in meet(x, y, max(len(others), 1)):
+                    keys, n = by_runs(keys, n, bits)
+                    at = keys >> bits
+                    starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (n[1:] != n[:-1])]))
+                    unit, place = np.divmod(at[starts].astype(np.int64), places)
+                    unit += first
+                    n, lag = n[starts], (place - half - (split & (place > half))).astype(np.int32)
+                    ends = np.append(starts, len(keys))
+                    s = 0
+                    while s < len(starts):
+                        e = max(int(np.searchsorted(ends, ends[s] + _ROWS_OUT, "right")) - 1, s + 1)
+                        found = others.take(pa.array(keys[ends[s] : ends[e]] & ((1 << bits) - 1)))
+                        lists = pa.ListArray.from_arrays(pa.array((ends[s : e + 1] - ends[s]).astype(np.int32)), pa.StructArray.from_arrays([found], ["unit_j"]))
+                        yield pa.RecordBatch.from_arrays([units.take(pa.array(unit[s:e])), lists, pa.array(lag[s:e]), pa.array(n[s:e].astype(np.int64)), pa.array(size[unit[s:e]])], ["unit_i", "others", "lag_bin", "n", "n_i"])
+                        s = e
 
     return run
 

@@ -501,6 +501,44 @@ def test_crosscorrelogram_blocks_are_shuffled_once(spark, crossed):
                 assert sum(key(a) != key(b) for a, b in itertools.pairwise(rows)) == len(set(map(key, rows))) - 1
 
 
+def test_crosscorrelogram_rows_leave_python_as_runs(spark, crossed):
+    """Of equal n, unit_i and lag one row with a list of unit_j comes from Python; the rate is taken once a run, before it is unfolded."""
+    _, df = crossed
+    for out in (correlogram.crosscorrelogram(df, 3, 30, block_spikes=20), correlogram.rounded_crosscorrelogram(df, 4, 5, rate=True, block_spikes=20)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        at = {k: next(n for n, line in enumerate(plan) if k in line) for k in ("Generate inline", "MapInArrow")}
+        assert at["Generate inline"] < at["MapInArrow"]  # parents come first
+    assert at["Generate inline"] < next(n for n, line in enumerate(plan) if "AS rate" in line) < at["MapInArrow"]
+
+
+def test_block_counts_in_parts():
+    """A unit of more pairs than are counted at once is put together from its parts, at lag 0 too."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    x = [(rng.randrange(3), k, rng.randrange(40)) for k in range(120)]
+    rows = pa.RecordBatch.from_arrays([pa.array([0] * len(x), pa.int32()), *[pa.array(c, pa.int64()) for c in zip(*x, strict=True)]], ["block", "unit_id", "spike_idx", "t"])
+    (packed,) = correlogram._pack()(iter([rows]))
+    block = pa.StructArray.from_arrays(packed.columns[1:], ["units", "n", "code", "idx", "t"])
+    pairs = pa.RecordBatch.from_arrays([block, block], ["i", "j"])
+    sides = [(-17, 0, 1, 17, 3), (0, 17, 1, 18, 3)]
+
+    def rows_of(at_once):
+        got = [(b["unit_i"], j["unit_j"], b["lag_bin"], b["n"]) for batch in correlogram._block_counts(5, sides, at_once)(iter([pairs])) for b in batch.to_pylist() for j in b["others"]]
+        assert len(got) == len({r[:3] for r in got})
+        return sorted(got)
+
+    later = {}
+    for (i, k, t), (j, m, u) in itertools.product(x, x):
+        if (u, m) > (t, k) and (u - t) // 3 <= 5:
+            later[i, j, (u - t) // 3] = later.get((i, j, (u - t) // 3), 0) + 1
+    both = {}
+    for (i, j, lag), n in later.items():
+        for key in ((i, j, lag), (j, i, -lag)):
+            both[key] = max(both.get(key, 0), n)
+    assert rows_of(1 << 17) == rows_of(50) == rows_of(1) == sorted((*k, n) for k, n in both.items())
+
+
 def test_crosscorrelogram_of_no_spikes_and_one(spark):
     for rows in ([], [(1, 1, 5)], [(None, None, None)]):
         df = spark.createDataFrame(rows, "unit_id long, spike_idx long, t long")
